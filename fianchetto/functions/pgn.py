@@ -32,17 +32,27 @@ def header_block(text) -> Column:
     return F.regexp_extract(_col(text), HEADER_PREFIX, 1)
 
 
-def header_map(text) -> Column:
-    """MAP<STRING,STRING> of the first header block; a repeated tag keeps its last value."""
+def header_tags(text) -> Column:
+    """ARRAY<STRUCT<k,v>> of the tag lines of the first header block, in order."""
     lines = F.split(header_block(text), "\n")
-    entries = F.filter(
+    return F.filter(
         F.transform(lines, lambda l: F.struct(F.regexp_extract(l, TAG_LINE, 1).alias("k"),
                                               F.regexp_extract(l, TAG_LINE, 2).alias("v"))),
         lambda e: e["k"] != "")
-    n = F.size(entries)
-    last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.greatest(n - i - 1, F.lit(0))),
-                                                    lambda o: o["k"] == e["k"]))
-    return F.map_from_entries(last)
+
+
+def tags_to_map(tags) -> Column:
+    """MAP<STRING,STRING> from tag entries; a repeated tag keeps its last value
+    (independent of the session's map-key dedup policy)."""
+    t = _col(tags)
+    keys = F.reverse(F.transform(t, lambda e: e["k"]))
+    n = F.size(t)
+    return F.map_from_entries(F.filter(t, lambda e, i: F.array_position(keys, e["k"]) == n - i))
+
+
+def header_map(text) -> Column:
+    """MAP<STRING,STRING> of the first header block; a repeated tag keeps its last value."""
+    return tags_to_map(header_tags(text))
 
 
 def header_value(text_or_map, name: str) -> Column:

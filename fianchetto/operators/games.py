@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from fianchetto.constants import ELO_VALID_HIGH, ELO_VALID_LOW, MIN_POSITIONS
 from fianchetto.functions.elo import parse_elo
-from fianchetto.functions.pgn import header_map, movetext, movetext_tokens
+from fianchetto.functions.pgn import header_tags, movetext, movetext_tokens, tags_to_map
 
 STATUSES = ["ok", "missing_header", "bad_elo", "elo_out_of_range", "too_short"]
 
@@ -34,8 +34,9 @@ def parse_games(records: DataFrame, text_col: str = "game_text",
         df = df.withColumn("game_id", F.xxhash64("file", "first_ln"))
     elif id_col != "game_id":
         df = df.withColumn("game_id", F.col(id_col))
-    h = header_map(text_col)
-    df = (df.withColumn("headers", h)
+    # tags are extracted once into their own column, then turned into a map
+    df = (df.withColumn("_tags", header_tags(text_col))
+          .withColumn("headers", tags_to_map("_tags"))
           .withColumn("white_elo_raw", F.col("headers").getItem("WhiteElo"))
           .withColumn("black_elo_raw", F.col("headers").getItem("BlackElo"))
           # the PGN reader fills an absent Result with "*"
@@ -52,7 +53,7 @@ def parse_games(records: DataFrame, text_col: str = "game_text",
               # start position + one per half-move; replay refines this (illegal moves)
               .when(F.size("moves") + 1 < MIN_POSITIONS, "too_short")
               .otherwise("ok"))
-    return df.withColumn("parse_status", status)
+    return df.withColumn("parse_status", status).drop("_tags")
 
 
 def valid_games(parsed: DataFrame) -> DataFrame:

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from fianchetto.constants import DEFAULT_ELO_BANDS
 from fianchetto.functions.elo import denormalize_elo, normalize_elo, to_float32
-from fianchetto.operators import attention, framing, games, history, metrics, positions, split
+from fianchetto.operators import (attention, framing, games, history, metrics, positions, replay,
+                                  split)
 from fianchetto.plans import bindings as B
 
 R = 9  # digits kept for inexact floating results
@@ -76,6 +77,22 @@ def q_max_games(spark, sf):
     return games.max_games(v, 100).select("game_id", "file", "first_ln", "white_elo", "black_elo")
 
 
+def _replayed(spark, sf):
+    v = games.valid_games(_parsed(spark, sf)).select("game_id", "white_elo", "black_elo", "result", "moves")
+    return replay.finalize_games(replay.replay_games(v))
+
+
+def q_replay_positions(spark, sf):
+    """P4 + F3: SAN replay of every header-valid game; one row per position."""
+    return replay.positions_table(_replayed(spark, sf))
+
+
+def q_replayed_games(spark, sf):
+    """The game table after replay: length and replay status per game."""
+    return _replayed(spark, sf).select("game_id", "white_elo", "black_elo", "result",
+                                       F.size("fens").alias("n_positions"), "replay_status")
+
+
 # --- positions and boards (B2) -------------------------------------------------
 
 def q_even_plies(spark, sf):
