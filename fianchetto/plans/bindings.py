@@ -56,6 +56,10 @@ FEN_POOL = [
     "rnbqkbnr/pppppppp/8/8/8/8/PPPPPPPP/RNBQKBNR",
 ]
 
+# (run, step, order, part, supplier) is not unique in every table; rows equal on
+# all of these and on the logged values are interchangeable
+BATCH_ORDER = ["step", "l_orderkey", "l_partkey", "l_suppkey", "loss", "n"]
+
 LINES_PER_GAME = 16     # line-number stride per game in the derived archive
 N_FILES = 64            # games are spread over this many "files" by key
 

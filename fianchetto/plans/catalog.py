@@ -235,14 +235,13 @@ def q_top_positions(spark, sf):
 
 def q_weighted_mean(spark, sf):
     return metrics.weighted_mean(B.batch_log_b7(spark, sf), "loss", "n", ["run"],
-                                 order_by=["step", "l_orderkey", "l_partkey", "l_suppkey"])
+                                 order_by=B.BATCH_ORDER)
 
 
 def q_running_weighted_mean(spark, sf):
     bl = B.batch_log_b7(spark, sf)
     chunk = F.struct(F.col("step"), F.floor(F.col("l_orderkey") / 4096))
-    r = metrics.running_weighted_mean(bl, "loss", "n", ["run"],
-                                      ["step", "l_orderkey", "l_partkey", "l_suppkey"], chunk)
+    r = metrics.running_weighted_mean(bl, "loss", "n", ["run"], B.BATCH_ORDER, chunk)
     return r.select("run", "step", "l_orderkey", "l_partkey", "l_suppkey", "run_avg", "run_count")
 
 

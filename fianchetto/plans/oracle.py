@@ -396,12 +396,12 @@ SELECT CAST(pos - 1 AS INTEGER) AS position, round(avg(CAST(w AS DOUBLE)), 9) AS
 FROM (SELECT unnest(weights) AS w, unnest(range(1, len(weights) + 1)) AS pos FROM att)
 GROUP BY pos ORDER BY avg(CAST(w AS DOUBLE)) DESC, pos LIMIT 10"""
 SQL["weighted_mean"] = _with(BL) + """SELECT run, sum(loss * n) / sum(n) AS mean, sum(loss * n) AS total, sum(n) AS weight,
-       arg_max(loss, {'s': step, 'o': l_orderkey, 'p': l_partkey, 'q': l_suppkey}) AS last_val
+       arg_max(loss, {'s': step, 'o': l_orderkey, 'p': l_partkey, 'q': l_suppkey, 'l': loss, 'n': n}) AS last_val
 FROM bl GROUP BY run"""
 SQL["running_weighted_mean"] = _with(BL) + """SELECT run, step, l_orderkey, l_partkey, l_suppkey,
   sum(loss * n) OVER w / sum(n) OVER w AS run_avg, sum(n) OVER w AS run_count
 FROM bl
-WINDOW w AS (PARTITION BY run ORDER BY step, l_orderkey, l_partkey, l_suppkey
+WINDOW w AS (PARTITION BY run ORDER BY step, l_orderkey, l_partkey, l_suppkey, loss, n
              ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""
 SQL["train_epoch_metrics"] = _with(BL) + """SELECT run, epoch, sum(loss * n) / sum(n) AS loss, sum(mae * n) / sum(n) AS mae,
        sum(n) AS n_samples, count(*) AS n_batches
