@@ -198,3 +198,14 @@ def train_epoch_metrics(batch_log: DataFrame, group_by=("run", "epoch"), loss: s
         (F.sum(F.col(loss) * w) / F.sum(w)).alias("loss"),
         (F.sum(F.col(mae) * w) / F.sum(w)).alias("mae"),
         F.sum(w).alias("n_samples"), F.count(F.lit(1)).alias("n_batches"))
+
+
+def validate(scored: DataFrame, batch_col: str = "batch_id", target: str = "target",
+             pred: str = "pred", **kw) -> DataFrame:
+    """Validation/test metrics: A2 over all rows plus ``loss``, the sample-weighted
+    mean of per-batch MSE (the meter the training loop keeps)."""
+    t, p = F.col(target).cast("double"), F.col(pred).cast("double")
+    per_batch = scored.groupBy(batch_col).agg(F.avg((t - p) * (t - p)).alias("_mse"),
+                                              F.count(F.lit(1)).alias("_n"))
+    loss = per_batch.agg(F.sum(F.col("_mse") * F.col("_n")) / F.sum("_n")).scalar()
+    return regression_metrics(scored, target, pred, **kw).withColumn("loss", loss)

@@ -14,7 +14,12 @@ from fianchetto.constants import DEFAULT_ELO_BANDS
 from fianchetto.functions.elo import denormalize_elo, normalize_elo, to_float32
 from fianchetto.operators import (attention, framing, games, history, metrics, positions, replay,
                                   split)
+from fianchetto.operators import model as M
 from fianchetto.plans import bindings as B
+from fianchetto.session import scratch_path
+from fianchetto.sinks import writers
+from fianchetto.sources import runs
+from fianchetto.streaming import ingest
 
 R = 9  # digits kept for inexact floating results
 
@@ -295,5 +300,121 @@ def q_compare_runs(spark, sf):
     return history.compare_runs(_hist(spark, sf))
 
 
+# --- models (B1, B3) ------------------------------------------------------------
+
+def q_fit_rating_model(spark, sf):
+    """M1: ordinary least squares of the scaled rating on the game length."""
+    s = B.scored_b3(spark, sf).select("target", F.col("n_ply").cast("double").alias("x"))
+    m = M.fit_rating_model(s, ["x"], label="target", kind="linear")
+    lr = m.stages[-1]
+    return spark.createDataFrame([(float(lr.intercept), float(lr.coefficients[0]))],
+                                 "intercept double, slope double") \
+        .select(F.round("intercept", 6).alias("intercept"), F.round("slope", 6).alias("slope"))
+
+
+def q_validate_model(spark, sf):
+    """A11 + M2: batch-score the validation split with a linear scorer
+    (Arrow batches), then overall metrics and the batch-weighted loss."""
+    sp = split.split_exact(B.games_b1(spark, sf)).where(F.col("split") == "val")
+    df = sp.select("game_id", normalize_elo("white_elo").alias("target"),
+                   normalize_elo("black_elo").alias("x"),
+                   (F.col("split_rk") / 32).cast("long").alias("batch_id"))
+    scored = M.score_batch(df, M.linear_predict_fn(0.2, [0.4]), ["x"])
+    m = metrics.validate(scored)
+    return _round(m, "mse", "mae", "rmse", "mae_elo", "rmse_elo", "loss")
+
+
+# --- sinks and sources, written to the shared scratch folder and read back -------
+
+def q_roundtrip_splits(spark, sf):
+    """K2 + S4: write the split table partitioned by split, read one split back."""
+    path = scratch_path(spark, "splits")
+    writers.write_splits(_split(spark, sf).select("game_id", "split", "rk", "split_rk"), path)
+    return runs.read_splits(spark, path, "val").select("game_id", "split", "rk", "split_rk")
+
+
+def _log_history(spark, sf):
+    return _hist(spark, sf).select("run", "epoch", "train_mae", F.col("train_loss").alias("val_metric"))
+
+
+def q_format_log(spark, sf):
+    """K6: the per-epoch log line."""
+    return writers.format_log(_log_history(spark, sf), val="val_metric").select("run", "epoch", "value")
+
+
+def q_read_training_log(spark, sf):
+    """K6 + S6: log files per run written, read back and parsed."""
+    path = scratch_path(spark, "logs")
+    writers.write_log(_log_history(spark, sf), path, val="val_metric")
+    return runs.read_training_log(spark, path).select(
+        F.col("run").cast("long").alias("run"), "epoch", "train_mae", "val_mae")
+
+
+_REPORT_SCHEMA = ("overall_metrics struct<mse:double,mae:double,rmse:double,r2:double,"
+                  "mae_elo:double,rmse_elo:double>, "
+                  "segmentation map<string,struct<range:string,count:bigint,mae:double,rmse:double>>")
+
+
+def q_report_json(spark, sf):
+    """K4: evaluation report as JSON, read back and flattened per band."""
+    s = B.scored_b3(spark, sf)
+    overall = metrics.evaluate_predictions(s).drop("n")
+    path = scratch_path(spark, "report")
+    writers.write_report(overall, metrics.segment_by_elo(s), path)
+    r = spark.read.schema(_REPORT_SCHEMA).json(path)
+    out = r.select("overall_metrics.*", F.explode("segmentation").alias("label", "seg")).select(
+        "label", "seg.range", "seg.count", F.col("seg.mae").alias("band_mae"),
+        F.col("seg.rmse").alias("band_rmse"), "mse", "mae", "rmse", "r2", "mae_elo", "rmse_elo")
+    return _round(out, "band_mae", "band_rmse", "mse", "mae", "rmse", "r2", "mae_elo", "rmse_elo")
+
+
+def q_run_configs(spark, sf):
+    """K5 + S5: one configuration per run appended as JSON, read back."""
+    h = _hist(spark, sf)
+    cfg = h.groupBy("run").agg(F.count(F.lit(1)).alias("epochs")).select(
+        "run", F.when(F.col("run") % 2 == 0, "transformer").otherwise("lstm").alias("model"),
+        F.lit(32).cast("long").alias("batch_size"), "epochs", F.lit(0.001).alias("lr"),
+        F.lit(0.1).alias("dropout"), F.lit(128).cast("long").alias("embedding_dim"),
+        F.lit(42).cast("long").alias("seed"), F.lit("cpu").alias("device"))
+    path = scratch_path(spark, "configs")
+    writers.write_run_config(cfg, path)
+    return runs.read_run_configs(spark, path, multi_line=False).select(
+        "run", "model", "batch_size", "epochs", "lr", "dropout", "embedding_dim", "seed", "device")
+
+
+# --- streaming (files arriving in a folder, availableNow triggers) -----------------
+
+def q_stream_games(spark, sf):
+    """S1/S3 + K3 + A7: PGN text files ingested as a stream with a checkpoint;
+    framed by the reader, parsed, filtered, replayed, appended to Parquet."""
+    src, out, ck = (scratch_path(spark, n) for n in ("pgn-src", "games-out", "games-ckpt"))
+    lines = B.pgn_lines_b4(spark, sf)
+    lines.repartition(8, "file").sortWithinPartitions("file", "ln").select(F.col("line").alias("value")) \
+        .write.text(src)
+    ingest.stream_games(spark, src, out, ck, max_files_per_trigger=2)
+    g = spark.read.parquet(out)
+    gid = F.regexp_extract(F.col("headers").getItem("Site"), r"orders/(\d+)", 1).cast("long")
+    return g.select(gid.alias("game_id"), "white_elo", "black_elo", "result",
+                    F.size("moves").alias("n_moves"))
+
+
+def q_stream_weighted_mean(spark, sf):
+    """A5 as a streaming aggregate over batch-log files (complete mode)."""
+    src, out, ck = (scratch_path(spark, n) for n in ("blog-src", "blog-out", "blog-ckpt"))
+    bl = B.batch_log_b7(spark, sf)
+    for lo, hi in ((1, 2), (3, 4), (5, 99)):
+        bl.where(F.col("step").between(lo, hi)).write.mode("append").parquet(src)
+    return ingest.stream_weighted_mean(spark, src, bl.schema, out, ck)
+
+
+def q_stream_early_stop(spark, sf):
+    """W2 as keyed streaming state: history files arrive in epoch order."""
+    src, out, ck = (scratch_path(spark, n) for n in ("hist-src", "hist-out", "hist-ckpt"))
+    h = _hist(spark, sf)
+    for lo, hi in ((0, 9), (10, 19), (20, 99)):
+        h.where(F.col("epoch").between(lo, hi)).coalesce(1).write.mode("append").parquet(src)
+    return ingest.stream_early_stop(spark, src, h.schema, out, ck)
+
+
 QUERIES = {name[2:]: fn for name, fn in dict(globals()).items()
            if name.startswith("q_") and callable(fn)}

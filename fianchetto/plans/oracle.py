@@ -427,3 +427,53 @@ fm AS (""" + _final("kept") + """),
 be AS (""" + _best("kept") + """)
 SELECT fm.*, be.best_epoch, be.best_loss, be.n_checkpoints, st.stop_epoch
 FROM fm JOIN be USING (run) JOIN st USING (run)"""
+
+SQL["fit_rating_model"] = _with(G, SC) + """SELECT round(regr_intercept(target, CAST(n_ply AS DOUBLE)), 6) AS intercept,
+       round(regr_slope(target, CAST(n_ply AS DOUBLE)), 6) AS slope
+FROM sc JOIN g USING (game_id)"""
+SQL["validate_model"] = _with(G, SPLIT) + f""", v AS (
+  SELECT s.game_id, {NORM.format(e='white_elo')} AS target,
+         least(greatest(0.2::DOUBLE + 0.4::DOUBLE * {NORM.format(e='black_elo')}, 0.0::DOUBLE), 1.0::DOUBLE) AS pred,
+         s.split_rk // 32 AS batch_id
+  FROM s JOIN g USING (game_id) WHERE s.split = 'val'),
+ve AS (SELECT *, {DENORM.format(x='target')} AS target_elo, {DENORM.format(x='pred')} AS pred_elo FROM v),
+pb AS (SELECT batch_id, avg((target - pred) * (target - pred)) AS m, count(*) AS c FROM v GROUP BY batch_id)
+SELECT count(*) AS n,
+  round(avg((target - pred) * (target - pred)), {R}) AS mse,
+  round(avg(abs(target - pred)), {R}) AS mae,
+  round(sqrt(avg((target - pred) * (target - pred))), {R}) AS rmse,
+  round(avg(CAST(abs(target_elo - pred_elo) AS DOUBLE)), {R}) AS mae_elo,
+  round(sqrt(avg(CAST((target_elo - pred_elo) * (target_elo - pred_elo) AS DOUBLE))), {R}) AS rmse_elo,
+  round((SELECT sum(m * c) / sum(c) FROM pb), {R}) AS loss
+FROM ve""".replace("\n, v AS", ", v AS")
+SQL["roundtrip_splits"] = _with(G, SPLIT) + "SELECT game_id, split, rk, split_rk FROM s WHERE split = 'val'"
+SQL["format_log"] = _with(H) + """SELECT run, epoch,
+  printf('Epoch %3d | Train MAE: %.6f | Val MAE: %.6f', epoch, train_mae, train_loss) AS value FROM h"""
+SQL["read_training_log"] = _with(H) + "SELECT run, epoch, train_mae, train_loss AS val_mae FROM h"
+SQL["report_json"] = _with(G, SC) + f""", bands AS (
+  SELECT * FROM (VALUES ('Beginner', 800, 1200), ('Intermediate', 1200, 1600),
+                        ('Advanced', 1600, 2000), ('Master', 2000, 2800)) t(label, min_elo, max_elo)),
+seg AS (
+  SELECT label, CAST(min_elo AS VARCHAR) || '-' || CAST(max_elo AS VARCHAR) AS range, count(*) AS "count",
+         round(avg(CAST(abs(target_elo - pred_elo) AS DOUBLE)), {R}) AS band_mae,
+         round(sqrt(avg(CAST((target_elo - pred_elo) * (target_elo - pred_elo) AS DOUBLE))), {R}) AS band_rmse
+  FROM se JOIN bands ON se.target_elo >= bands.min_elo AND se.target_elo < bands.max_elo
+  GROUP BY label, min_elo, max_elo),
+ov AS (
+  SELECT round(avg((target - pred) * (target - pred)), {R}) AS mse,
+         round(avg(abs(target - pred)), {R}) AS mae,
+         round(sqrt(avg((target - pred) * (target - pred))), {R}) AS rmse,
+         round(1 - sum((target - pred) * (target - pred)) / (var_pop(target) * count(*)), {R}) AS r2,
+         round(avg(CAST(abs(target_elo - pred_elo) AS DOUBLE)), {R}) AS mae_elo,
+         round(sqrt(avg(CAST((target_elo - pred_elo) * (target_elo - pred_elo) AS DOUBLE))), {R}) AS rmse_elo
+  FROM se)
+SELECT seg.*, ov.* FROM seg CROSS JOIN ov""".replace("\n, bands AS", ", bands AS")
+SQL["run_configs"] = _with(H) + """SELECT run, CASE WHEN run % 2 = 0 THEN 'transformer' ELSE 'lstm' END AS model,
+  CAST(32 AS BIGINT) AS batch_size, count(*) AS epochs, 0.001::DOUBLE AS lr, 0.1::DOUBLE AS dropout,
+  CAST(128 AS BIGINT) AS embedding_dim, CAST(42 AS BIGINT) AS seed, 'cpu' AS device
+FROM h GROUP BY run"""
+SQL["stream_games"] = SQL["valid_games"]
+SQL["stream_weighted_mean"] = _with(BL) + """SELECT run, sum(loss * n) / sum(n) AS mean, sum(loss * n) AS total, sum(n) AS weight
+FROM bl GROUP BY run"""
+SQL["stream_early_stop"] = "WITH RECURSIVE " + H + ",\n" + _early_stop_ctes(5, 0.0) + \
+    "\nSELECT run, stop_epoch, best_loss FROM st WHERE stop_epoch IS NOT NULL"
