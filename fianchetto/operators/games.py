@@ -34,16 +34,20 @@ def parse_games(records: DataFrame, text_col: str = "game_text",
         df = df.withColumn("game_id", F.xxhash64("file", "first_ln"))
     elif id_col != "game_id":
         df = df.withColumn("game_id", F.col(id_col))
-    # tags are extracted once into their own column, then turned into a map
+    # The two expensive extractions (header map, SAN tokens) are emitted by a
+    # one-row generator: filters on their values stop above the Generate, so
+    # each record is parsed once instead of once per consumer.
+    keep = [c for c in df.columns]
     df = (df.withColumn("_tags", header_tags(text_col))
-          .withColumn("headers", tags_to_map("_tags"))
-          .withColumn("white_elo_raw", F.col("headers").getItem("WhiteElo"))
+          .select(*keep, F.inline(F.array(F.struct(
+              tags_to_map("_tags").alias("headers"),
+              movetext_tokens(movetext(text_col)).alias("moves"))))))
+    df = (df.withColumn("white_elo_raw", F.col("headers").getItem("WhiteElo"))
           .withColumn("black_elo_raw", F.col("headers").getItem("BlackElo"))
           # the PGN reader fills an absent Result with "*"
           .withColumn("result", F.coalesce(F.col("headers").getItem("Result"), F.lit("*")))
           .withColumn("white_elo", parse_elo("white_elo_raw"))
-          .withColumn("black_elo", parse_elo("black_elo_raw"))
-          .withColumn("moves", movetext_tokens(movetext(text_col))))
+          .withColumn("black_elo", parse_elo("black_elo_raw")))
     we, be = F.col("white_elo"), F.col("black_elo")
     status = (F.when(~(_nonempty(F.col("white_elo_raw")) & _nonempty(F.col("black_elo_raw"))
                        & _nonempty(F.col("result"))), "missing_header")
@@ -53,7 +57,7 @@ def parse_games(records: DataFrame, text_col: str = "game_text",
               # start position + one per half-move; replay refines this (illegal moves)
               .when(F.size("moves") + 1 < MIN_POSITIONS, "too_short")
               .otherwise("ok"))
-    return df.withColumn("parse_status", status).drop("_tags")
+    return df.withColumn("parse_status", status)
 
 
 def valid_games(parsed: DataFrame) -> DataFrame:

@@ -389,9 +389,9 @@ def q_stream_games(spark, sf):
     framed by the reader, parsed, filtered, replayed, appended to Parquet."""
     src, out, ck = (scratch_path(spark, n) for n in ("pgn-src", "games-out", "games-ckpt"))
     lines = B.pgn_lines_b4(spark, sf)
-    lines.repartition(8, "file").sortWithinPartitions("file", "ln").select(F.col("line").alias("value")) \
+    lines.repartition(32, "file").sortWithinPartitions("file", "ln").select(F.col("line").alias("value")) \
         .write.text(src)
-    ingest.stream_games(spark, src, out, ck, max_files_per_trigger=2)
+    ingest.stream_games(spark, src, out, ck, max_files_per_trigger=8)
     g = spark.read.parquet(out)
     gid = F.regexp_extract(F.col("headers").getItem("Site"), r"orders/(\d+)", 1).cast("long")
     return g.select(gid.alias("game_id"), "white_elo", "black_elo", "result",

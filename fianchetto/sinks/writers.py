@@ -52,7 +52,12 @@ def format_log(history: DataFrame, epoch: str = "epoch", train: str = "train_mae
 
 
 def write_log(history: DataFrame, path: str, partition_by: str | None = "run", **kw) -> None:
+    """One log file per run folder: rows of a run are brought to one task (a
+    per-run log is small: one line per epoch) and written in epoch order."""
     df = format_log(history, **kw)
-    keep = ["value"] + ([partition_by] if partition_by else [])
-    w = df.select(*keep).write.mode("overwrite")
-    (w.partitionBy(partition_by) if partition_by else w).text(path)
+    epoch = kw.get("epoch", "epoch")
+    if partition_by:
+        df = df.repartition(partition_by).sortWithinPartitions(partition_by, epoch)
+        df.select("value", partition_by).write.mode("overwrite").partitionBy(partition_by).text(path)
+    else:
+        df.orderBy(epoch).select("value").write.mode("overwrite").text(path)

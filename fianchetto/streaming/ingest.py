@@ -30,12 +30,18 @@ def _run(query, timeout_s: float | None):
 
 def stream_games(spark: SparkSession, source_dir: str, output_dir: str, checkpoint_dir: str,
                  max_files_per_trigger: int = 1, replay_moves: bool = True,
-                 timeout_s: float | None = 600) -> dict:
+                 repartition: int | None = None, timeout_s: float | None = 600) -> dict:
     """Ingest every PGN file now in ``source_dir`` (``availableNow``), one
     micro-batch per ``max_files_per_trigger`` files.  Re-running with the same
     checkpoint only processes new files.  Returns ingest statistics observed
-    on the stream (games per batch, totals, rows per second)."""
+    on the stream (games per batch, totals, rows per second).
+
+    A plain-text file is split by the reader; a compressed one is one task, so
+    with few large compressed files per trigger pass ``repartition`` to spread
+    parsing and replay over the cores."""
     recs = scan_pgn_games(spark, source_dir, stream=True, max_files_per_trigger=max_files_per_trigger)
+    if repartition:
+        recs = recs.repartition(repartition)
     recs = recs.withColumn("first_ln", F.lit(0).cast("long"))
     parsed = games.parse_games(recs.withColumn("game_id", F.xxhash64("file", "game_text")),
                                id_col="game_id")
