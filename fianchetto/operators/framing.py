@@ -27,12 +27,15 @@ def _chunk(col: str, size: int):
 
 def frame_games(lines: DataFrame, mode: str = "clean", file_col: str = "file",
                 ln_col: str = "ln", line_col: str = "line",
-                chunk_lines: int = CHUNK_LINES) -> DataFrame:
-    """lines(file, ln, line) -> games(file, first_ln, n_lines, game_text)."""
+                chunk_lines: int = CHUNK_LINES, materialize: bool = False) -> DataFrame:
+    """lines(file, ln, line) -> games(file, first_ln, n_lines, game_text).
+
+    ``materialize`` checkpoints the flagged lines first so a decompressing scan
+    runs once (the running count reads its input twice)."""
     if mode == "clean":
-        return _frame_clean(lines, file_col, ln_col, line_col, chunk_lines)
+        return _frame_clean(lines, file_col, ln_col, line_col, chunk_lines, materialize)
     if mode == "reference":
-        return _frame_reference(lines, file_col, ln_col, line_col, chunk_lines)
+        return _frame_reference(lines, file_col, ln_col, line_col, chunk_lines, materialize)
     raise ValueError(f"unknown framing mode {mode!r}")
 
 
@@ -40,11 +43,11 @@ def _join_lines(sorted_structs, field: str):
     return F.concat_ws("\n", F.transform(sorted_structs, lambda x: x[field]))
 
 
-def _frame_clean(lines, file_col, ln_col, line_col, chunk_lines):
+def _frame_clean(lines, file_col, ln_col, line_col, chunk_lines, materialize=False):
     flagged = lines.select(file_col, ln_col, line_col,
                            F.col(line_col).startswith("[Event ").cast("long").alias("_start"))
     seq = running_agg(flagged, [file_col], [ln_col], _chunk(ln_col, chunk_lines),
-                      {"_game": F.col("_start")}, inclusive=True)
+                      {"_game": F.col("_start")}, inclusive=True, materialize=materialize)
     return (seq.where(F.col("_game") > 0)
             .groupBy(file_col, "_game")
             .agg(F.min(ln_col).alias("first_ln"),
@@ -54,13 +57,13 @@ def _frame_clean(lines, file_col, ln_col, line_col, chunk_lines):
             .select(file_col, "first_ln", "n_lines", _join_lines(F.col("_ls"), "v").alias("game_text")))
 
 
-def _frame_reference(lines, file_col, ln_col, line_col, chunk_lines):
+def _frame_reference(lines, file_col, ln_col, line_col, chunk_lines, materialize=False):
     flagged = lines.select(file_col, ln_col, line_col,
                            is_blank(line_col).cast("long").alias("_blank"),
                            has_moves(line_col).cast("long").alias("_mv"))
     # block = lines after the k-th blank line up to and including the (k+1)-th
     with_blk = running_agg(flagged, [file_col], [ln_col], _chunk(ln_col, chunk_lines),
-                           {"_blk": F.col("_blank")}, inclusive=False)
+                           {"_blk": F.col("_blank")}, inclusive=False, materialize=materialize)
     blocks = (with_blk.groupBy(file_col, "_blk")
               .agg(F.min(ln_col).alias("_first"),
                    (F.max("_mv") * F.max("_blank")).alias("_end"),

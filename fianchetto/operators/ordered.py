@@ -21,20 +21,35 @@ from pyspark.sql import functions as F
 _AGG = {"sum": F.sum, "min": F.min, "max": F.max}
 
 
+def materialize_df(df: DataFrame) -> DataFrame:
+    """Compute ``df`` once into the shared checkpoint folder (reliable
+    checkpoint: survives executor loss, cuts the lineage)."""
+    from fianchetto.session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def running_agg(df: DataFrame, partition_by: Sequence[str], order_by: Sequence[str],
                 chunk: Column, values: dict[str, Column], kind: str = "sum",
-                inclusive: bool = True) -> DataFrame:
+                inclusive: bool = True, materialize: bool = False) -> DataFrame:
     """Add one running ``kind`` column per entry of ``values``.
 
     ``chunk`` must be non-decreasing in ``order_by`` within a partition (e.g. the
     line number divided by a block size, or the input-split index).  Partition keys
     must not be NULL.  Exclusive sums start at 0; exclusive min/max start at NULL.
+
+    The input is read twice (chunk totals, then rows).  With ``materialize`` it is
+    first checkpointed to the shared checkpoint folder, so an expensive input (a
+    decompressing scan, an unsaved parse) is computed once.
     """
     agg = _AGG[kind]
     names = list(values)
     tmp = df.withColumn("_chunk", chunk)
     for i, n in enumerate(names):
         tmp = tmp.withColumn(f"_v{i}", values[n])
+    if materialize:
+        tmp = materialize_df(tmp)
     per_chunk = tmp.groupBy(*partition_by, "_chunk").agg(
         *[agg(f"_v{i}").alias(f"_c{i}") for i in range(len(names))])
     w_chunks = (Window.partitionBy(*partition_by).orderBy("_chunk")
@@ -60,16 +75,20 @@ def running_agg(df: DataFrame, partition_by: Sequence[str], order_by: Sequence[s
 
 def exact_rank(df: DataFrame, partition_by: Sequence[str], hash_col: str,
                tiebreak: Sequence[str], out: str = "rk", total: str | None = None,
-               prefix_len: int = 4, small_partitions: bool = True) -> DataFrame:
+               prefix_len: int = 4, small_partitions: bool = True,
+               materialize: bool = False) -> DataFrame:
     """0-based rank of each row inside ``partition_by`` by (``hash_col``, ``tiebreak``).
 
     ``hash_col`` must be a uniformly distributed lowercase hex string (e.g. md5).
     ``small_partitions`` says ``partition_by`` has few distinct values (splits,
     epochs), so the offsets table (<= values * 16**prefix_len rows) is broadcast.
-    ``total`` optionally adds the partition's row count.
+    ``total`` optionally adds the partition's row count.  As in ``running_agg``
+    the input is read twice unless ``materialize``.
     """
     b = F.substring(F.col(hash_col), 1, prefix_len)
     tmp = df.withColumn("_bucket", b)
+    if materialize:
+        tmp = materialize_df(tmp)
     counts = tmp.groupBy(*partition_by, "_bucket").agg(F.count(F.lit(1)).alias("_cnt"))
     w = (Window.partitionBy(*partition_by).orderBy("_bucket")
          .rowsBetween(Window.unboundedPreceding, -1))

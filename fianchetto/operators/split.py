@@ -21,10 +21,14 @@ def seeded_hash(id_col: str, *salt) -> "F.Column":
 
 
 def split_exact(games: DataFrame, id_col: str = "game_id", train_ratio: float = SPLIT_TRAIN,
-                val_ratio: float = SPLIT_VAL, seed: int = SPLIT_SEED) -> DataFrame:
-    """Add ``split`` ('train'|'val'|'test'), global rank ``rk`` and ``split_rk``."""
+                val_ratio: float = SPLIT_VAL, seed: int = SPLIT_SEED,
+                materialize: bool = False) -> DataFrame:
+    """Add ``split`` ('train'|'val'|'test'), global rank ``rk`` and ``split_rk``.
+
+    The ranking reads ``games`` twice; read it from Parquet (``write_games``) or
+    pass ``materialize=True`` when it is an expensive unsaved plan."""
     ranked = exact_rank(games.withColumn("_h", seeded_hash(id_col, seed)), [], "_h", [id_col],
-                        out="rk", total="_n")
+                        out="rk", total="_n", materialize=materialize)
     train_end = (F.col("_n") * F.lit(float(train_ratio))).cast("long")
     val_end = train_end + (F.col("_n") * F.lit(float(val_ratio))).cast("long")
     rk = F.col("rk")

@@ -15,7 +15,9 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     recs = framing.frame_games(lines, mode="clean").withColumn(
         "game_id", F.floor(F.col("first_ln") / B.LINES_PER_GAME).cast("long"))
     valid = games.valid_games(games.parse_games(recs, id_col="game_id"))
-    sp = split.split_exact(valid.select("game_id", "white_elo", "black_elo", "moves"))
+    # the split ranks its input in two passes; checkpoint the parsed games so the
+    # archive is framed and parsed once
+    sp = split.split_exact(valid.select("game_id", "white_elo", "black_elo"), materialize=True)
     test = sp.where(F.col("split") == "test")
     # a transparent baseline scorer: the opponent's rating as the prediction
     scored = test.select("game_id", normalize_elo("white_elo").alias("target"),

@@ -39,3 +39,10 @@ def test_batches(spark):
     e0 = {r.game_id: (r.batch_id, r.batch_pos) for r in tr.where("epoch = 0").collect()}
     e1 = {r.game_id: (r.batch_id, r.batch_pos) for r in tr.where("epoch = 1").collect()}
     assert e0 != e1 and set(e0) == set(e1)
+
+
+def test_materialized_split_equals_lazy(spark):
+    g = _games(spark, 300, 3)
+    a = {r.game_id: (r.split, r.rk) for r in split.split_exact(g).collect()}
+    b = {r.game_id: (r.split, r.rk) for r in split.split_exact(g, materialize=True).collect()}
+    assert a == b
