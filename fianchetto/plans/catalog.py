@@ -333,6 +333,15 @@ def q_roundtrip_splits(spark, sf):
     return runs.read_splits(spark, path, "val").select("game_id", "split", "rk", "split_rk")
 
 
+def q_roundtrip_games(spark, sf):
+    """K1: parsed valid games written as Parquet and read back."""
+    path = scratch_path(spark, "games")
+    v = games.valid_games(_parsed(spark, sf)).select("game_id", "white_elo", "black_elo", "result", "moves")
+    writers.write_games(v, path)
+    return spark.read.parquet(path).select("game_id", "white_elo", "black_elo", "result",
+                                           F.size("moves").alias("n_moves"))
+
+
 def _log_history(spark, sf):
     return _hist(spark, sf).select("run", "epoch", "train_mae", F.col("train_loss").alias("val_metric"))
 

@@ -477,3 +477,4 @@ SQL["stream_weighted_mean"] = _with(BL) + """SELECT run, sum(loss * n) / sum(n)
 FROM bl GROUP BY run"""
 SQL["stream_early_stop"] = "WITH RECURSIVE " + H + ",\n" + _early_stop_ctes(5, 0.0) + \
     "\nSELECT run, stop_epoch, best_loss FROM st WHERE stop_epoch IS NOT NULL"
+SQL["roundtrip_games"] = SQL["valid_games"]
