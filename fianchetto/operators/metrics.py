@@ -138,17 +138,25 @@ def residuals(scored: DataFrame, target: str = "target", pred: str = "pred",
 
 def residual_histogram(res: DataFrame, col: str = "residual", bins: int = 50) -> DataFrame:
     """``bins`` equal-width bins over [min, max], last bin closed, empty bins kept.
-    min/max come from one scalar subquery (no global window, no collect)."""
+
+    min/max come from one scalar subquery (a single aggregate pass, no global
+    window, no collect); it is attached once as a column and read from there."""
     v = F.col(col).cast("double")
-    stats = res.agg(F.min(v).alias("lo"), F.max(v).alias("hi"))
-    lo0, hi0 = stats.select("lo").scalar(), stats.select("hi").scalar()
-    # equal bounds: widen by 0.5 each side, like numpy
-    lo = F.when(lo0 == hi0, lo0 - 0.5).otherwise(lo0)
-    hi = F.when(lo0 == hi0, hi0 + 0.5).otherwise(hi0)
-    b = F.least(F.floor((v - lo) * (F.lit(float(bins)) / (hi - lo))), F.lit(bins - 1)).cast("int")
-    counts = res.where(F.col(col).isNotNull()).groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
+    stats = res.agg(F.struct(F.min(v).alias("lo"), F.max(v).alias("hi"))).scalar()
+
+    def with_bounds(df):
+        # equal bounds are widened by 0.5 each side, like numpy
+        b = df.withColumn("_s", stats)
+        lo0, hi0 = F.col("_s.lo"), F.col("_s.hi")
+        return (b.withColumn("_lo", F.when(lo0 == hi0, lo0 - 0.5).otherwise(lo0))
+                .withColumn("_hi", F.when(lo0 == hi0, hi0 + 0.5).otherwise(hi0)).drop("_s"))
+
+    lo, hi = F.col("_lo"), F.col("_hi")
+    binned = with_bounds(res.where(F.col(col).isNotNull()).select(v.alias("_v")))
+    b = F.least(F.floor((F.col("_v") - lo) * (F.lit(float(bins)) / (hi - lo))), F.lit(bins - 1)).cast("int")
+    counts = binned.groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
     spark = res.sparkSession
-    all_bins = spark.range(bins).select(F.col("id").cast("int").alias("bin"))
+    all_bins = with_bounds(spark.range(bins).select(F.col("id").cast("int").alias("bin")))
     out = all_bins.join(F.broadcast(counts), "bin", "left")
     width = (hi - lo) / F.lit(float(bins))
     return out.select("bin", (lo + F.col("bin") * width).alias("bin_lo"),
