@@ -18,7 +18,10 @@ from pyspark.sql import functions as F
 from fianchetto.functions.pgn import has_moves, is_blank
 from fianchetto.operators.ordered import running_agg
 
-CHUNK_LINES = 8192
+# lines per chunk of the two-phase running count: a hot file at 100 TB gives
+# ~1e7 narrow chunk rows to the offsets window, and each chunk window sorts
+# at most this many lines
+CHUNK_LINES = 65536
 
 
 def _chunk(col: str, size: int):
