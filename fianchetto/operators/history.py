@@ -119,11 +119,18 @@ def lr_schedule(hist: DataFrame, lr0: float = 1e-3, factor: float = LR_FACTOR,
 
 
 def final_metrics(hist: DataFrame, run: str = "run", epoch: str = "epoch",
-                  cols=("train_loss", "val_loss", "train_mae", "val_mae")) -> DataFrame:
-    """The last epoch of each run and its metrics."""
+                  cols=("train_loss", "val_loss", "train_mae", "val_mae"),
+                  elo_scale: float | None = None) -> DataFrame:
+    """The last epoch of each run and its metrics.  ``elo_scale`` (e.g. 2000,
+    the rating span) adds ``*_mae_elo`` columns: normalised MAE in points."""
     last = F.max_by(F.struct(*[F.col(c) for c in cols]), F.col(epoch))
-    return hist.groupBy(run).agg(F.max(epoch).alias("last_epoch"), last.alias("_l")) \
+    out = hist.groupBy(run).agg(F.max(epoch).alias("last_epoch"), last.alias("_l")) \
         .select(run, "last_epoch", *[F.col(f"_l.{c}").alias(c) for c in cols])
+    if elo_scale:
+        for c in cols:
+            if c.endswith("_mae"):
+                out = out.withColumn(f"{c}_elo", F.col(c) * F.lit(float(elo_scale)))
+    return out
 
 
 def compare_runs(hist: DataFrame, configs: DataFrame | None = None, run: str = "run",

@@ -74,3 +74,10 @@ def test_best_and_final(spark):
     assert (b.best_epoch, b.best_loss, b.n_checkpoints) == (1, 2.0, 2)
     f = history.final_metrics(df).collect()[0]
     assert (f.last_epoch, f.val_loss) == (3, 2.5)
+
+
+def test_final_metrics_elo(spark):
+    df = spark.createDataFrame([(1, 0, 0.1, 0.2, 0.081552, 0.081105)],
+                               "run long, epoch int, train_loss double, val_loss double, train_mae double, val_mae double")
+    r = history.final_metrics(df, elo_scale=2000).collect()[0]
+    assert abs(r.val_mae_elo - 162.21) < 1e-9 and abs(r.train_mae_elo - 163.104) < 1e-9
