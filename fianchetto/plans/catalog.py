@@ -131,7 +131,7 @@ def q_fen_features(spark, sf):
 
 
 def q_encode_sequence(spark, sf):
-    e = positions.encode_sequence(B.fens_b2(spark, sf), max_len=32)
+    e = positions.encode_sequence(B.fens_b2(spark, sf))
     return e.select("game_id", "length", F.size("seq").alias("slots"),
                     F.size(F.filter("seq", lambda x: F.size(x) > 0)).alias("n_nonempty"),
                     F.aggregate("seq", F.lit(0), lambda a, x: a + F.size(x)).alias("n_set"))

@@ -293,11 +293,11 @@ SQL["fen_features"] = _with(G, P) + r"""SELECT game_id, ply,
   CASE WHEN len(string_split(fen, ' ')) < 2 THEN NULL
        WHEN string_split(fen, ' ')[2] = 'w' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS to_move
 FROM p"""
-SQL["encode_sequence"] = _with(G, P, BOARD) + """SELECT g.game_id, CAST(least(g.n_ply + 1, 32) AS INTEGER) AS length,
-  32 AS slots,
+SQL["encode_sequence"] = _with(G, P, BOARD) + """SELECT g.game_id, CAST(least(g.n_ply + 1, 200) AS INTEGER) AS length,
+  200 AS slots,
   CAST(count(*) FILTER (WHERE pf.valid AND len(pf.onehot_idx) > 0) AS INTEGER) AS n_nonempty,
   CAST(COALESCE(sum(CASE WHEN pf.valid THEN len(pf.onehot_idx) ELSE 0 END), 0) AS INTEGER) AS n_set
-FROM g JOIN pf ON pf.game_id = g.game_id AND pf.ply < 32
+FROM g JOIN pf ON pf.game_id = g.game_id AND pf.ply < 200
 GROUP BY g.game_id, g.n_ply"""
 SQL["build_samples"] = _with(G) + f"""SELECT game_id, CAST(least(n_ply + 1, 200) AS INTEGER) AS length,
   CAST({NORM.format(e='black_elo')} AS FLOAT) AS elo,
