@@ -324,8 +324,50 @@ def q_validate_model(spark, sf):
     return _round(m, "mse", "mae", "rmse", "mae_elo", "rmse_elo", "loss")
 
 
+def q_game_features(spark, sf):
+    """M1 features per game from its FEN array (row-wise, no shuffle)."""
+    f = M.game_features(B.fens_b2(spark, sf))
+    return _round(f.select("game_id", "n_positions", "final_white", "final_black", "mean_pieces"),
+                  "mean_pieces")
+
+
+def q_dataset_pipeline(spark, sf):
+    """M5: training samples of every split with their batch per epoch."""
+    sp = split.split_exact(B.fens_b2(spark, sf))
+    d = M.dataset_pipeline(sp, epochs=(0, 1))
+    return d.select("game_id", "split", "epoch", "batch_id", "length", "elo")
+
+
 # --- sinks and sources, written to the shared scratch folder and read back -------
 
+def _write_archive(spark, sf, name, n_files=32):
+    """The derived PGN lines written as plain-text archive files, in order."""
+    src = scratch_path(spark, name)
+    B.pgn_lines_b4(spark, sf).repartition(n_files, "file").sortWithinPartitions("file", "ln") \
+        .select(F.col("line").alias("value")).write.text(src)
+    return src
+
+
+def q_archive_scan(spark, sf):
+    """S1 + S2 fast path: text files framed by the reader itself, then parsed."""
+    from fianchetto.sources import pgn
+    src = _write_archive(spark, sf, "pgn-archive")
+    p = games.parse_games(pgn.scan_pgn_games(spark, src))
+    gid = F.regexp_extract(F.col("headers").getItem("Site"), r"orders/(\d+)", 1).cast("long")
+    return games.valid_games(p).select(gid.alias("game_id"), "white_elo", "black_elo", "result",
+                                       F.size("moves").alias("n_moves"))
+
+
+def q_preprocess_archive(spark, sf):
+    """The whole preprocessing job (scan, frame, parse, replay, split, writes);
+    checked through the split table it writes."""
+    from fianchetto.plans import archive
+    src = _write_archive(spark, sf, "pgn-job-src")
+    out = scratch_path(spark, "pgn-job-out")
+    archive.preprocess_archive(spark, src, out)
+    return split.split_counts(runs.read_splits(spark, out + "/splits")).select("split", "n_games")
+
+
 def q_roundtrip_splits(spark, sf):
     """K2 + S4: write the split table partitioned by split, read one split back."""
     path = scratch_path(spark, "splits")

@@ -478,3 +478,24 @@ FROM bl GROUP BY run"""
 SQL["stream_early_stop"] = "WITH RECURSIVE " + H + ",\n" + _early_stop_ctes(5, 0.0) + \
     "\nSELECT run, stop_epoch, best_loss FROM st WHERE stop_epoch IS NOT NULL"
 SQL["roundtrip_games"] = SQL["valid_games"]
+SQL["game_features"] = _with(G, P) + f"""SELECT p.game_id, CAST(count(*) AS DOUBLE) AS n_positions,
+  CAST(arg_max(length(regexp_replace(split_part(fen, ' ', 1), '[^PNBRQK]', '', 'g')), ply) AS DOUBLE) AS final_white,
+  CAST(arg_max(length(regexp_replace(split_part(fen, ' ', 1), '[^pnbrqk]', '', 'g')), ply) AS DOUBLE) AS final_black,
+  round(sum(length(regexp_replace(split_part(fen, ' ', 1), '[^pnbrqkPNBRQK]', '', 'g'))) / CAST(count(*) AS DOUBLE), {R}) AS mean_pieces
+FROM p GROUP BY p.game_id"""
+SQL["dataset_pipeline"] = _with(G, SPLIT) + f"""SELECT s.game_id, s.split, e.epoch,
+  CAST((CASE WHEN s.split = 'train'
+        THEN row_number() OVER (PARTITION BY s.split, e.epoch ORDER BY
+               md5('42:' || CAST(e.epoch AS VARCHAR) || ':' || CAST(s.game_id AS VARCHAR)), s.game_id) - 1
+        ELSE s.split_rk END) // 32 AS BIGINT) AS batch_id,
+  CAST(least(g.n_ply + 1, 200) AS INTEGER) AS length,
+  CAST({NORM.format(e='g.white_elo')} AS FLOAT) AS elo
+FROM s JOIN g USING (game_id), (SELECT CAST(unnest([0, 1]) AS INTEGER) AS epoch) e"""
+SQL["archive_scan"] = SQL["valid_games"]
+SQL["preprocess_archive"] = _with(LINES, FRAME_CLEAN, PARSED) + """, n AS (SELECT count(*) AS n FROM parsed WHERE parse_status = 'ok')
+SELECT * FROM (VALUES ('train'), ('val'), ('test')) t(split), n""".replace("\n, n AS", ", n AS")
+SQL["preprocess_archive"] = _with(LINES, FRAME_CLEAN, PARSED) + """, n AS (SELECT count(*) AS n FROM parsed WHERE parse_status = 'ok'),
+c AS (SELECT CAST(trunc(n * 0.8::DOUBLE) AS BIGINT) AS tr, CAST(trunc(n * 0.1::DOUBLE) AS BIGINT) AS va, n FROM n)
+SELECT 'train' AS split, tr AS n_games FROM c
+UNION ALL SELECT 'val', va FROM c
+UNION ALL SELECT 'test', n - tr - va FROM c""".replace("\n, n AS", ", n AS")
