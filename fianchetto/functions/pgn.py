@@ -12,6 +12,11 @@ def _col(c) -> Column:
 
 # A tag line: [Name "value"]; the value runs to the last quote before "]".
 TAG_LINE = r'^\[([A-Za-z0-9][A-Za-z0-9_+#=:-]*)\s+"(.*)"\]\s*$'
+# The same, matched line by line inside a block (whitespace never crosses a line end).
+TAG_LINES = r'(?m)^\[([A-Za-z0-9][A-Za-z0-9_+#=:-]*)[^\S\n]+"(.*)"\][^\S\n]*$'
+# Removed in one left-to-right pass: {comments}, ;line comments, $NAGs, move numbers.
+# Text inside a comment is consumed with it because the leftmost match wins.
+NOISE = r"\{[^}]*\}|;[^\n]*|\$\d+|\d+\.+"
 # Leading blank space and the consecutive header lines that follow it.
 HEADER_PREFIX = r"^\s*((?:\[[^\n]*(?:\n|$))*)"
 # Lines up to (not including) the first blank line or the next header line.
@@ -34,11 +39,9 @@ def header_block(text) -> Column:
 
 def header_tags(text) -> Column:
     """ARRAY<STRUCT<k,v>> of the tag lines of the first header block, in order."""
-    lines = F.split(header_block(text), "\n")
-    return F.filter(
-        F.transform(lines, lambda l: F.struct(F.regexp_extract(l, TAG_LINE, 1).alias("k"),
-                                              F.regexp_extract(l, TAG_LINE, 2).alias("v"))),
-        lambda e: e["k"] != "")
+    hb = header_block(text)
+    return F.arrays_zip(F.regexp_extract_all(hb, F.lit(TAG_LINES), 1).alias("k"),
+                        F.regexp_extract_all(hb, F.lit(TAG_LINES), 2).alias("v"))
 
 
 def tags_to_map(tags) -> Column:
@@ -69,12 +72,9 @@ def movetext(text) -> Column:
 def movetext_tokens(mt) -> Column:
     """Mainline SAN tokens: comments, variations (3 levels), NAGs, move numbers,
     annotation suffixes and the result token removed."""
-    s = F.regexp_replace(_col(mt), r"\{[^}]*\}", " ")
-    s = F.regexp_replace(s, r";[^\n]*", " ")
+    s = F.regexp_replace(_col(mt), NOISE, " ")
     for _ in range(3):
         s = F.regexp_replace(s, r"\([^()]*\)", " ")
-    s = F.regexp_replace(s, r"\$\d+", " ")
-    s = F.regexp_replace(s, r"\d+\.+", " ")
     toks = F.filter(F.split(s, r"\s+"),
                     lambda t: (t != "") & ~t.isin(*RESULT_TOKENS))
     toks = F.transform(toks, lambda t: F.regexp_replace(t, r"[?!]+$", ""))
