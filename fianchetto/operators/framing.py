@@ -67,22 +67,18 @@ def _frame_reference(lines, file_col, ln_col, line_col, chunk_lines, materialize
     # block = lines after the k-th blank line up to and including the (k+1)-th
     with_blk = running_agg(flagged, [file_col], [ln_col], _chunk(ln_col, chunk_lines),
                            {"_blk": F.col("_blank")}, inclusive=False, materialize=materialize)
+    # narrow block rows: does the block close a record (a move line and a closing blank)?
     blocks = (with_blk.groupBy(file_col, "_blk")
-              .agg(F.min(ln_col).alias("_first"),
-                   (F.max("_mv") * F.max("_blank")).alias("_end"),
-                   F.count(F.lit(1)).alias("_n"),
-                   F.array_sort(F.collect_list(F.struct(F.col(ln_col).alias("k"),
-                                                        F.col(line_col).alias("v")))).alias("_ls")))
+              .agg(F.min(ln_col).alias("_first"), (F.max("_mv") * F.max("_blank")).alias("_end")))
     # record = blocks up to and including the first closed block with a move line
     with_rec = running_agg(blocks, [file_col], ["_first"], _chunk("_first", chunk_lines),
                            {"_rec": F.col("_end")}, inclusive=False)
-    recs = (with_rec.groupBy(file_col, "_rec")
-            .agg(F.min("_first").alias("first_ln"),
-                 F.max("_end").alias("_complete"),
-                 F.sum("_n").cast("int").alias("n_lines"),
-                 F.array_sort(F.collect_list(F.struct(F.col("_first").alias("k"),
-                                                      F.col("_ls").alias("v")))).alias("_bl")))
+    # line text is gathered once, per record
+    tagged = with_blk.join(with_rec.select(file_col, "_blk", "_rec", "_end"), [file_col, "_blk"])
+    recs = (tagged.groupBy(file_col, "_rec")
+            .agg(F.min(ln_col).alias("first_ln"), F.max("_end").alias("_complete"),
+                 F.count(F.lit(1)).cast("int").alias("n_lines"),
+                 F.array_sort(F.collect_list(F.struct(F.col(ln_col).alias("k"),
+                                                      F.col(line_col).alias("v")))).alias("_ls")))
     return (recs.where(F.col("_complete") == 1)
-            .select(file_col, "first_ln", "n_lines",
-                    _join_lines(F.flatten(F.transform("_bl", lambda b: b["v"])), "v")
-                    .alias("game_text")))
+            .select(file_col, "first_ln", "n_lines", _join_lines(F.col("_ls"), "v").alias("game_text")))
