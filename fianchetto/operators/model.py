@@ -27,14 +27,17 @@ def game_features(games: DataFrame, fens_col: str = "fens") -> DataFrame:
     """Per-game numeric features from the game's own FEN array (row-wise):
     number of positions, final material (white, black), mean piece count."""
     fens = F.col(fens_col)
-    feats = F.transform(fens, lambda f: fen_features(f))
+    # piece counts per position, computed once as their own column
+    staged = games.withColumn("_pc", F.transform(fens, lambda f: fen_features(f).dropFields("to_move")))
+    pc = F.col("_pc")
     n = F.size(fens)
-    last = F.element_at(feats, -1)
-    return games.withColumn("n_positions", n.cast("double")) \
-        .withColumn("final_white", last["white_pieces"].cast("double")) \
-        .withColumn("final_black", last["black_pieces"].cast("double")) \
-        .withColumn("mean_pieces", F.aggregate(feats, F.lit(0.0), lambda a, x: a + x["piece_count"])
-                    / F.greatest(n, F.lit(1)))
+    last = F.element_at(pc, -1)
+    return (staged.withColumn("n_positions", n.cast("double"))
+            .withColumn("final_white", last["white_pieces"].cast("double"))
+            .withColumn("final_black", last["black_pieces"].cast("double"))
+            .withColumn("mean_pieces", F.aggregate(pc, F.lit(0.0), lambda a, x: a + x["piece_count"])
+                        / F.greatest(n, F.lit(1)))
+            .drop("_pc"))
 
 
 def fit_rating_model(train: DataFrame, features: Sequence[str], label: str = "target",
