@@ -82,3 +82,21 @@ def test_missing_splits_message(spark):
     import pytest
     with pytest.raises(FileNotFoundError):
         runs.read_splits(spark, "/nonexistent/splits")
+
+
+def test_fast_path_exact_across_input_splits(spark):
+    tmp = tempfile.mkdtemp()
+    games_txt = "".join(f'[Event "g{i}"]\n[WhiteElo "1500"]\n[BlackElo "1400"]\n\n1. e4 e5 2. Nf3 {i % 7} 1-0\n\n'
+                        for i in range(3000))
+    _write(tmp, "big.pgn", games_txt)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    try:
+        df = pgn.scan_pgn_games(spark, tmp)
+        assert df.rdd.getNumPartitions() > 5
+        rows = df.select("game_text").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    names = sorted(int(r.game_text.split('"')[1][1:]) for r in rows)
+    assert names == list(range(3000))
+    assert all(r.game_text.startswith('[Event "g') for r in rows)
