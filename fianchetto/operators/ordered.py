@@ -79,7 +79,9 @@ def exact_rank(df: DataFrame, partition_by: Sequence[str], hash_col: str,
                materialize: bool = False) -> DataFrame:
     """0-based rank of each row inside ``partition_by`` by (``hash_col``, ``tiebreak``).
 
-    ``hash_col`` must be a uniformly distributed lowercase hex string (e.g. md5).
+    ``hash_col`` must be a uniformly distributed lowercase hex string (e.g. md5)
+    of a per-row id.  Ids must be distinct: rows sharing one id share a bucket
+    (framing gives positional ids, so copies of a game still spread evenly).
     ``small_partitions`` says ``partition_by`` has few distinct values (splits,
     epochs), so the offsets table (<= values * 16**prefix_len rows) is broadcast.
     ``total`` optionally adds the partition's row count.  As in ``running_agg``
