@@ -37,3 +37,20 @@ def test_stream_early_stop_state(spark):
     for run in range(6):
         vals = [(e, v) for (rr, e, v, *_rest) in rows if rr == run]
         assert got.get(run) == _py_early_stop(vals, 5, 0.0)
+
+
+def test_stream_games_reference_mode_matches_batch(spark):
+    from fianchetto.operators import framing, games
+    from fianchetto.sources import pgn
+    from tests.test_pgn import GAMES
+    src, out, ck = (tempfile.mkdtemp() for _ in range(3))
+    text = GAMES.replace('[WhiteElo "1500"]', '[WhiteElo "1500"]\n[BlackElo "1400"]') + "\n\n"
+    for i in range(3):
+        with open(f"{src}/f{i}.pgn", "w") as f:
+            f.write(text)
+    s = ingest.stream_games(spark, src, out, ck, mode="reference")
+    batch = games.valid_games(games.parse_games(
+        framing.frame_games(pgn.scan_pgn_lines(spark, src), mode="reference")))
+    # per file: a; b (no moves) glued to c and lost with it; d -> 2 games
+    assert s["batches"] == 3 and s["games"] == batch.count() == 6
+    assert spark.read.parquet(out).count() == 6
