@@ -449,6 +449,19 @@ def q_stream_games(spark, sf):
                     F.size("moves").alias("n_moves"))
 
 
+def q_stream_games_reference(spark, sf):
+    """S3 with the original blank-line framing: one text file per archive file,
+    framed exactly inside each micro-batch (whole files per batch)."""
+    src, out, ck = (scratch_path(spark, n) for n in ("pgn-ref-src", "games-ref-out", "games-ref-ckpt"))
+    B.pgn_lines_b4(spark, sf).repartition("file").sortWithinPartitions("file", "ln") \
+        .select("file", F.col("line").alias("value")).write.partitionBy("file").text(src)
+    ingest.stream_games(spark, src, out, ck, max_files_per_trigger=32, mode="reference")
+    g = spark.read.parquet(out)
+    gid = F.regexp_extract(F.col("headers").getItem("Site"), r"orders/(\d+)", 1).cast("long")
+    return g.select(gid.alias("game_id"), "white_elo", "black_elo", "result",
+                    F.size("moves").alias("n_moves"))
+
+
 def q_stream_weighted_mean(spark, sf):
     """A5 as a streaming aggregate over batch-log files (complete mode)."""
     src, out, ck = (scratch_path(spark, n) for n in ("blog-src", "blog-out", "blog-ckpt"))

@@ -499,3 +499,5 @@ c AS (SELECT CAST(trunc(n * 0.8::DOUBLE) AS BIGINT) AS tr, CAST(trunc(n * 0.1::D
 SELECT 'train' AS split, tr AS n_games FROM c
 UNION ALL SELECT 'val', va FROM c
 UNION ALL SELECT 'test', n - tr - va FROM c""".replace("\n, n AS", ", n AS")
+SQL["stream_games_reference"] = _with(LINES, FRAME_REF, PARSED) + \
+    "SELECT game_id, white_elo, black_elo, result, CAST(len(moves) AS INTEGER) AS n_moves FROM parsed WHERE parse_status = 'ok'"

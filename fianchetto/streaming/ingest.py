@@ -84,6 +84,7 @@ def _stream_games_reference(spark, source_dir, output_dir, checkpoint_dir, max_f
     from fianchetto.operators.framing import frame_games
 
     lines = (spark.readStream.format("text").option("maxFilesPerTrigger", max_files_per_trigger)
+             .option("recursiveFileLookup", True)
              .load(source_dir).select(F.col("_metadata.file_path").alias("file"),
                                       F.col("value").alias("line")))
     counts = []
