@@ -10,9 +10,8 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-# A tag line: [Name "value"]; the value runs to the last quote before "]".
-TAG_LINE = r'^\[([A-Za-z0-9][A-Za-z0-9_+#=:-]*)\s+"(.*)"\]\s*$'
-# The same, matched line by line inside a block (whitespace never crosses a line end).
+# A tag line [Name "value"], matched line by line inside the header block; the value
+# runs to the last quote before "]" and whitespace never crosses a line end.
 TAG_LINES = r'(?m)^\[([A-Za-z0-9][A-Za-z0-9_+#=:-]*)[^\S\n]+"(.*)"\][^\S\n]*$'
 # Removed in one left-to-right pass: {comments}, ;line comments, $NAGs, move numbers.
 # Text inside a comment is consumed with it because the leftmost match wins.
