@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fianchetto.functions.pgn import has_moves, is_blank
-from fianchetto.operators.ordered import running_agg
+from fianchetto.operators.ordered import materialize_df, running_agg
 
 # lines per chunk of the two-phase running count: a hot file at 100 TB gives
 # ~1e7 narrow chunk rows to the offsets window, and each chunk window sorts
@@ -67,6 +67,9 @@ def _frame_reference(lines, file_col, ln_col, line_col, chunk_lines, materialize
     # block = lines after the k-th blank line up to and including the (k+1)-th
     with_blk = running_agg(flagged, [file_col], [ln_col], _chunk(ln_col, chunk_lines),
                            {"_blk": F.col("_blank")}, inclusive=False, materialize=materialize)
+    if materialize:
+        # read twice below (block flags, then the line text per record)
+        with_blk = materialize_df(with_blk)
     # narrow block rows: does the block close a record (a move line and a closing blank)?
     blocks = (with_blk.groupBy(file_col, "_blk")
               .agg(F.min(ln_col).alias("_first"), (F.max("_mv") * F.max("_blank")).alias("_end")))

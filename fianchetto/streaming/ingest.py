@@ -90,9 +90,10 @@ def _stream_games_reference(spark, source_dir, output_dir, checkpoint_dir, max_f
     counts = []
 
     def per_batch(batch_df, batch_id):
-        # a static frame: line order within each file is the scan order
+        # a static frame: line order within each file is the scan order; the
+        # framing's twice-read intermediates are checkpointed (shared folder)
         numbered = batch_df.withColumn("ln", F.monotonically_increasing_id())
-        out = _games_from_records(frame_games(numbered, mode="reference"), replay_moves)
+        out = _games_from_records(frame_games(numbered, mode="reference", materialize=True), replay_moves)
         out = out.withColumn("batch_id", F.lit(batch_id).cast("long"))
         out.write.mode("overwrite").parquet(f"{output_dir}/batch={batch_id}")
         counts.append(spark.read.parquet(f"{output_dir}/batch={batch_id}").count())
