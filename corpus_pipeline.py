@@ -1,24 +1,54 @@
 """The corpus pipeline: stages over ``documents``, each by one operator of ``fianchetto.llm``.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
-one's ``docs``.
+one's ``docs``.  All but the last return the columns of ``documents``.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from fianchetto.llm import packing
+from fianchetto.llm import decontam, near_dedup, packing, pii, quality
 from fianchetto.llm.common import materialize
 from fianchetto.llm.queries import table, vocabulary
 
 
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose quality score is at least 0.3; the others go. Learns from this stage's labelled documents."""
+    model = quality.fit_quality(docs, table(spark, sf_dir, "labels"))
+    return docs.where(quality.quality_score(model, F.col("text")) >= 0.3)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates (five words, similarity 0.8): the one with the least doc_id."""
+    found = near_dedup.near_duplicates(docs, percent=80, size=5)
+    gone = found.where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
+
+
+def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no test item of ``benchmark``."""
+    return decontam.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data replaced by its kind in brackets; n_chars follows."""
+    return pii.redact(docs)
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that are left, packed into sequences: one row per piece."""
     return packing.pack_documents(docs, vocabulary("byte_bpe_50k.json"))
 
 
-STAGES = [("best-fit packing", pack)]
+STAGES = [
+    ("quality classifier", keep_quality),
+    ("near duplicates", drop_near_duplicates),
+    ("benchmark decontamination", drop_benchmark),
+    ("personal data", redact_pii),
+    ("best-fit packing", pack),
+]
 
 #: SQL cannot express the stages (trained models, tokenizers): the tests hold them against plainer versions.
 ORACLE_SQL = None

@@ -16,6 +16,8 @@ CHARS_PER_STEP = 1 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: White space and ASCII signs: what parts words where only letters and digits make them up.
+_NO_LETTER = np.array([not (chr(b).isalnum() or b >= 128) for b in range(256)])
 _BASE = 0x9E3779B97F4A7C15
 _POWERS: list[np.ndarray] = []
 
@@ -69,15 +71,17 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0], _POWERS[1]
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts: list[bytes], letters_only: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hash of every word ``[^\\x20\\x09-\\x0D]+`` of the texts in order, and each text's first word index.
 
+    With ``letters_only``, ASCII signs part words, too.
+
     Returns (hashes, offsets) with len(offsets) = len(texts) + 1.  A polynomial hash by prefix sums, mixed at the
     end: equal words have equal hashes on every machine.
     """
     raw = b"\n".join(texts) + b"\n"
     a = np.frombuffer(raw, np.uint8)
-    space = _SPACE[a]
+    space = (_NO_LETTER if letters_only else _SPACE)[a]
     edge = np.flatnonzero(space[1:] != space[:-1]) + 1
     if not space[0]:
         edge = np.concatenate(([0], edge))
