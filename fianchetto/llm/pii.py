@@ -83,14 +83,14 @@ def _side(char: Column) -> Column:
 
 def _cell(kind: int, strict: bool, hit: Column, before: Column, after: Column) -> Column:
     """The candidate's cell as one number; every part of it is a small integer (see CELL)."""
-    words = F.lower(before)
+    words, digits = F.lower(before), F.regexp_replace(hit, r"[^0-9]", "")
     parts = {
-        "kind": F.lit(kind), "strict": F.lit(int(strict)), "digits": F.least(_digits(hit), F.lit(20)),
+        "kind": F.lit(kind), "strict": F.lit(int(strict)), "digits": F.least(F.length(digits), F.lit(20)),
         "separators": F.least(F.length(F.regexp_replace(hit, r"[^\x20().\[\]{}/_:-]", "")), F.lit(4)),
         "left": _side(F.right(before, F.lit(1))), "right": _side(F.left(after, F.lit(1))),
         "words": F.when(words.rlike(_OTHERWISE), 2).when(words.rlike(_KEYWORDS[kind]), 1).otherwise(0),
         "length": F.least((F.length(hit) / 4).cast("int"), F.lit(11)),
-        "varied": F.when(hit.rlike(r"^[^0-9]*([0-9])(?:[^0-9]*\1)*[^0-9]*$"), 0).otherwise(1) if kind in (2, 3) else F.lit(1),
+        "varied": F.when(F.replace(digits, F.left(digits, F.lit(1)), F.lit("")) == "", 0).otherwise(1) if kind in (2, 3) else F.lit(1),
     }
     return reduce(lambda code, name: code * CELL[name] + parts[name].cast("long"), CELL, F.lit(0).cast("long"))
 
@@ -196,7 +196,7 @@ def selected_spans(model: PiiModel) -> Column:
     if not model.cells:
         extra = none
     else:
-        cells = F.array(*[F.lit(c) for c in model.cells])
+        cells = F.from_json(F.lit(str(list(model.cells))), "array<bigint>")
         free = F.filter("_more", lambda s: F.array_contains(cells, s["cell"]) & ~F.exists("_base", lambda b: _touches(b, s)))
         order = F.array_sort(free, lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"])
                              .when(a["end"] != b["end"], b["end"] - a["end"]).otherwise(a["kind"] - b["kind"]))
@@ -220,7 +220,7 @@ def find_pii(docs: DataFrame) -> DataFrame:
     """
     found = materialize(with_candidates(docs.select(F.col("doc_id").cast("long"), "text")).select("doc_id", "_base", "_more"), "pii-candidates")
     model = fit_pii(found)
-    counts = [F.size(F.filter("_base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
+    counts = [F.size(F.filter("_base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]  # noqa: B023
     return found.select("doc_id", *counts, F.sha2(spans_text(F.col("_base")), 256).alias("base_sha256"), spans_text(selected_spans(model)).alias("spans"))
 
 
@@ -230,12 +230,14 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     Of overlapping spans of different kinds, the union is replaced, under the kind of the one that starts first.  A null
     text stays null.  Columns and their order stay.
     """
-    model = fit_pii(with_candidates(docs.select(F.col("doc_id").cast("long"), text), text))
     names = docs.columns
-    found = with_candidates(docs, text).withColumn("_spans", F.array_sort(selected_spans(model), lambda a, b: F.when(
-        a["start"] != b["start"], a["start"] - b["start"]).when(a["end"] != b["end"], b["end"] - a["end"]).otherwise(a["kind"] - b["kind"])))
+    packed = docs.select(F.struct("*").alias("row"), F.col(text).alias("text"))  # other columns may bear any name
+    model = fit_pii(with_candidates(packed.select(F.col("row.doc_id").cast("long").alias("doc_id"), "text")))
+    by_start = F.array_sort(selected_spans(model), lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"])
+                            .when(a["end"] != b["end"], b["end"] - a["end"]).otherwise(a["kind"] - b["kind"]))
+    found = with_candidates(packed).select("row", "text", by_start.alias("spans"))
     kinds = F.array(*[F.lit(f"[{k}]") for k in KINDS])
-    body = F.col(text)
+    body = F.col("text")
 
     def put(acc, s):
         own = s["start"] >= acc["at"]  # else it overlaps the one before: its rest goes, too
@@ -244,8 +246,7 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], F.array(F.concat(between, mark))).alias("out"))
 
     start = F.struct(F.lit(0).alias("at"), F.from_json(F.lit("[]"), "array<string>").alias("out"))
-    whole = F.aggregate("_spans", start, put, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr(body, acc["at"] + 1, F.length(body))))
-    done = found.withColumn(text, F.when(F.size("_spans") > 0, whole).otherwise(body))
-    if "n_chars" in names:
-        done = done.withColumn("n_chars", F.length(text).cast(dict(docs.dtypes)["n_chars"]))
-    return done.select(*names)
+    whole = F.aggregate("spans", start, put, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr(body, acc["at"] + 1, F.length(body))))
+    done = found.select("row", F.when(F.size("spans") > 0, whole).otherwise(body).alias("text"))
+    new = {text: F.col("text"), "n_chars": F.length("text").cast(dict(docs.dtypes).get("n_chars", "long"))}
+    return done.select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in names])
