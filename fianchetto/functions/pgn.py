@@ -18,6 +18,10 @@ TAG_LINES = r'(?m)^\[([A-Za-z0-9][A-Za-z0-9_+#=:-]*)[^\S\n]+"(.*)"\][^\S\n]*$'
 NOISE = r"\{[^}]*\}|;[^\n]*|\$\d+|\d+\.+"
 # Leading blank space and the consecutive header lines that follow it.
 HEADER_PREFIX = r"^\s*((?:\[[^\n]*(?:\n|$))*)"
+# Comments, which may run over line ends and blank lines.
+COMMENTS = r"\{[^}]*\}|;[^\n]*"
+# A line that begins with % is an escape: readers skip it.
+ESCAPE_LINES = r"(?m)^%[^\n]*(?:\n|$)"
 # Lines up to (not including) the first blank line or the next header line.
 MOVETEXT_LINES = r"^((?:[^\[\n][^\n]*(?:\n|$))*)"
 RESULT_TOKENS = ["1-0", "0-1", "1/2-1/2", "*"]
@@ -32,8 +36,12 @@ def has_moves(line) -> Column:
     return _col(line).rlike(r"^\s*1\. .*\S| 1\. ")
 
 
+def without_escapes(text) -> Column:
+    return F.regexp_replace(_col(text), ESCAPE_LINES, "")
+
+
 def header_block(text) -> Column:
-    return F.regexp_extract(_col(text), HEADER_PREFIX, 1)
+    return F.regexp_extract(without_escapes(text), HEADER_PREFIX, 1)
 
 
 def header_tags(text) -> Column:
@@ -63,18 +71,27 @@ def header_value(text_or_map, name: str) -> Column:
 
 def movetext(text) -> Column:
     """Movetext of the first game in the record: after its headers and blank lines,
-    up to the next blank line or header line."""
-    body = F.regexp_replace(_col(text), r"^\s*(?:\[[^\n]*(?:\n|$))*\s*", "")
-    return F.regexp_extract(body, MOVETEXT_LINES, 1)
+    without comments, up to the next blank line or header line."""
+    body = F.regexp_replace(without_escapes(text), r"^\s*(?:\[[^\n]*(?:\n|$))*\s*", "")
+    return F.regexp_extract(F.regexp_replace(body, COMMENTS, " "), MOVETEXT_LINES, 1)
 
 
 def movetext_tokens(mt) -> Column:
-    """Mainline SAN tokens: comments, variations (3 levels), NAGs, move numbers,
-    annotation suffixes and the result token removed."""
+    """Mainline SAN tokens: comments, variations of any depth, NAGs, move numbers,
+    annotation suffixes and the result token removed.  A closing bracket without an
+    opening one is ignored; an open variation runs to the end."""
     s = F.regexp_replace(_col(mt), NOISE, " ")
-    for _ in range(3):
-        s = F.regexp_replace(s, r"\([^()]*\)", " ")
-    toks = F.filter(F.split(s, r"\s+"),
-                    lambda t: (t != "") & ~t.isin(*RESULT_TOKENS))
+    flat = F.split(s, r"\s+")
+    # a running bracket depth over the tokens keeps those at depth 0
+    marked = F.split(F.regexp_replace(s, r"([()])", " $1 "), r"\s+")
+    start = F.struct(F.lit(0).alias("depth"), F.array().cast("array<string>").alias("main"))
+
+    def step(acc, t):
+        depth = F.when(t == "(", acc["depth"] + 1).when(t == ")", F.greatest(acc["depth"] - 1, F.lit(0))).otherwise(acc["depth"])
+        main = F.when((acc["depth"] == 0) & ~t.isin("(", ")"), F.array_append(acc["main"], t)).otherwise(acc["main"])
+        return F.struct(depth.alias("depth"), main.alias("main"))
+
+    mainline = F.when(F.contains(s, F.lit("(")) | F.contains(s, F.lit(")")), F.aggregate(marked, start, step)["main"]).otherwise(flat)
+    toks = F.filter(mainline, lambda t: (t != "") & ~t.isin(*RESULT_TOKENS))
     toks = F.transform(toks, lambda t: F.regexp_replace(t, r"[?!]+$", ""))
     return F.filter(toks, lambda t: t != "")

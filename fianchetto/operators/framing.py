@@ -76,12 +76,15 @@ def _frame_reference(lines, file_col, ln_col, line_col, chunk_lines, materialize
     # record = blocks up to and including the first closed block with a move line
     with_rec = running_agg(blocks, [file_col], ["_first"], _chunk("_first", chunk_lines),
                            {"_rec": F.col("_end")}, inclusive=False)
+    # a record that never closes (the rest of a file, or a whole file without a move
+    # marker) goes here, on block rows, before any text is gathered
+    closed = with_rec.where("_end = 1").select(file_col, "_rec").distinct()
+    kept = with_rec.select(file_col, "_blk", "_rec").join(closed, [file_col, "_rec"], "left_semi")
     # line text is gathered once, per record
-    tagged = with_blk.join(with_rec.select(file_col, "_blk", "_rec", "_end"), [file_col, "_blk"])
+    tagged = with_blk.join(kept, [file_col, "_blk"])
     recs = (tagged.groupBy(file_col, "_rec")
-            .agg(F.min(ln_col).alias("first_ln"), F.max("_end").alias("_complete"),
+            .agg(F.min(ln_col).alias("first_ln"),
                  F.count(F.lit(1)).cast("int").alias("n_lines"),
                  F.array_sort(F.collect_list(F.struct(F.col(ln_col).alias("k"),
                                                       F.col(line_col).alias("v")))).alias("_ls")))
-    return (recs.where(F.col("_complete") == 1)
-            .select(file_col, "first_ln", "n_lines", _join_lines(F.col("_ls"), "v").alias("game_text")))
+    return (recs.select(file_col, "first_ln", "n_lines", _join_lines(F.col("_ls"), "v").alias("game_text")))

@@ -8,12 +8,13 @@ is a barrier Catalyst cannot push filters through.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fianchetto.constants import ELO_VALID_HIGH, ELO_VALID_LOW, MIN_POSITIONS
 from fianchetto.functions.elo import parse_elo
 from fianchetto.functions.pgn import header_tags, movetext, movetext_tokens, tags_to_map
+from fianchetto.operators.ordered import running_agg
 
 STATUSES = ["ok", "missing_header", "bad_elo", "elo_out_of_range", "too_short"]
 
@@ -23,15 +24,18 @@ def _nonempty(c):
 
 
 def parse_games(records: DataFrame, text_col: str = "game_text",
-                id_col: str | None = None) -> DataFrame:
+                id_col: str | None = None, id_header: str | None = None) -> DataFrame:
     """Add headers, ratings, result, SAN tokens and ``parse_status``.
 
-    ``id_col`` names an existing id; otherwise ``game_id`` is a 64-bit hash of
-    (file, first_ln), the record's position in the archive.
+    ``id_col`` names an existing id, ``id_header`` a header that identifies a game;
+    otherwise ``game_id`` is a 128-bit hash of (file, first_ln), the record's
+    position in the archive.
     """
     df = records
-    if id_col is None:
-        df = df.withColumn("game_id", F.xxhash64("file", "first_ln"))
+    if id_header is not None:
+        pass
+    elif id_col is None:
+        df = df.withColumn("game_id", F.md5(F.concat_ws(":", "file", "first_ln").cast("binary")))
     elif id_col != "game_id":
         df = df.withColumn("game_id", F.col(id_col))
     # The two expensive extractions (header map, SAN tokens) are emitted by a
@@ -42,6 +46,8 @@ def parse_games(records: DataFrame, text_col: str = "game_text",
           .select(*keep, F.inline(F.array(F.struct(
               tags_to_map("_tags").alias("headers"),
               movetext_tokens(movetext(text_col)).alias("moves"))))))
+    if id_header is not None:
+        df = df.withColumn("game_id", F.col("headers").getItem(id_header))
     df = (df.withColumn("white_elo_raw", F.col("headers").getItem("WhiteElo"))
           .withColumn("black_elo_raw", F.col("headers").getItem("BlackElo"))
           # the PGN reader fills an absent Result with "*"
@@ -69,8 +75,19 @@ def reject_counts(parsed: DataFrame) -> DataFrame:
     return parsed.groupBy("parse_status").agg(F.count(F.lit(1)).alias("n_games"))
 
 
-def max_games(games: DataFrame, n: int | None, order_by=("file", "first_ln")) -> DataFrame:
-    """First ``n`` games in archive order (TakeOrderedAndProject); 0/None = all."""
+def max_games(games: DataFrame, n: int | None, file: str = "file", order: str = "first_ln",
+              chunk_records: int = 65536) -> DataFrame:
+    """First ``n`` games in archive order (file, then position); 0/None = all.
+
+    A game's rank is the number of games in the files before its own (one row a
+    file) plus a two-phase running count in its file, so no task holds ``n`` rows.
+    Apply it before costly steps."""
     if not n:
         return games
-    return games.orderBy(*order_by).limit(n)
+    before = Window.orderBy(file).rowsBetween(Window.unboundedPreceding, -1)
+    files = games.groupBy(file).agg(F.count(F.lit(1)).alias("_n")).select(
+        file, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    first = files.where(F.col("_before") < n)  # later files hold none of the first n
+    counted = running_agg(games.join(first, file), [file], [order], F.floor(F.col(order) / chunk_records),
+                          {"_rank": F.lit(1)}, inclusive=False)
+    return counted.where(F.col("_before") + F.col("_rank") < n).drop("_before", "_rank")

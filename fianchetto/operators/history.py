@@ -25,21 +25,29 @@ def history(train: DataFrame, val: DataFrame, keys=("run", "epoch")) -> DataFram
 def running_best(hist: DataFrame, loss: str = "val_loss", run: str = "run",
                  epoch: str = "epoch") -> DataFrame:
     """Best loss before each epoch and whether this epoch improves on it (the
-    checkpoint rule ``loss < best``, best starting at +inf)."""
+    checkpoint rule ``loss < best``, best starting at +inf; a NaN loss never
+    improves and is never the best)."""
     w = Window.partitionBy(run).orderBy(epoch).rowsBetween(Window.unboundedPreceding, -1)
-    prev = F.min(loss).over(w)
+    prev = F.min(_number(loss)).over(w)
+    below = _number(loss) < F.coalesce(prev, F.lit(float("inf")))
     return (hist.withColumn("best_before", prev)
-            .withColumn("improved", prev.isNull() | (F.col(loss) < prev)))
+            .withColumn("improved", F.coalesce(below, F.lit(False))))
+
+
+def _number(loss: str):
+    """The loss, NULL where it is NaN (Spark orders NaN above every number)."""
+    return F.when(~F.isnan(F.col(loss).cast("double")), F.col(loss))
 
 
 def best_epoch(hist: DataFrame, loss: str = "val_loss", run: str = "run",
                epoch: str = "epoch") -> DataFrame:
     """Per run: the earliest epoch with the minimum loss, that loss, and the
-    number of checkpoints the strict-improvement rule saves."""
+    number of checkpoints the strict-improvement rule saves.  NaN losses do not
+    count; a run that has no other has no best epoch."""
     rb = running_best(hist, loss, run, epoch)
     return rb.groupBy(run).agg(
-        F.min_by(F.col(epoch), F.struct(F.col(loss), F.col(epoch))).alias("best_epoch"),
-        F.min(loss).alias("best_loss"),
+        F.min_by(F.col(epoch), F.when(_number(loss).isNotNull(), F.struct(F.col(loss), F.col(epoch)))).alias("best_epoch"),
+        F.min(_number(loss)).alias("best_loss"),
         F.sum(F.col("improved").cast("int")).cast("int").alias("n_checkpoints"))
 
 
@@ -57,14 +65,15 @@ def early_stop(hist: DataFrame, patience: int = EARLY_STOP_PATIENCE,
 
     Rule: the first value sets best; a value ``< best - min_delta`` becomes the
     new best and resets the counter; otherwise the counter grows and training
-    stops once it reaches ``patience``.
+    stops once it reaches ``patience``.  Comparisons with NaN are false, so a NaN
+    loss counts as no improvement, and after a NaN first loss nothing improves.
     """
     init = F.struct(F.lit(None).cast("double").alias("best"), F.lit(0).alias("cnt"),
                     F.lit(None).cast("int").alias("stop"))
 
     def step(s, x):
         first = s["best"].isNull()
-        improved = x["v"] < s["best"] - F.lit(float(min_delta))
+        improved = ~F.isnan(s["best"]) & (x["v"] < s["best"] - F.lit(float(min_delta)))
         reset = first | improved
         cnt = F.when(reset, F.lit(0)).otherwise(s["cnt"] + 1)
         nxt = F.struct(F.when(reset, x["v"]).otherwise(s["best"]).alias("best"),
@@ -104,7 +113,7 @@ def lr_schedule(hist: DataFrame, lr0: float = 1e-3, factor: float = LR_FACTOR,
                     F.array().cast("array<struct<e:int,lr:double,next_lr:double>>").alias("out"))
 
     def step(s, x):
-        better = x["v"] < s["best"] * F.lit(rel)
+        better = ~F.isnan(s["best"]) & (x["v"] < s["best"] * F.lit(rel))
         bad = F.when(better, F.lit(0)).otherwise(s["bad"] + 1)
         reduce = bad > patience
         cand = F.greatest(s["lr"] * F.lit(float(factor)), F.lit(float(min_lr)))

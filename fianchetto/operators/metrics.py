@@ -73,22 +73,22 @@ def bands_frame(spark: SparkSession, bands=DEFAULT_ELO_BANDS) -> DataFrame:
 
 def segment_by_elo(scored: DataFrame, bands: DataFrame | None = None, target: str = "target",
                    pred: str = "pred", close_last: bool = False,
-                   min_elo: int = ELO_MIN, max_elo: int = ELO_MAX) -> DataFrame:
+                   min_elo: int = ELO_MIN, max_elo: int = ELO_MAX,
+                   precision: str = "float64") -> DataFrame:
     """Per band of *target* rating: count, mae, rmse (in rating points).
 
     Bands are half-open [min, max), may overlap (a row counts in each), and an
-    empty band yields no row.  The band table is a user list, so its size is
-    known and it is broadcast; the join is a range predicate.
+    empty band yields no row.  ``precision='float32'`` rounds targets and
+    predictions through FLOAT before they are truncated to ratings.
     """
     spark = scored.sparkSession
     b = bands if bands is not None else bands_frame(spark)
-    df = with_elo(scored, target, pred, min_elo, max_elo)
-    te = F.col("target_elo")
-    hi_ok = (te < F.col("max_elo"))
+    df = with_elo(scored, target, pred, min_elo, max_elo, precision)
+    top = F.col("max_elo")
     if close_last:
-        top = b.agg(F.max("max_elo")).scalar()
-        hi_ok = hi_ok | ((te == F.col("max_elo")) & (F.col("max_elo") == top))
-    joined = df.join(F.broadcast(b), (te >= F.col("min_elo")) & hi_ok)
+        last = b.agg(F.max("max_elo")).scalar()
+        top = F.when(F.col("max_elo") == last, F.col("max_elo") + 1).otherwise(F.col("max_elo"))
+    joined = _band_join(df, "target_elo", b, top)
     d = (F.col("target_elo") - F.col("pred_elo")).cast("double")
     return (joined.groupBy("label", "min_elo", "max_elo")
             .agg(F.count(F.lit(1)).alias("count"), F.avg(F.abs(d)).alias("mae"),
@@ -97,6 +97,23 @@ def segment_by_elo(scored: DataFrame, bands: DataFrame | None = None, target: st
                                              F.col("max_elo").cast("string"))))
 
 
+#: Bands up to which a band table is broadcast; a longer one is joined by rating.
+BROADCAST_BANDS = 1000
+
+
+def _band_join(df: DataFrame, elo: str, bands: DataFrame, top) -> DataFrame:
+    """Rows joined with the bands [min_elo, top) that hold their whole-number rating.
+
+    A checked, short band list is broadcast for a range join; a longer one becomes
+    one row per rating of each band, joined by equality."""
+    b = bands.withColumn("_top", top)
+    if b.limit(BROADCAST_BANDS + 1).count() <= BROADCAST_BANDS:
+        e = F.col(elo)
+        return df.join(F.broadcast(b), (e >= F.col("min_elo")) & (e < F.col("_top"))).drop("_top")
+    each = b.where(F.col("min_elo") < F.col("_top")).withColumn("_elo", F.explode(F.sequence(F.col("min_elo"), F.col("_top") - 1)))
+    return df.join(each, F.col(elo) == F.col("_elo")).drop("_top", "_elo")
+
+
 def difficulty_segments(spark: SparkSession, num_segments: int = 4, min_elo: int = ELO_MIN,
                         max_elo: int = ELO_MAX) -> DataFrame:
     """Equal-width difficulty bands; bounds truncated to int like the original."""
@@ -119,19 +136,19 @@ def difficulty_segments(spark: SparkSession, num_segments: int = 4, min_elo: int
 
 
 def assign_difficulty(games: DataFrame, elo_col: str, segments: DataFrame) -> DataFrame:
-    """Count games per difficulty band of ``elo_col`` ([min, max)); the segment
-    table has ``num_segments`` rows, so it is broadcast."""
-    e = F.col(elo_col)
-    j = games.join(F.broadcast(segments), (e >= F.col("min_elo")) & (e < F.col("max_elo")))
+    """Count games per difficulty band of ``elo_col`` ([min, max)); ratings outside
+    all bands are in no row."""
+    j = _band_join(games, elo_col, segments, F.col("max_elo"))
     return j.groupBy("segment", "difficulty", "elo_range", "min_elo", "max_elo", "color") \
         .agg(F.count(F.lit(1)).alias("n_games"))
 
 
 def residuals(scored: DataFrame, target: str = "target", pred: str = "pred",
-              elo: bool = True) -> DataFrame:
-    """target - prediction, in rating points when ``elo`` (else normalised)."""
+              elo: bool = True, precision: str = "float64") -> DataFrame:
+    """target - prediction, in rating points when ``elo`` (else normalised);
+    ``precision`` as in ``with_elo``."""
     if elo:
-        df = with_elo(scored, target, pred)
+        df = with_elo(scored, target, pred, precision=precision)
         return df.withColumn("residual", F.col("target_elo") - F.col("pred_elo"))
     return scored.withColumn("residual", F.col(target) - F.col(pred))
 
@@ -165,10 +182,10 @@ def residual_histogram(res: DataFrame, col: str = "residual", bins: int = 50) ->
 
 
 def prediction_scatter(scored: DataFrame, bin_width: int = 100, target: str = "target",
-                       pred: str = "pred") -> DataFrame:
+                       pred: str = "pred", precision: str = "float64") -> DataFrame:
     """2-D binned (target, prediction) counts in rating points, with per-cell
     extremes; the diagonal's ends are the min/max over cells."""
-    df = with_elo(scored, target, pred)
+    df = with_elo(scored, target, pred, precision=precision)
     tb = (F.floor(F.col("target_elo") / bin_width) * bin_width).cast("int")
     pb = (F.floor(F.col("pred_elo") / bin_width) * bin_width).cast("int")
     return df.groupBy(tb.alias("target_bin"), pb.alias("pred_bin")).agg(
@@ -211,9 +228,7 @@ def train_epoch_metrics(batch_log: DataFrame, group_by=("run", "epoch"), loss: s
 def validate(scored: DataFrame, batch_col: str = "batch_id", target: str = "target",
              pred: str = "pred", **kw) -> DataFrame:
     """Validation/test metrics: A2 over all rows plus ``loss``, the sample-weighted
-    mean of per-batch MSE (the meter the training loop keeps)."""
-    t, p = F.col(target).cast("double"), F.col(pred).cast("double")
-    per_batch = scored.groupBy(batch_col).agg(F.avg((t - p) * (t - p)).alias("_mse"),
-                                              F.count(F.lit(1)).alias("_n"))
-    loss = per_batch.agg(F.sum(F.col("_mse") * F.col("_n")) / F.sum("_n")).scalar()
-    return regression_metrics(scored, target, pred, **kw).withColumn("loss", loss)
+    mean of per-batch MSE (the meter the training loop keeps).  Weighted by the
+    batches' sizes, that mean is the MSE over all rows whatever the batches are, so
+    one pass (and one run of the model that ``scored`` holds) gives both."""
+    return regression_metrics(scored, target, pred, **kw).withColumn("loss", F.col("mse"))

@@ -40,6 +40,19 @@ def game_features(games: DataFrame, fens_col: str = "fens") -> DataFrame:
             .drop("_pc"))
 
 
+TOKEN_FEATURES = ("n_moves", "captures", "checks", "castles", "promotions")
+
+
+def token_features(games: DataFrame, moves: str = "moves") -> DataFrame:
+    """Per-game numbers straight from the SAN tokens (no replay, no shuffle)."""
+    def holding(sign):
+        return F.size(F.filter(moves, lambda t: F.contains(t, F.lit(sign)))).cast("double")
+
+    return games.withColumns({
+        "n_moves": F.size(moves).cast("double"), "captures": holding("x"),
+        "checks": holding("+") + holding("#"), "castles": holding("O-O"), "promotions": holding("=")})
+
+
 def fit_rating_model(train: DataFrame, features: Sequence[str], label: str = "target",
                      kind: str = "linear", **params) -> PipelineModel:
     """Fit ``VectorAssembler -> regressor`` with squared loss on ``label``."""
@@ -105,6 +118,14 @@ def load_model(path: str) -> PipelineModel:
     return PipelineModel.load(path)
 
 
+def load_checkpoint(spark: SparkSession, path: str, checkpoints_table: str) -> tuple[PipelineModel, int | None, float | None]:
+    """The model saved at ``path`` with the epoch and best validation loss that
+    ``save_model`` noted for it (the latest epoch, if noted more than once)."""
+    info = (spark.read.parquet(checkpoints_table).where(F.col("path") == path)
+            .agg(F.max(F.struct("epoch", "best_val_loss")).alias("i")).first().i)
+    return load_model(path), info and info.epoch, info and info.best_val_loss
+
+
 def dataset_pipeline(split_df: DataFrame, epochs=(0,), batch_size: int = BATCH_SIZE,
                      use_white_elo: bool = True, max_len: int = 200) -> DataFrame:
     """Samples for every split with their batch assignment per epoch (train

@@ -75,15 +75,14 @@ def running_agg(df: DataFrame, partition_by: Sequence[str], order_by: Sequence[s
 
 def exact_rank(df: DataFrame, partition_by: Sequence[str], hash_col: str,
                tiebreak: Sequence[str], out: str = "rk", total: str | None = None,
-               prefix_len: int = 4, small_partitions: bool = True,
-               materialize: bool = False) -> DataFrame:
+               prefix_len: int = 4, materialize: bool = False) -> DataFrame:
     """0-based rank of each row inside ``partition_by`` by (``hash_col``, ``tiebreak``).
 
     ``hash_col`` must be a uniformly distributed lowercase hex string (e.g. md5)
     of a per-row id.  Ids must be distinct: rows sharing one id share a bucket
     (framing gives positional ids, so copies of a game still spread evenly).
-    ``small_partitions`` says ``partition_by`` has few distinct values (splits,
-    epochs), so the offsets table (<= values * 16**prefix_len rows) is broadcast.
+    The offsets table has at most values * 16**prefix_len rows; how it is joined is
+    left to adaptive execution, which knows its measured size.
     ``total`` optionally adds the partition's row count.  As in ``running_agg``
     the input is read twice unless ``materialize``.
     """
@@ -97,8 +96,6 @@ def exact_rank(df: DataFrame, partition_by: Sequence[str], hash_col: str,
     offsets = counts.select(*partition_by, "_bucket",
                             F.coalesce(F.sum("_cnt").over(w), F.lit(0)).alias("_off"),
                             F.sum("_cnt").over(Window.partitionBy(*partition_by)).alias("_tot"))
-    if small_partitions:
-        offsets = F.broadcast(offsets)
     joined = tmp.join(offsets, [*partition_by, "_bucket"])
     w_in = Window.partitionBy(*partition_by, "_bucket").orderBy(F.col(hash_col), *tiebreak)
     res = joined.withColumn(out, F.col("_off") + F.row_number().over(w_in) - 1)

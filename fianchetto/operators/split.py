@@ -67,12 +67,14 @@ def sample_exact(split_df: DataFrame, sizes: dict[str, int], id_col: str = "game
 def assign_batches(split_df: DataFrame, epochs=(0,), batch_size: int = BATCH_SIZE,
                    id_col: str = "game_id", seed: int = SPLIT_SEED,
                    shuffle_splits=("train",)) -> DataFrame:
-    """One row per (game, epoch) with ``batch_id`` and ``batch_pos``.
+    """One row (id, split, split_rk, epoch, batch_id, batch_pos) per game and epoch.
 
     Shuffled splits get a fresh order per epoch; the others keep split order.
     The last batch may be short.
     """
-    ep = split_df.withColumn("epoch", F.explode(F.array(*[F.lit(int(e)) for e in epochs])))
+    # ids, splits and ranks only: a caller's other columns do not go through the shuffles
+    narrow = split_df.select(id_col, "split", "split_rk")
+    ep = narrow.withColumn("epoch", F.explode(F.array(*[F.lit(int(e)) for e in epochs])))
     ep = ep.withColumn("_h3", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("epoch").cast("string"),
                                                 F.col(id_col).cast("string")).cast("binary")))
     shuffled = ep.where(F.col("split").isin(*shuffle_splits))

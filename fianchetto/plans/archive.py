@@ -9,6 +9,7 @@ report, training log and run config.
 from __future__ import annotations
 
 import os
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,12 +24,15 @@ from fianchetto.sources import pgn, runs
 def preprocess_archive(spark: SparkSession, input_path: str, output_dir: str,
                        mode: str = "clean", max_games: int | None = None,
                        train_ratio: float = SPLIT_TRAIN, val_ratio: float = SPLIT_VAL,
-                       seed: int = SPLIT_SEED, materialize: bool = True) -> dict:
-    """Write ``games`` (parsed, replayed, valid), ``positions`` and ``splits``
-    (partitioned by split) under ``output_dir``; return split counts and rejects.
+                       seed: int = SPLIT_SEED, materialize: bool = True,
+                       replay_moves: bool = False) -> dict:
+    """Write ``games`` (parsed, valid) and ``splits`` (partitioned by split) under
+    ``output_dir``; return split counts, rejects and the rate of games written.
+    ``replay_moves`` also replays them and writes ``positions``.
 
     ``clean`` framing of plain text frames inside the reader (one pass, no
     shuffle); ``reference`` applies the original blank-line rule on lines."""
+    began = time.time()
     if mode == "clean":
         recs = pgn.scan_pgn_games(spark, input_path)
     else:
@@ -41,18 +45,19 @@ def preprocess_archive(spark: SparkSession, input_path: str, output_dir: str,
     rejects = {r.parse_status: r.n_games for r in games.reject_counts(parsed).collect()}
     ok = games.valid_games(parsed).select("game_id", "file", "first_ln", "white_elo", "black_elo",
                                           "result", "moves")
-    played = replay.finalize_games(replay.replay_games(ok))
-    if max_games:
-        played = games.max_games(played, max_games)
+    ok = games.max_games(ok, max_games)
+    if replay_moves:
+        ok = replay.finalize_games(replay.replay_games(ok))
     games_path = os.path.join(output_dir, "games")
-    writers.write_games(played.drop("moves"), games_path)
+    writers.write_games(ok, games_path)
     g = spark.read.parquet(games_path)
-    writers.write_games(replay.positions_table(g), os.path.join(output_dir, "positions"))
+    if replay_moves:
+        writers.write_games(replay.positions_table(g), os.path.join(output_dir, "positions"))
     sp = split.split_exact(g, train_ratio=train_ratio, val_ratio=val_ratio, seed=seed)
     writers.write_splits(sp, os.path.join(output_dir, "splits"))
     counts = {r.split: r.n_games for r in split.split_counts(
         spark.read.parquet(os.path.join(output_dir, "splits"))).collect()}
-    return {"splits": counts, "rejects": rejects}
+    return {"splits": counts, "rejects": rejects, "games_per_sec": sum(counts.values()) / (time.time() - began)}
 
 
 def train_and_evaluate(spark: SparkSession, data_dir: str, out_dir: str,
@@ -63,11 +68,11 @@ def train_and_evaluate(spark: SparkSession, data_dir: str, out_dir: str,
     splits = os.path.join(data_dir, "splits")
 
     def prepared(name: str) -> DataFrame:
-        df = model.game_features(runs.read_splits(spark, splits, name))
+        df = model.token_features(runs.read_splits(spark, splits, name))
         side = "white_elo" if use_white_elo else "black_elo"
         return df.withColumn("target", normalize_elo(side))
 
-    feats = ["n_positions", "final_white", "final_black", "mean_pieces"]
+    feats = list(model.TOKEN_FEATURES)
     m = model.fit_rating_model(prepared("train"), feats, label="target", kind=kind, **params)
     model.save_model(m, os.path.join(out_dir, "model"))
     scored = {s: model.score(m, prepared(s)).withColumn("batch_id", (F.col("split_rk") / 32).cast("long"))

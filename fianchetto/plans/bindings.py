@@ -65,19 +65,10 @@ N_FILES = 64            # games are spread over this many "files" by key
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, key: str | None = None) -> DataFrame:
-    """Read a driver table.  A scan with fewer input splits than cores (a small
-    single-row-group file) is spread by ``key`` first, because the bindings
-    multiply rows per input row; a large table keeps its scan partitioning."""
+    """Read a driver table, dealt out by ``key`` if given: a binding makes up to 250
+    rows from one, so its few narrow input rows are shuffled rather than its output."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    if key is not None:
-        try:
-            par = spark.sparkContext.defaultParallelism
-            few = df.rdd.getNumPartitions() < par
-        except Exception:  # noqa: BLE001 -- no RDD access (e.g. a remote session)
-            few = False
-        if few:
-            df = df.repartition(par, key)
-    return df
+    return df.repartition(key) if key is not None else df
 
 
 def _pick(arr: list[str], idx):
@@ -92,7 +83,7 @@ def games_b1(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.lit(600) + (k * 37) % 2400).cast("int").alias("white_elo"),
         (F.lit(600) + (k * 53 + 11) % 2400).cast("int").alias("black_elo"),
         _pick(RESULTS, k % 3).alias("result"),
-        (F.lit(2) + k % 40).cast("int").alias("n_ply"))
+        (F.lit(2) + k % 250).cast("int").alias("n_ply"))
 
 
 def positions_b2(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -172,6 +163,33 @@ def history_b5(spark: SparkSession, sf_dir: str) -> DataFrame:
                  (F.sum(F.abs(c - 5000)) / (n * F.lit(100000.0))).alias("val_mae")))
 
 
+def history_nan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B5 with a NaN validation loss wherever (run * 7 + epoch) % 5 = 0, some first
+    epochs among them."""
+    h = history_b5(spark, sf_dir)
+    return h.withColumn("val_loss", F.when((F.col("run") * 7 + F.col("epoch")) % 5 == 0, F.lit(float("nan"))).otherwise(F.col("val_loss")))
+
+
+# --- fixed values: movetexts that are hard to parse, with their main lines ---
+EDGE_MOVETEXTS = [
+    ("1. e4 (1. d4 d5 (1... Nf6 2. c4 (2. Nf3 g6 (2... e6 3. g3 (3. e3)) 3. c4) 2... e6)) e5 2. Nf3", "e4 e5 Nf3"),
+    ("1. e4 {a comment\n\nover a blank line (with a bracket} e5 2. Nf3 Nc6", "e4 e5 Nf3 Nc6"),
+    ("1. e4 e5 ; a comment to the end (of the line\n2. Nf3 $3 Nc6!?", "e4 e5 Nf3 Nc6"),
+    ("1. e4 e5 (2. d4) 2. Nf3 ) Nc6 3. Bb5 (3. Bc4 (3. d4 never closed", "e4 e5 Nf3 Nc6 Bb5"),
+    ("1. e4\n% an escape line in the moves\n1... c5 2. Nf3", "e4 c5 Nf3"),
+]
+
+
+def edge_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """records(game_id, game_text): one game per order with a movetext of the pool
+    (key % 5); every third begins with an escape line."""
+    k = F.col("o_orderkey")
+    head = F.when(k % 3 == 0, "% exported\n").otherwise("")
+    text = F.concat(head, F.lit('[Event "e"]\n[White "w"]\n[WhiteElo "1500"]\n[BlackElo "1600"]\n[Result "1-0"]\n\n'),
+                    _pick([m for m, _ in EDGE_MOVETEXTS], k % len(EDGE_MOVETEXTS)), F.lit(" 1-0\n"))
+    return table(spark, sf_dir, "orders", "o_orderkey").select(k.alias("game_id"), text.alias("game_text"))
+
+
 def attention_b6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """attention(game_id, weights ARRAY<FLOAT>) = |embedding| (64 per row)."""
     e = table(spark, sf_dir, "embeddings")

@@ -12,8 +12,7 @@ from pyspark.sql import functions as F
 
 from fianchetto.constants import DEFAULT_ELO_BANDS
 from fianchetto.functions.elo import denormalize_elo, normalize_elo, to_float32
-from fianchetto.operators import (attention, framing, games, history, metrics, positions, replay,
-                                  split)
+from fianchetto.operators import attention, framing, games, history, metrics, positions, split
 from fianchetto.operators import model as M
 from fianchetto.plans import bindings as B
 from fianchetto.session import scratch_path
@@ -82,20 +81,11 @@ def q_max_games(spark, sf):
     return games.max_games(v, 100).select("game_id", "file", "first_ln", "white_elo", "black_elo")
 
 
-def _replayed(spark, sf):
-    v = games.valid_games(_parsed(spark, sf)).select("game_id", "white_elo", "black_elo", "result", "moves")
-    return replay.finalize_games(replay.replay_games(v))
-
-
-def q_replay_positions(spark, sf):
-    """P4 + F3: SAN replay of every header-valid game; one row per position."""
-    return replay.positions_table(_replayed(spark, sf))
-
-
-def q_replayed_games(spark, sf):
-    """The game table after replay: length and replay status per game."""
-    return _replayed(spark, sf).select("game_id", "white_elo", "black_elo", "result",
-                                       F.size("fens").alias("n_positions"), "replay_status")
+def q_movetext_edge_cases(spark, sf):
+    """P1 + P3 on hard records: variations of any depth, comments over blank lines,
+    escape lines, unbalanced brackets."""
+    p = games.parse_games(B.edge_records(spark, sf), id_col="game_id")
+    return p.select("game_id", F.size("headers").alias("n_tags"), "parse_status", F.array_join("moves", " ").alias("main_line"))
 
 
 # --- positions and boards (B2) -------------------------------------------------
@@ -134,12 +124,19 @@ def q_encode_sequence(spark, sf):
     e = positions.encode_sequence(B.fens_b2(spark, sf))
     return e.select("game_id", "length", F.size("seq").alias("slots"),
                     F.size(F.filter("seq", lambda x: F.size(x) > 0)).alias("n_nonempty"),
-                    F.aggregate("seq", F.lit(0), lambda a, x: a + F.size(x)).alias("n_set"))
+                    F.aggregate("seq", F.lit(0), lambda a, x: a + F.size(x)).alias("n_set"),
+                    _seq_digest().alias("seq_md5"))
+
+
+def _seq_digest():
+    """md5 of all slots' indices, so that every index of a sequence is checked."""
+    slots = F.transform("seq", lambda x: F.array_join(x.cast("array<string>"), ","))
+    return F.md5(F.array_join(slots, ";").cast("binary"))
 
 
 def q_build_samples(spark, sf):
     s = positions.build_samples(B.fens_b2(spark, sf), use_white_elo=False)
-    return s.select("game_id", "length", "elo", "white_elo", "black_elo", "result")
+    return s.select("game_id", "length", "elo", "white_elo", "black_elo", "result", _seq_digest().alias("seq_md5"))
 
 
 # --- rating scalars (B1, B3) ---------------------------------------------------
@@ -230,6 +227,23 @@ def q_residual_histogram(spark, sf):
     return _round(h.withColumnRenamed("count", "n"), "bin_lo", "bin_hi")
 
 
+def q_segment_by_elo_f32(spark, sf):
+    """A6 on float32 targets and predictions."""
+    s = metrics.segment_by_elo(B.scored_b3(spark, sf), precision="float32")
+    return _round(s.select("label", "range", "min_elo", "max_elo", "count", "mae", "rmse"), "mae", "rmse")
+
+
+def q_residuals_f32(spark, sf):
+    """A8 on float32 targets and predictions."""
+    r = metrics.residuals(B.scored_b3(spark, sf), precision="float32")
+    return r.select("game_id", "target_elo", "pred_elo", "residual")
+
+
+def q_prediction_scatter_f32(spark, sf):
+    """A10 on float32 targets and predictions."""
+    return metrics.prediction_scatter(B.scored_b3(spark, sf), precision="float32")
+
+
 def q_prediction_scatter(spark, sf):
     return metrics.prediction_scatter(B.scored_b3(spark, sf))
 
@@ -283,6 +297,21 @@ def q_early_stop_min_delta(spark, sf):
     return history.early_stop(_hist(spark, sf), patience=3, min_delta=0.05)
 
 
+def q_early_stop_nan(spark, sf):
+    """W2 with NaN losses."""
+    return history.early_stop(B.history_nan(spark, sf), patience=5, min_delta=0.0)
+
+
+def q_running_best_nan(spark, sf):
+    """W4 with NaN losses."""
+    return history.running_best(B.history_nan(spark, sf)).select("run", "epoch", "best_before", "improved")
+
+
+def q_best_epoch_nan(spark, sf):
+    """L7 with NaN losses."""
+    return history.best_epoch(B.history_nan(spark, sf))
+
+
 def q_truncate_history(spark, sf):
     h = _hist(spark, sf)
     return history.truncate_history(h, history.early_stop(h))
@@ -300,6 +329,23 @@ def q_compare_runs(spark, sf):
     return history.compare_runs(_hist(spark, sf))
 
 
+def _configs(spark, sf):
+    h = _hist(spark, sf)
+    return h.groupBy("run").agg(F.count(F.lit(1)).alias("epochs")).select(
+        "run", F.when(F.col("run") % 2 == 0, "transformer").otherwise("lstm").alias("model"),
+        F.lit(32).cast("long").alias("batch_size"), "epochs", F.lit(0.001).alias("lr"),
+        F.lit(0.1).alias("dropout"), F.lit(128).cast("long").alias("embedding_dim"),
+        F.lit(42).cast("long").alias("seed"), F.lit("cpu").alias("device"))
+
+
+def q_compare_runs_configs(spark, sf):
+    """M6: the comparison joined with the runs' configurations, written and read back."""
+    path = scratch_path(spark, "compare-configs")
+    writers.write_run_config(_configs(spark, sf), path)
+    cfg = runs.read_run_configs(spark, path, multi_line=False)
+    return history.compare_runs(_hist(spark, sf), cfg.select("run", "model", "epochs", F.col("run_time").isNotNull().alias("has_time")))
+
+
 # --- models (B1, B3) ------------------------------------------------------------
 
 def q_fit_rating_model(spark, sf):
@@ -335,19 +381,37 @@ def q_dataset_pipeline(spark, sf):
     """M5: training samples of every split with their batch per epoch."""
     sp = split.split_exact(B.fens_b2(spark, sf))
     d = M.dataset_pipeline(sp, epochs=(0, 1))
-    return d.select("game_id", "split", "epoch", "batch_id", "length", "elo")
+    return d.select("game_id", "split", "epoch", "batch_id", "length", "elo", _seq_digest().alias("seq_md5"))
 
 
 # --- sinks and sources, written to the shared scratch folder and read back -------
 
-def _write_archive(spark, sf, name, n_files=32):
-    """The derived PGN lines written as plain-text archive files, in order."""
+def _write_archive(spark, sf, name, n_files=32, compression="none"):
+    """The derived PGN lines written as text archive files, in order."""
     src = scratch_path(spark, name)
     B.pgn_lines_b4(spark, sf).repartition(n_files, "file").sortWithinPartitions("file", "ln") \
-        .select(F.col("line").alias("value")).write.text(src)
+        .select(F.col("line").alias("value")).write.option("compression", compression).text(src)
     return src
 
 
+def q_archive_scan_gzip(spark, sf):
+    """The same from compressed files, framed line by line."""
+    from fianchetto.sources import pgn
+    src = _write_archive(spark, sf, "pgn-gzip", compression="gzip")
+    p = games.parse_games(framing.frame_games(pgn.scan_pgn_lines(spark, src)), id_header="Site")
+    return games.valid_games(p).select(F.col("game_id").alias("site"), "white_elo", "black_elo", "result",
+                                       F.size("moves").alias("n_moves"))
+
+
+def q_archive_split(spark, sf):
+    """S1 + P1 + L2: archive files scanned, parsed and split by a natural key."""
+    from fianchetto.sources import pgn
+    src = _write_archive(spark, sf, "pgn-split")
+    p = games.parse_games(pgn.scan_pgn_games(spark, src), id_header="Site")
+    v = games.valid_games(p).select("game_id", "white_elo", "black_elo")
+    return split.split_exact(v, materialize=True).select("game_id", "split", "rk", "split_rk")
+
+
 def q_archive_scan(spark, sf):
     """S1 + S2 fast path: text files framed by the reader itself, then parsed."""
     from fianchetto.sources import pgn
@@ -394,11 +458,12 @@ def q_format_log(spark, sf):
 
 
 def q_read_training_log(spark, sf):
-    """K6 + S6: log files per run written, read back and parsed."""
+    """K6 + S6: epochs appended to one log table in two calls, read back and parsed."""
     path = scratch_path(spark, "logs")
-    writers.write_log(_log_history(spark, sf), path, val="val_metric")
-    return runs.read_training_log(spark, path).select(
-        F.col("run").cast("long").alias("run"), "epoch", "train_mae", "val_mae")
+    h = _log_history(spark, sf)
+    for part in (F.col("epoch") % 2 == 0, F.col("epoch") % 2 == 1):
+        writers.append_log(h.where(part), path, val="val_metric")
+    return runs.read_log_table(spark, path).select("run", "epoch", "train_mae", "val_mae")
 
 
 _REPORT_SCHEMA = ("overall_metrics struct<mse:double,mae:double,rmse:double,r2:double,"
@@ -421,14 +486,8 @@ def q_report_json(spark, sf):
 
 def q_run_configs(spark, sf):
     """K5 + S5: one configuration per run appended as JSON, read back."""
-    h = _hist(spark, sf)
-    cfg = h.groupBy("run").agg(F.count(F.lit(1)).alias("epochs")).select(
-        "run", F.when(F.col("run") % 2 == 0, "transformer").otherwise("lstm").alias("model"),
-        F.lit(32).cast("long").alias("batch_size"), "epochs", F.lit(0.001).alias("lr"),
-        F.lit(0.1).alias("dropout"), F.lit(128).cast("long").alias("embedding_dim"),
-        F.lit(42).cast("long").alias("seed"), F.lit("cpu").alias("device"))
     path = scratch_path(spark, "configs")
-    writers.write_run_config(cfg, path)
+    writers.write_run_config(_configs(spark, sf), path)
     return runs.read_run_configs(spark, path, multi_line=False).select(
         "run", "model", "batch_size", "epochs", "lr", "dropout", "embedding_dim", "seed", "device")
 
@@ -466,18 +525,26 @@ def q_stream_weighted_mean(spark, sf):
     """A5 as a streaming aggregate over batch-log files (complete mode)."""
     src, out, ck = (scratch_path(spark, n) for n in ("blog-src", "blog-out", "blog-ckpt"))
     bl = B.batch_log_b7(spark, sf)
-    for lo, hi in ((1, 2), (3, 4), (5, 99)):
-        bl.where(F.col("step").between(lo, hi)).write.mode("append").parquet(src)
+    for part in (F.col("step") < 3, F.col("step").between(3, 4), F.col("step") > 4):
+        bl.where(part).write.mode("append").parquet(src)
     # each range is written as several part files; take a range per trigger
     return ingest.stream_weighted_mean(spark, src, bl.schema, out, ck, max_files_per_trigger=8)
 
 
 def q_stream_early_stop(spark, sf):
-    """W2 as keyed streaming state: history files arrive in epoch order."""
+    """W2 over a stream: history files arrive in several ranges of epochs."""
+    return _streamed_stops(spark, _hist(spark, sf))
+
+
+def q_stream_early_stop_nan(spark, sf):
+    """W2 over a stream with NaN losses: the same rule as in batch."""
+    return _streamed_stops(spark, B.history_nan(spark, sf))
+
+
+def _streamed_stops(spark, h):
     src, out, ck = (scratch_path(spark, n) for n in ("hist-src", "hist-out", "hist-ckpt"))
-    h = _hist(spark, sf)
-    for lo, hi in ((0, 9), (10, 19), (20, 99)):
-        h.where(F.col("epoch").between(lo, hi)).coalesce(1).write.mode("append").parquet(src)
+    for part in (F.col("epoch") < 10, F.col("epoch").between(10, 19), F.col("epoch") > 19):
+        h.where(part).write.mode("append").parquet(src)
     return ingest.stream_early_stop(spark, src, h.schema, out, ck)
 
 

@@ -29,7 +29,7 @@ G = f"""g AS (
          CAST(600 + (o_orderkey * 37) % 2400 AS INTEGER) AS white_elo,
          CAST(600 + (o_orderkey * 53 + 11) % 2400 AS INTEGER) AS black_elo,
          {RESULTS}[CAST(o_orderkey % 3 AS INTEGER) + 1] AS result,
-         CAST(2 + o_orderkey % 40 AS INTEGER) AS n_ply
+         CAST(2 + o_orderkey % 250 AS INTEGER) AS n_ply
   FROM orders)"""
 
 P = f"""p AS (
@@ -174,6 +174,14 @@ pf AS (
   FROM pv)"""
 
 
+# md5 of the 200 slots' indices, empty slots to the end
+DIGEST = """md5(string_agg(CASE WHEN pf.valid THEN array_to_string(pf.onehot_idx, ',') ELSE '' END, ';' ORDER BY pf.ply)
+             || repeat(';', CAST(200 - least(g.n_ply + 1, 200) AS BIGINT)))"""
+SEQ = f"""sq AS (
+  SELECT g.game_id, {DIGEST} AS seq_md5 FROM g JOIN pf ON pf.game_id = g.game_id AND pf.ply < 200
+  GROUP BY g.game_id, g.n_ply)"""
+
+
 def _with(*ctes: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n"
 
@@ -209,15 +217,15 @@ BL = """bl AS (
 
 
 def _early_stop_ctes(patience: int, min_delta: float) -> str:
-    d = f"{float(min_delta)!r}::DOUBLE"
+    better = f"(NOT isnan(f.best) AND o.val_loss < f.best - {float(min_delta)!r}::DOUBLE)"
     return f"""o AS (SELECT run, epoch, val_loss, row_number() OVER (PARTITION BY run ORDER BY epoch) AS rn FROM h),
 f(run, rn, epoch, best, cnt, stop) AS (
   SELECT run, rn, epoch, val_loss, 0, CAST(NULL AS INTEGER) FROM o WHERE rn = 1
   UNION ALL
   SELECT o.run, o.rn, o.epoch,
-         CASE WHEN o.val_loss < f.best - {d} THEN o.val_loss ELSE f.best END,
-         CASE WHEN o.val_loss < f.best - {d} THEN 0 ELSE f.cnt + 1 END,
-         CASE WHEN NOT (o.val_loss < f.best - {d}) AND f.cnt + 1 >= {patience} THEN o.epoch END
+         CASE WHEN {better} THEN o.val_loss ELSE f.best END,
+         CASE WHEN {better} THEN 0 ELSE f.cnt + 1 END,
+         CASE WHEN NOT {better} AND f.cnt + 1 >= {patience} THEN o.epoch END
   FROM f JOIN o ON o.run = f.run AND o.rn = f.rn + 1
   WHERE f.stop IS NULL),
 st AS (
@@ -296,13 +304,14 @@ FROM p"""
 SQL["encode_sequence"] = _with(G, P, BOARD) + """SELECT g.game_id, CAST(least(g.n_ply + 1, 200) AS INTEGER) AS length,
   200 AS slots,
   CAST(count(*) FILTER (WHERE pf.valid AND len(pf.onehot_idx) > 0) AS INTEGER) AS n_nonempty,
-  CAST(COALESCE(sum(CASE WHEN pf.valid THEN len(pf.onehot_idx) ELSE 0 END), 0) AS INTEGER) AS n_set
+  CAST(COALESCE(sum(CASE WHEN pf.valid THEN len(pf.onehot_idx) ELSE 0 END), 0) AS INTEGER) AS n_set,
+  """ + DIGEST + """ AS seq_md5
 FROM g JOIN pf ON pf.game_id = g.game_id AND pf.ply < 200
 GROUP BY g.game_id, g.n_ply"""
-SQL["build_samples"] = _with(G) + f"""SELECT game_id, CAST(least(n_ply + 1, 200) AS INTEGER) AS length,
+SQL["build_samples"] = _with(G, P, BOARD, SEQ) + f"""SELECT g.game_id, CAST(least(n_ply + 1, 200) AS INTEGER) AS length,
   CAST({NORM.format(e='black_elo')} AS FLOAT) AS elo,
-  CAST(white_elo AS DOUBLE) AS white_elo, CAST(black_elo AS DOUBLE) AS black_elo, result
-FROM g"""
+  CAST(white_elo AS DOUBLE) AS white_elo, CAST(black_elo AS DOUBLE) AS black_elo, result, seq_md5
+FROM g JOIN sq USING (game_id)"""
 
 SQL["normalize_elo"] = _with(G) + \
     f"SELECT game_id, {NORM.format(e='white_elo')} AS white_norm, {NORM.format(e='black_elo')} AS black_norm FROM g"
@@ -483,14 +492,14 @@ SQL["game_features"] = _with(G, P) + f"""SELECT p.game_id, CAST(count(*) AS DOUB
   CAST(arg_max(length(regexp_replace(split_part(fen, ' ', 1), '[^pnbrqk]', '', 'g')), ply) AS DOUBLE) AS final_black,
   round(sum(length(regexp_replace(split_part(fen, ' ', 1), '[^pnbrqkPNBRQK]', '', 'g'))) / CAST(count(*) AS DOUBLE), {R}) AS mean_pieces
 FROM p GROUP BY p.game_id"""
-SQL["dataset_pipeline"] = _with(G, SPLIT) + f"""SELECT s.game_id, s.split, e.epoch,
+SQL["dataset_pipeline"] = _with(G, P, BOARD, SEQ, SPLIT) + f"""SELECT s.game_id, s.split, e.epoch,
   CAST((CASE WHEN s.split = 'train'
         THEN row_number() OVER (PARTITION BY s.split, e.epoch ORDER BY
                md5('42:' || CAST(e.epoch AS VARCHAR) || ':' || CAST(s.game_id AS VARCHAR)), s.game_id) - 1
         ELSE s.split_rk END) // 32 AS BIGINT) AS batch_id,
   CAST(least(g.n_ply + 1, 200) AS INTEGER) AS length,
-  CAST({NORM.format(e='g.white_elo')} AS FLOAT) AS elo
-FROM s JOIN g USING (game_id), (SELECT CAST(unnest([0, 1]) AS INTEGER) AS epoch) e"""
+  CAST({NORM.format(e='g.white_elo')} AS FLOAT) AS elo, sq.seq_md5
+FROM s JOIN g USING (game_id) JOIN sq USING (game_id), (SELECT CAST(unnest([0, 1]) AS INTEGER) AS epoch) e"""
 SQL["archive_scan"] = SQL["valid_games"]
 SQL["preprocess_archive"] = _with(LINES, FRAME_CLEAN, PARSED) + """, n AS (SELECT count(*) AS n FROM parsed WHERE parse_status = 'ok')
 SELECT * FROM (VALUES ('train'), ('val'), ('test')) t(split), n""".replace("\n, n AS", ", n AS")
@@ -501,3 +510,35 @@ UNION ALL SELECT 'val', va FROM c
 UNION ALL SELECT 'test', n - tr - va FROM c""".replace("\n, n AS", ", n AS")
 SQL["stream_games_reference"] = _with(LINES, FRAME_REF, PARSED) + \
     "SELECT game_id, white_elo, black_elo, result, CAST(len(moves) AS INTEGER) AS n_moves FROM parsed WHERE parse_status = 'ok'"
+
+SQL["archive_scan_gzip"] = _with(LINES, FRAME_CLEAN, PARSED) + \
+    "SELECT 'orders/' || game_id AS site, white_elo, black_elo, result, CAST(len(moves) AS INTEGER) AS n_moves FROM parsed WHERE parse_status = 'ok'"
+SQL["archive_split"] = _with(LINES, FRAME_CLEAN, PARSED, "g AS (SELECT 'orders/' || game_id AS game_id FROM parsed WHERE parse_status = 'ok')",
+                             SPLIT) + "SELECT game_id, split, rk, split_rk FROM s"
+SQL["movetext_edge_cases"] = f"""SELECT o_orderkey AS game_id, 5 AS n_tags, 'ok' AS parse_status,
+  {_list(m for _, m in B.EDGE_MOVETEXTS)}[CAST(o_orderkey % {len(B.EDGE_MOVETEXTS)} AS INTEGER) + 1] AS main_line FROM orders"""
+
+SE32 = f"""f32 AS (
+  SELECT game_id, {DENORM.format(x='CAST(CAST(target AS FLOAT) AS DOUBLE)')} AS target_elo,
+         {DENORM.format(x='CAST(CAST(pred AS FLOAT) AS DOUBLE)')} AS pred_elo FROM sc)"""
+for _name in ("segment_by_elo", "residuals", "prediction_scatter"):
+    SQL[f"{_name}_f32"] = SQL[_name].replace(SC, SC + ",\n" + SE32).replace("FROM se", "FROM f32").replace("se.target_elo", "f32.target_elo")
+
+HN = H + """,
+hn AS (SELECT * REPLACE (CASE WHEN (run * 7 + epoch) % 5 = 0 THEN 'NaN'::DOUBLE ELSE val_loss END AS val_loss) FROM h)"""
+SQL["early_stop_nan"] = "WITH RECURSIVE " + HN + ",\n" + _early_stop_ctes(5, 0.0).replace("FROM h)", "FROM hn)") + \
+    "\nSELECT run, stop_epoch, best_loss, epochs_run FROM st"
+SQL["stream_early_stop_nan"] = SQL["early_stop_nan"].replace("best_loss, epochs_run FROM st", "best_loss FROM st WHERE stop_epoch IS NOT NULL")
+SQL["running_best_nan"] = _with(HN) + """SELECT run, epoch, bb AS best_before,
+  (NOT isnan(val_loss) AND val_loss < coalesce(bb, 'Infinity'::DOUBLE)) AS improved
+FROM (SELECT *, min(CASE WHEN isnan(val_loss) THEN NULL ELSE val_loss END) OVER (PARTITION BY run ORDER BY epoch
+                 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS bb FROM hn)"""
+SQL["best_epoch_nan"] = _with(HN) + """SELECT run, min(epoch) FILTER (WHERE val_loss = mv) AS best_epoch, min(mv) AS best_loss,
+  CAST(sum(CASE WHEN NOT isnan(val_loss) AND (bb IS NULL OR val_loss < bb) THEN 1 ELSE 0 END) AS INTEGER) AS n_checkpoints
+FROM (SELECT *, min(num) OVER (PARTITION BY run) AS mv,
+             min(num) OVER (PARTITION BY run ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS bb
+      FROM (SELECT *, CASE WHEN isnan(val_loss) THEN NULL ELSE val_loss END AS num FROM hn))
+GROUP BY run"""
+SQL["compare_runs_configs"] = SQL["compare_runs"].replace(
+    "SELECT fm.*,", "SELECT CASE WHEN fm.run % 2 = 0 THEN 'transformer' ELSE 'lstm' END AS model, "
+    "(SELECT count(*) FROM h WHERE h.run = fm.run) AS epochs, true AS has_time, fm.*,")

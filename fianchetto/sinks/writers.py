@@ -37,7 +37,13 @@ def write_report(overall: DataFrame, segments: DataFrame, path: str) -> None:
 
 
 def write_run_config(configs: DataFrame, path: str) -> None:
-    """Append run configurations (one JSON object per line)."""
+    """Append run configurations (one JSON object per line), with ``run_time`` (the
+    time of the call, unless there) and ``run_id`` (its stamp YYYYmmdd_HHMMSS, unless
+    there)."""
+    if "run_time" not in configs.columns:
+        configs = configs.withColumn("run_time", F.current_timestamp())
+    if "run_id" not in configs.columns:
+        configs = configs.withColumn("run_id", F.date_format("run_time", "yyyyMMdd_HHmmss"))
     configs.write.mode("append").json(path)
 
 
@@ -52,12 +58,19 @@ def format_log(history: DataFrame, epoch: str = "epoch", train: str = "train_mae
 
 
 def write_log(history: DataFrame, path: str, partition_by: str | None = "run", **kw) -> None:
-    """One log file per run folder: rows of a run are brought to one task (a
-    per-run log is small: one line per epoch) and written in epoch order."""
+    """Append log lines as text, a folder per run: rows of a run are brought to one
+    task (a per-run log is small: one line per epoch) and written in epoch order.
+    For many runs, ``append_log`` keeps one table."""
     df = format_log(history, **kw)
     epoch = kw.get("epoch", "epoch")
     if partition_by:
         df = df.repartition(partition_by).sortWithinPartitions(partition_by, epoch)
-        df.select("value", partition_by).write.mode("overwrite").partitionBy(partition_by).text(path)
+        df.select("value", partition_by).write.mode("append").partitionBy(partition_by).text(path)
     else:
-        df.orderBy(epoch).select("value").write.mode("overwrite").text(path)
+        df.orderBy(epoch).select("value").write.mode("append").text(path)
+
+
+def append_log(history: DataFrame, path: str, run: str = "run", **kw) -> None:
+    """Append log lines of any number of runs to one Parquet table (run, epoch, value)."""
+    epoch = kw.get("epoch", "epoch")
+    format_log(history, **kw).select(run, epoch, "value").write.mode("append").parquet(path)

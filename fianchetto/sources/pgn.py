@@ -10,38 +10,63 @@ file, so repartition after the scan.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 GAME_SEP = "\n[Event "
 
 
-def scan_pgn_lines(spark: SparkSession, path: str) -> DataFrame:
-    """lines(file STRING, ln LONG, line STRING) in file order.
+def _relative(path: str):
+    """The file's path below ``path`` (its name, if ``path`` names the file or holds a
+    pattern), so that moving an archive changes no record's identity."""
+    full = F.col("_metadata.file_path")
+    root = re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "", path).rstrip("/")
+    below = F.regexp_extract(full, "^[^:]*:(?://[^/]*)?" + "/*" + re.escape(root.lstrip("/")) + "/(.+)$", 1)
+    return F.when(below != "", below).otherwise(F.element_at(F.split(full, "/"), -1))
+
+
+def _numbered(raw: DataFrame, path: str, out: str, index: str) -> DataFrame:
+    """``raw`` text rows as (file, ``index``, ``out``), ``index`` being the row's number
+    in its file however the file was split.
 
-    ``ln`` is ``monotonically_increasing_id``: increasing within each input split
-    and across the splits of one file, so (file, ln) orders the lines."""
-    return (spark.read.text(path)
-            .select(F.col("_metadata.file_path").alias("file"),
-                    F.monotonically_increasing_id().alias("ln"),
-                    F.col("value").alias("line")))
+    Row numbers inside an input split come with the scan; the splits' counts (one
+    small row each) give the number of rows before it in the file."""
+    rows = raw.select(_relative(path).alias("file"), F.col("_metadata.file_block_start").alias("_block"),
+                      F.monotonically_increasing_id().alias("_id"), F.col("value").alias(out))
+    blocks = rows.groupBy("file", "_block").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select("file", "_block", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return (rows.join(blocks, ["file", "_block"])
+            .select("file", (F.col("_before") + F.col("_id") - F.col("_first")).alias(index), out))
+
+
+def scan_pgn_lines(spark: SparkSession, path: str) -> DataFrame:
+    """lines(file STRING, ln LONG, line STRING): the file's path below ``path``, the
+    line's number in it from 0, and the line."""
+    return _numbered(spark.read.option("recursiveFileLookup", True).text(path), path, "line", "ln")
 
 
 def scan_pgn_games(spark: SparkSession, path: str, stream: bool = False,
                    max_files_per_trigger: int | None = None) -> DataFrame:
     """games(file, first_ln, game_text), one row per ``[Event`` record.
 
-    A file's text before its first ``[Event`` line (a preamble) is dropped."""
+    ``file`` is the path below ``path`` and ``first_ln`` the record's number in the
+    file; both stay the same however the files are split and wherever the folder
+    lies.  A file's text before its first ``[Event`` line (a preamble) is dropped.
+    A stream has no ``first_ln``, and ``file`` is the full path."""
     reader = spark.readStream if stream else spark.read
-    reader = reader.format("text").option("lineSep", GAME_SEP)
+    reader = reader.format("text").option("lineSep", GAME_SEP).option("recursiveFileLookup", True)
     if stream and max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     raw = reader.load(path)
-    v = F.col("value")
+    v = F.col("game_text")
     text = (F.when(v.startswith("[Event "), v)
             # every later record lost the separator's "[Event " prefix
             .when(v.rlike(r'^\s*"'), F.concat(F.lit("[Event "), v)))
-    out = raw.select(F.col("_metadata.file_path").alias("file"), text.alias("game_text"))
-    if not stream:
-        out = out.withColumn("first_ln", F.monotonically_increasing_id())
-    return out.where(F.col("game_text").isNotNull())
+    if stream:
+        out = raw.select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("game_text"))
+    else:
+        out = _numbered(raw, path, "game_text", "first_ln")
+    return out.withColumn("game_text", text).where(F.col("game_text").isNotNull())

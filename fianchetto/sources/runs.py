@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import os
-
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,22 +13,28 @@ LOG_LINE = (r"^Epoch\s+(\d+) \| Train MAE: ([-0-9.eE+naif]+) \| Val MAE: ([-0-9.
 
 def read_splits(spark: SparkSession, path: str, split: str | None = None) -> DataFrame:
     """The split table written by ``write_splits``; ``split`` prunes partitions."""
-    if not path.startswith(("s3", "gs:", "abfs", "hdfs")) and not os.path.exists(path.replace("file:", "")):
-        raise FileNotFoundError(f"no dataset splits at {path}; run write_splits first")
-    df = spark.read.parquet(path)
+    try:
+        df = spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            raise FileNotFoundError(f"no dataset splits at {path}; run write_splits first") from e
+        raise
     return df.where(F.col("split") == split) if split else df
 
 
 def read_run_configs(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """Run configurations, one JSON object per file (``multi_line``) or JSON lines.
 
-    ``run_id``/``run_time`` come from a ``config_YYYYmmdd_HHMMSS.json`` file name
-    when present."""
+    ``run_id``/``run_time`` are those in the file, else they come from a
+    ``config_YYYYmmdd_HHMMSS.json`` file name."""
     df = (spark.read.option("multiLine", multi_line).option("recursiveFileLookup", True)
           .json(path).withColumn("source_file", F.col("_metadata.file_path")))
     stamp = F.regexp_extract("source_file", r"config_(\d{8}_\d{6})\.json$", 1)
-    return (df.withColumn("run_id", F.when(stamp != "", stamp))
-            .withColumn("run_time", F.to_timestamp(F.col("run_id"), "yyyyMMdd_HHmmss")))
+    own_id = F.col("run_id").cast("string") if "run_id" in df.columns else F.lit(None).cast("string")
+    own_time = F.col("run_time").cast("timestamp") if "run_time" in df.columns else F.lit(None).cast("timestamp")
+    df = df.withColumn("run_id", F.coalesce(own_id, F.when(stamp != "", stamp)))
+    stamped = F.try_to_timestamp(F.col("run_id"), F.lit("yyyyMMdd_HHmmss"))
+    return df.withColumn("run_time", F.coalesce(own_time, stamped))
 
 
 def parse_log_lines(lines: DataFrame, line_col: str = "value") -> DataFrame:
@@ -52,3 +57,8 @@ def parse_log_lines(lines: DataFrame, line_col: str = "value") -> DataFrame:
 def read_training_log(spark: SparkSession, path: str) -> DataFrame:
     """Read log text files (partition folders such as ``run=...`` become columns)."""
     return parse_log_lines(spark.read.text(path))
+
+
+def read_log_table(spark: SparkSession, path: str) -> DataFrame:
+    """Read the one-table log of ``append_log``."""
+    return parse_log_lines(spark.read.parquet(path).select("run", "value"))

@@ -4,21 +4,26 @@
   replayed games appended to Parquet, with a checkpoint for exactly-once resume
   (the original only pickled snapshots it never read back).
 * ``stream_weighted_mean``: the running-average meter as a streaming aggregate.
-* ``stream_early_stop``: the early-stopping counter as keyed state per run.
+* ``stream_early_stop``: history rows ingested as a stream, early stopping by the
+  same fold as in batch (``history.early_stop``).
 """
 
 from __future__ import annotations
 
+import time
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fianchetto.constants import EARLY_STOP_MIN_DELTA, EARLY_STOP_PATIENCE
-from fianchetto.operators import games, replay
+from fianchetto.operators import games, history, replay
 from fianchetto.sources.pgn import scan_pgn_games
 
 
 def _run(query, timeout_s: float | None):
+    """Wait for the query, without a limit unless the caller sets one."""
     query.awaitTermination(timeout_s)
     if query.isActive:
         query.stop()
@@ -29,13 +34,13 @@ def _run(query, timeout_s: float | None):
 
 
 def stream_games(spark: SparkSession, source_dir: str, output_dir: str, checkpoint_dir: str,
-                 max_files_per_trigger: int = 1, replay_moves: bool = True,
-                 repartition: int | None = None, timeout_s: float | None = 600,
+                 max_files_per_trigger: int = 1, replay_moves: bool = False,
+                 repartition: int | None = None, timeout_s: float | None = None,
                  mode: str = "clean") -> dict:
     """Ingest every PGN file now in ``source_dir`` (``availableNow``), one
     micro-batch per ``max_files_per_trigger`` files.  Re-running with the same
-    checkpoint only processes new files.  Returns ingest statistics observed
-    on the stream (games per batch, totals, rows per second).
+    checkpoint only processes new files.  Returns ingest statistics: the last
+    batch's number, the games written by this call and their rate.
 
     A plain-text file is split by the reader; a compressed one is one task, so
     with few large compressed files per trigger pass ``repartition`` to spread
@@ -56,19 +61,29 @@ def stream_games(spark: SparkSession, source_dir: str, output_dir: str, checkpoi
     out = games.valid_games(parsed).drop("game_text", "first_ln")
     if replay_moves:
         out = replay.finalize_games(replay.replay_games(out))
-    out = out.observe("ingest", F.count(F.lit(1)).alias("games"),
-                      F.sum(F.size("moves")).alias("half_moves"))
+    began, before = time.time(), _rows(spark, output_dir)
     q = (out.writeStream.format("parquet").option("checkpointLocation", checkpoint_dir)
          .option("path", output_dir).outputMode("append").trigger(availableNow=True).start())
     _run(q, timeout_s)
-    batches = [p for p in q.recentProgress if p.numInputRows]
-    games_total = 0
-    for p in batches:
-        obs = (p.observedMetrics or {}).get("ingest")
-        games_total += int(obs["games"] or 0) if obs is not None else 0
-    secs = sum((p.durationMs or {}).get("triggerExecution", 0) for p in batches) / 1000.0
-    return {"batches": len(batches), "games": games_total,
-            "games_per_sec": games_total / secs if secs else None}
+    return _ingest_stats(q, _rows(spark, output_dir) - before, began)
+
+
+def _rows(spark: SparkSession, path: str) -> int:
+    """Rows of a Parquet table, 0 if it is not there yet (footers only)."""
+    try:
+        return spark.read.parquet(path).count()
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return 0
+        raise
+
+
+def _ingest_stats(query, games_written: int, began: float) -> dict:
+    """Totals from what was written, not from the query's recent progress, of
+    which Spark keeps only the last updates."""
+    secs = time.time() - began
+    return {"last_batch": (query.lastProgress or {}).get("batchId"), "games": games_written,
+            "games_per_sec": games_written / secs if secs else None}
 
 
 def _games_from_records(recs: DataFrame, replay_moves: bool) -> DataFrame:
@@ -87,7 +102,7 @@ def _stream_games_reference(spark, source_dir, output_dir, checkpoint_dir, max_f
              .option("recursiveFileLookup", True)
              .load(source_dir).select(F.col("_metadata.file_path").alias("file"),
                                       F.col("value").alias("line")))
-    counts = []
+    began, before = time.time(), _rows(spark, output_dir)
 
     def per_batch(batch_df, batch_id):
         # a static frame: line order within each file is the scan order; the
@@ -96,20 +111,20 @@ def _stream_games_reference(spark, source_dir, output_dir, checkpoint_dir, max_f
         out = _games_from_records(frame_games(numbered, mode="reference", materialize=True), replay_moves)
         out = out.withColumn("batch_id", F.lit(batch_id).cast("long"))
         out.write.mode("overwrite").parquet(f"{output_dir}/batch={batch_id}")
-        counts.append(spark.read.parquet(f"{output_dir}/batch={batch_id}").count())
 
     q = (lines.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint_dir)
          .trigger(availableNow=True).start())
     _run(q, timeout_s)
-    return {"batches": len(counts), "games": sum(counts), "games_per_sec": None}
+    return _ingest_stats(q, _rows(spark, output_dir) - before, began)
 
 
 def stream_weighted_mean(spark: SparkSession, source_dir: str, schema: T.StructType, output_dir: str,
                          checkpoint_dir: str, group_by=("run",), value: str = "loss",
                          weight: str = "n", max_files_per_trigger: int = 1,
-                         timeout_s: float | None = 600) -> DataFrame:
+                         timeout_s: float | None = None) -> DataFrame:
     """``sum(v*n)/sum(n)`` per group over a stream of batch logs (complete mode).
-    Each micro-batch writes the whole current table; the last one is returned."""
+    Each micro-batch writes the whole current table to a folder of its own, and the
+    last one is returned: a crash in between leaves the one before intact."""
     src = (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger)
            .parquet(source_dir))
     v, n = F.col(value), F.col(weight)
@@ -117,63 +132,28 @@ def stream_weighted_mean(spark: SparkSession, source_dir: str, schema: T.StructT
                                      F.sum(v * n).alias("total"), F.sum(n).alias("weight"))
 
     def sink(batch_df, batch_id):
-        batch_df.write.mode("overwrite").parquet(output_dir)
+        batch_df.write.mode("overwrite").parquet(f"{output_dir}/batch={batch_id}")
 
     q = (agg.writeStream.outputMode("complete").foreachBatch(sink)
          .option("checkpointLocation", checkpoint_dir).trigger(availableNow=True).start())
     _run(q, timeout_s)
-    return spark.read.parquet(output_dir)
-
-
-_STOP_OUT = T.StructType([T.StructField("run", T.LongType()), T.StructField("stop_epoch", T.IntegerType()),
-                          T.StructField("best_loss", T.DoubleType())])
-_STOP_STATE = T.StructType([T.StructField("best", T.DoubleType()), T.StructField("cnt", T.IntegerType()),
-                            T.StructField("stopped", T.BooleanType())])
-
-
-def _early_stop_fn(patience: int, min_delta: float):
-    def fn(key, pdfs, state):
-        import pandas as pd
-
-        if state.exists:
-            best, cnt, stopped = state.get
-        else:
-            best, cnt, stopped = None, 0, False
-        stop_epoch = None
-        if not stopped:
-            rows = pd.concat(list(pdfs)).sort_values("epoch")
-            for e, v in zip(rows["epoch"].tolist(), rows["val_loss"].tolist()):
-                if best is None:
-                    best = v
-                elif v < best - min_delta:
-                    best, cnt = v, 0
-                else:
-                    cnt += 1
-                    if cnt >= patience:
-                        stopped, stop_epoch = True, int(e)
-                        break
-        state.update((best, cnt, stopped))
-        if stop_epoch is not None:
-            yield pd.DataFrame({"run": [key[0]], "stop_epoch": [stop_epoch], "best_loss": [best]})
-    return fn
-
-
-def early_stop_stream(history: DataFrame, patience: int = EARLY_STOP_PATIENCE,
-                      min_delta: float = EARLY_STOP_MIN_DELTA, run: str = "run") -> DataFrame:
-    """Keyed early-stopping state over a streaming history (epochs must arrive
-    in order across micro-batches; within one batch they are sorted)."""
-    return history.select(F.col(run).cast("long").alias("run"), "epoch", "val_loss") \
-        .groupBy("run").applyInPandasWithState(
-            _early_stop_fn(patience, min_delta), _STOP_OUT, _STOP_STATE, "append",
-            "NoTimeout")
+    tables = spark.read.parquet(output_dir)
+    return tables.where(F.col("batch") == tables.agg(F.max("batch")).scalar()).drop("batch")
 
 
 def stream_early_stop(spark: SparkSession, source_dir: str, schema: T.StructType, output_dir: str,
                       checkpoint_dir: str, patience: int = EARLY_STOP_PATIENCE,
-                      min_delta: float = EARLY_STOP_MIN_DELTA, timeout_s: float | None = 600) -> DataFrame:
+                      min_delta: float = EARLY_STOP_MIN_DELTA, timeout_s: float | None = None) -> DataFrame:
+    """Append newly arrived history rows (run, epoch, val_loss) to the table in
+    ``output_dir`` and return the runs that stop (run, stop_epoch, best_loss).
+
+    The rule is the batch fold over each run's rows so far, so rows may arrive in
+    any order and in any number of micro-batches."""
     src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source_dir)
-    q = (early_stop_stream(src, patience, min_delta).writeStream.format("parquet")
-         .option("checkpointLocation", checkpoint_dir).option("path", output_dir)
-         .outputMode("append").trigger(availableNow=True).start())
+    q = (src.select(F.col("run").cast("long").alias("run"), "epoch", "val_loss")
+         .writeStream.format("parquet").option("checkpointLocation", checkpoint_dir)
+         .option("path", output_dir).outputMode("append").trigger(availableNow=True).start())
     _run(q, timeout_s)
-    return spark.read.parquet(output_dir)
+    seen = spark.read.schema("run long, epoch int, val_loss double").parquet(output_dir)
+    return (history.early_stop(seen, patience, min_delta).where("stop_epoch IS NOT NULL")
+            .select("run", "stop_epoch", "best_loss"))

@@ -1,22 +1,10 @@
-"""Folds over training history against plain-Python restatements of the rules."""
+"""Rules over training history: literal cases and, for the learning rate, a plain restatement."""
 
 import random
 
-from fianchetto.operators import history
-
+import pytest
 
-def _py_early_stop(vals, patience, min_delta):
-    best, cnt = None, 0
-    for e, v in vals:
-        if best is None:
-            best = v
-        elif v < best - min_delta:
-            best, cnt = v, 0
-        else:
-            cnt += 1
-            if cnt >= patience:
-                return e
-    return None
+from fianchetto.operators import history
 
 
 def _py_lr(vals, lr=1e-3, factor=0.5, patience=3, thr=1e-4, eps=1e-8):
@@ -48,13 +36,37 @@ def _hist(spark, seed=3, runs=20, epochs=25):
                                              "train_mae double, val_mae double")
 
 
-def test_early_stop_matches(spark):
-    rows, df = _hist(spark)
-    for patience, delta in [(5, 0.0), (3, 0.02)]:
-        got = {r.run: r.stop_epoch for r in history.early_stop(df, patience, delta).collect()}
-        for run in got:
-            vals = [(e, v) for (rr, e, v, *_rest) in rows if rr == run]
-            assert got[run] == _py_early_stop(vals, patience, delta)
+NAN = float("nan")
+# losses by epoch, patience, least improvement -> (stop epoch, best loss, epochs run)
+STOPS = [
+    ([0.5, 0.4, 0.45, 0.41, 0.42], 3, 0.0, (4, 0.4, 5)),
+    ([0.5, 0.4, 0.45, 0.41, 0.39, 0.6], 3, 0.0, (None, 0.39, 6)),
+    ([0.5, 0.45, 0.41, 0.30, 0.28, 0.26], 2, 0.1, (2, 0.5, 3)),
+    ([0.5, 0.5, 0.5], 2, 0.0, (2, 0.5, 3)),
+    ([0.5], 1, 0.0, (None, 0.5, 1)),
+    ([NAN, 0.5, 0.6, 0.7], 3, 0.0, (3, NAN, 4)),
+    ([0.5, NAN, NAN, 0.4, NAN], 3, 0.0, (None, 0.4, 5)),
+    ([0.5, NAN, NAN, NAN, 0.1], 3, 0.0, (3, 0.5, 4)),
+]
+
+
+def _losses(spark, *runs):
+    rows = [(r, e, v, v, v, v) for r, losses in enumerate(runs) for e, v in enumerate(losses)]
+    return spark.createDataFrame(rows, "run long, epoch int, train_loss double, val_loss double, train_mae double, val_mae double")
+
+
+@pytest.mark.parametrize(("losses", "patience", "delta", "want"), STOPS)
+def test_early_stop(spark, losses, patience, delta, want):
+    r = history.early_stop(_losses(spark, losses), patience, delta).collect()[0]
+    assert repr((r.stop_epoch, r.best_loss, r.epochs_run)) == repr(want)
+
+
+def test_nan_is_never_the_best(spark):
+    df = _losses(spark, [NAN, 0.5, NAN, 0.6, 0.4], [NAN, NAN])
+    assert [(r.epoch, r.improved) for r in history.running_best(df).where("run = 0").orderBy("epoch").collect()] == [
+        (0, False), (1, True), (2, False), (3, False), (4, True)]
+    best = {r.run: (r.best_epoch, r.best_loss, r.n_checkpoints) for r in history.best_epoch(df).collect()}
+    assert best == {0: (4, 0.4, 2), 1: (None, None, 0)}
 
 
 def test_lr_schedule_matches(spark):

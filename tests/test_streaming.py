@@ -4,8 +4,9 @@ import tempfile
 
 from pyspark.sql import functions as F
 
+from fianchetto.operators import history
 from fianchetto.streaming import ingest
-from tests.test_history import _hist, _py_early_stop
+from tests.test_history import NAN, _hist, _losses
 
 GAME = ('[Event "g{i}"]\n[Site "s{i}"]\n[WhiteElo "1500"]\n[BlackElo "1400"]\n[Result "1-0"]\n\n'
         '1. e4 e5 2. Nf3 Nc6 1-0\n\n')
@@ -19,24 +20,36 @@ def _write(d, name, n, start):
 def test_stream_games_resumes(spark):
     src, out, ck = (tempfile.mkdtemp() for _ in range(3))
     _write(src, "a.pgn", 5, 0)
-    s1 = ingest.stream_games(spark, src, out, ck)
+    s1 = ingest.stream_games(spark, src, out, ck, replay_moves=True)
     assert s1["games"] == 5
     _write(src, "b.pgn", 3, 5)
-    s2 = ingest.stream_games(spark, src, out, ck)      # only the new file is read
+    s2 = ingest.stream_games(spark, src, out, ck, replay_moves=True)      # only the new file is read
     assert s2["games"] == 3
     g = spark.read.parquet(out)
     assert g.count() == 8 and g.select(F.size("fens")).distinct().collect()[0][0] == 5
 
 
 def test_stream_early_stop_state(spark):
-    rows, df = _hist(spark, seed=11, runs=6, epochs=20)
+    _, df = _hist(spark, seed=11, runs=6, epochs=20)
+    df = df.unionByName(_losses(spark, *[[NAN] + [0.5] * 9] * 7).where("run = 6"))
     src, out, ck = (tempfile.mkdtemp() for _ in range(3))
-    for lo, hi in ((0, 6), (7, 13), (14, 99)):
-        df.where(F.col("epoch").between(lo, hi)).coalesce(1).write.mode("append").parquet(src)
-    got = {r.run: r.stop_epoch for r in ingest.stream_early_stop(spark, src, df.schema, out, ck).collect()}
-    for run in range(6):
-        vals = [(e, v) for (rr, e, v, *_rest) in rows if rr == run]
-        assert got.get(run) == _py_early_stop(vals, 5, 0.0)
+    for part in (F.col("epoch") > 13, F.col("epoch") < 7, F.col("epoch").between(7, 13)):  # any order
+        df.where(part).write.mode("append").parquet(src)
+    got = sorted(map(tuple, ingest.stream_early_stop(spark, src, df.schema, out, ck).collect()))
+    batch = history.early_stop(df).where("stop_epoch IS NOT NULL").select("run", "stop_epoch", "best_loss")
+    assert repr(got) == repr(sorted(map(tuple, batch.collect()))) and got[-1][:2] == (6, 5)
+
+
+def test_totals_beyond_kept_progress(spark):
+    src, out, ck = (tempfile.mkdtemp() for _ in range(3))
+    for i in range(8):
+        _write(src, f"f{i}.pgn", 2, 2 * i)
+    kept = spark.conf.get("spark.sql.streaming.numRecentProgressUpdates")
+    spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", 2)
+    try:
+        assert ingest.stream_games(spark, src, out, ck)["games"] == 16
+    finally:
+        spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", kept)
 
 
 def test_stream_games_reference_mode_matches_batch(spark):
@@ -52,5 +65,5 @@ def test_stream_games_reference_mode_matches_batch(spark):
     batch = games.valid_games(games.parse_games(
         framing.frame_games(pgn.scan_pgn_lines(spark, src), mode="reference")))
     # per file: a; b (no moves) glued to c and lost with it; d -> 2 games
-    assert s["batches"] == 3 and s["games"] == batch.count() == 6
+    assert s["last_batch"] == 2 and s["games"] == batch.count() == 6
     assert spark.read.parquet(out).count() == 6
