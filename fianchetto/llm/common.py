@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from fianchetto.session import ensure_checkpoint_dir
 
 #: Characters that one vectorised step of a Python worker holds at most (but for a single longer text).
-CHARS_PER_STEP = 1 << 20
+CHARS_PER_STEP = 1 << 18
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -34,6 +34,22 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows and bytes of an Arrow batch of texts.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From here on, the session hands texts to Python workers in batches of bounded size (a worker holds one)."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
+def texts_of(docs: DataFrame) -> DataFrame:
+    """doc_id and text of documents, a null text as an empty one, for Python workers in small batches."""
+    small_batches(docs.sparkSession)
+    return docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+
+
 def fold(doc_id: Column) -> Column:
     """crc32 of doc_id as text, mod 5; rows with 0 are held out of every fit. A null doc_id counts as held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5, F.lit(0)).cast("int")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fianchetto.llm.common import runs, steps, word_hashes
+from fianchetto.llm.common import runs, small_batches, steps, texts_of, word_hashes
 
 LEAST_WORDS = 5
 #: Share of an item's words that must lie under tiles.
@@ -141,7 +141,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, coverage: float =
     rows, null ids stay null.  Other columns are not read.
     """
     spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+    texts = texts_of(docs)
     out = spark.range(0).selectExpr("CAST(NULL AS BIGINT) AS doc_id", "CAST(NULL AS BIGINT) AS item_id", "0 AS item_words",
                                     "0 AS matched_words", "0 AS tiles", "CAST(0 AS DOUBLE) AS coverage").limit(0)
     for items in item_blocks(benchmark, least):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fianchetto.llm.common import fold
+from fianchetto.llm.common import fold, texts_of
 
 #: Labelled rows that a classifier learns from at most (expected): beyond, a hash of doc_id chooses among all of them.
 MAX_FIT_ROWS = 20_000
@@ -24,6 +24,6 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: in
     n = known.count()
     if n > max_rows:
         known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * max_rows / n))
-    texts = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+    texts = texts_of(docs)
     return (texts.join(F.broadcast(known), "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"), F.max("label").alias("label"))
             .withColumn("fold", fold(F.col("doc_id"))))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fianchetto.llm.common import materialize, mix, runs, steps, word_hashes
+from fianchetto.llm.common import materialize, mix, runs, steps, texts_of, word_hashes
 from fianchetto.llm.components import components
 
 #: Registers of a sketch (a power of two) and the bits of a register: leading zeros (6) and mantissa.
@@ -251,7 +251,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 3) -> DataFr
     with nothing and is kept.  Rows that repeat a doc_id stay; with equal texts they have the same component; with others,
     links are confirmed on the greatest of them.  An empty table gives an empty result.  Other columns are not read.
     """
-    texts = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+    texts = texts_of(docs)
     all_ = materialize(texts.mapInArrow(_sketch(size), SKETCH_SCHEMA), "sketches")
     known = all_.where("set_key IS NOT NULL AND doc_id IS NOT NULL")
     classes = materialize(known.groupBy("set_key").agg(F.min(F.struct("doc_id", "n_shingles", "registers")).alias("s")).select("set_key", "s.*"), "classes")

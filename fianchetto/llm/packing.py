@@ -9,13 +9,14 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fianchetto.llm.common import materialize, steps
+from fianchetto.llm.common import materialize, steps, texts_of
 
 PIECE_SCHEMA = "doc_id long, piece int, start long, length int, ids_crc32 long"
 PIECE_FIELDS = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int32()), ("ids_crc32", pa.int64())]
@@ -59,8 +60,7 @@ def _pieces(path: str, kind: str, end_id: int, capacity: int):
 
 def token_pieces(docs: DataFrame, vocabulary: str, kind: str = "byte", end_id: int = 0, capacity: int = 2048) -> DataFrame:
     """Every document's pieces: doc_id, piece, start, length, ids_crc32 (of the ids as little-endian unsigned 32-bit)."""
-    texts = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    return texts.mapInArrow(_pieces(vocabulary, kind, end_id, capacity), PIECE_SCHEMA)
+    return texts_of(docs).mapInArrow(_pieces(vocabulary, kind, end_id, capacity), PIECE_SCHEMA)
 
 
 def best_fit(sizes: list[int], capacity: int) -> list[int]:
@@ -130,28 +130,25 @@ def _pack(round_: int, capacity: int, first: bool):
     return run
 
 
-def pack_pieces(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
-    """Pack pieces (rows of ``token_pieces``) into bins; see ``pack_documents`` for the result.
+def merge_bins(level: DataFrame, capacity: int) -> DataFrame:
+    """Rounds of best fit over underfull bins, from the written bins of the first round to the last; all done bins.
 
     Every round is written to the shared folder: its done bins are part of the result, the others are the next round's
     items.  Only numbers of bins reach the driver.
     """
-    rounds, todo, k = [], pieces, 0
+    rounds, k, items = [], 0, None
     while True:
-        level = materialize(todo.mapInArrow(_pack(k, capacity, k == 0), BIN_SCHEMA), f"bins{k}")
         rest = level.where("NOT done")
         bins, left, tasks = level.agg(F.count("bin"), F.count_if(~F.col("done")), F.count_distinct(F.shiftright("bin", 32))).first()
-        merged = k == 0 or bins < 0.99 * items
+        merged = items is None or bins < 0.99 * items
         if tasks <= 1 or left <= 1 or not merged:
             rounds.append(level)
             break
         rounds.append(level.where("done"))
         items, k = left, k + 1
         todo = rest.repartition(max(-(-left // BINS_PER_TASK), -(-tasks // FAN_IN)))
-    out = rounds[0]
-    for r in rounds[1:]:
-        out = out.unionByName(r)
-    return out
+        level = materialize(todo.mapInArrow(_pack(k, capacity, False), BIN_SCHEMA), f"bins{k}")
+    return reduce(DataFrame.unionByName, rounds)
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, kind: str = "byte", end_id: int = 0, capacity: int = 2048) -> DataFrame:
@@ -163,7 +160,9 @@ def pack_documents(docs: DataFrame, vocabulary: str, kind: str = "byte", end_id:
     end id alone.  Null or repeated doc_ids are separate documents all the same.  An empty table has no pieces.  ``docs``
     needs doc_id and text; other columns are not read.
     """
-    bins = pack_pieces(token_pieces(docs, vocabulary, kind, end_id, capacity), capacity)
+    pieces, pack = _pieces(vocabulary, kind, end_id, capacity), _pack(0, capacity, True)
+    first = texts_of(docs).mapInArrow(lambda batches: pack(pieces(batches)), BIN_SCHEMA)  # one worker a task does both
+    bins = merge_bins(materialize(first, "bins0"), capacity)
     rows = bins.select("bin", F.explode("members").alias("m"))
     return rows.select("m.doc_id", "m.piece", "m.start", F.col("m.length").cast("long").alias("length"), "m.ids_crc32",
                        F.col("bin").alias("sequence_id"), F.col("m.offset").cast("long").alias("offset"))

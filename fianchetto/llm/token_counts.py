@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fianchetto.llm.common import steps
+from fianchetto.llm.common import steps, texts_of
 
 SPACE = "▁"  # stands for a blank in the vocabulary
 #: What an unknown character scores below the vocabulary's least score.
@@ -162,5 +162,5 @@ def token_counts(docs: DataFrame, model: str) -> DataFrame:
     or empty text counts 0 with score 0.  Rows stay as they are, repeated ones and null doc_ids too.  Other columns are
     not read.
     """
-    texts = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+    texts = texts_of(docs)
     return texts.mapInArrow(_count(model), COUNT_SCHEMA)

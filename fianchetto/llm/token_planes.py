@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fianchetto.llm.common import scratch, steps
+from fianchetto.llm.common import scratch, steps, texts_of
 
 CHUNK_IDS = 1 << 16
 CHUNK_SCHEMA = (
@@ -124,8 +124,7 @@ def write_token_planes(docs: DataFrame, vocabulary: str, kind: str = "word", end
     One range shuffle of the texts; each task then encodes, shuffles planes and compresses what it holds, chunk by chunk.
     """
     spark, out = docs.sparkSession, out or scratch(docs.sparkSession, "planes")
-    ordered = (docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-               .withColumn("_tie", F.xxhash64("text")).repartitionByRange("doc_id", "_tie").sortWithinPartitions("doc_id", "_tie"))
+    ordered = (texts_of(docs).withColumn("_tie", F.xxhash64("text")).repartitionByRange("doc_id", "_tie").sortWithinPartitions("doc_id", "_tie"))
     chunks = ordered.select("doc_id", "text").mapInArrow(_write_shard(vocabulary, kind, end_id, planes, level, chunk_ids), CHUNK_SCHEMA)
     chunks.write.option("compression", "uncompressed").parquet(f"{out}/chunks")
     written = spark.read.schema(CHUNK_SCHEMA).parquet(f"{out}/chunks")
