@@ -358,6 +358,34 @@ def q_fit_rating_model(spark, sf):
         .select(F.round("intercept", 6).alias("intercept"), F.round("slope", 6).alias("slope"))
 
 
+def _trained(spark, sf):
+    """M1 on the train split only: (all rows with their split, the fitted model)."""
+    sp = split.split_exact(B.scored_b3(spark, sf).select("game_id", "target", F.col("n_ply").cast("double").alias("x")))
+    rows = sp.select("game_id", "split", "target", "x")
+    return rows, M.fit_rating_model(rows.where("split = 'train'"), ["x"], label="target")
+
+
+def _scored_split(rows, model, name):
+    m = metrics.evaluate_predictions(M.score(model, rows.where(F.col("split") == name)), elo=False)
+    return m.select(F.lit(name).alias("split"), "n", *[F.round(c, 6).alias(c) for c in ("mse", "mae", "rmse", "r2")])
+
+
+def q_train_evaluate(spark, sf):
+    """M1 + A11: fit on the train split, then score the validation and test splits once each."""
+    rows, model = _trained(spark, sf)
+    return _scored_split(rows, model, "val").unionByName(_scored_split(rows, model, "test"))
+
+
+def q_model_roundtrip(spark, sf):
+    """M3 + M4: the fitted model saved with its epoch and validation loss, loaded, and scored on the test split."""
+    rows, model = _trained(spark, sf)
+    best = _scored_split(rows, model, "val").first().mse
+    path = scratch_path(spark, "model")
+    M.save_model(model, path + "/model", epoch=1, best_val_loss=best, spark=spark, checkpoints_table=path + "/checkpoints")
+    loaded, epoch, loss = M.load_checkpoint(spark, path + "/model", path + "/checkpoints")
+    return _scored_split(rows, loaded, "test").select(F.lit(epoch).alias("epoch"), F.lit(loss).alias("best_val_loss"), "n", "mse", "mae")
+
+
 def q_validate_model(spark, sf):
     """A11 + M2: batch-score the validation split with a linear scorer
     (Arrow batches), then overall metrics and the batch-weighted loss."""

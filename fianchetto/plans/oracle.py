@@ -542,3 +542,16 @@ GROUP BY run"""
 SQL["compare_runs_configs"] = SQL["compare_runs"].replace(
     "SELECT fm.*,", "SELECT CASE WHEN fm.run % 2 = 0 THEN 'transformer' ELSE 'lstm' END AS model, "
     "(SELECT count(*) FROM h WHERE h.run = fm.run) AS epochs, true AS has_time, fm.*,")
+
+_TRAINED = _with(G, SC, SPLIT) + """, t AS (
+  SELECT s.split, sc.target, CAST(g.n_ply AS DOUBLE) AS x FROM s JOIN sc USING (game_id) JOIN g USING (game_id)),
+c AS (SELECT regr_slope(target, x) AS b, regr_intercept(target, x) AS a FROM t WHERE split = 'train'),
+p AS (SELECT split, target, least(greatest(a + b * x, 0.0::DOUBLE), 1.0::DOUBLE) AS pred FROM t, c WHERE split <> 'train'),
+e AS (SELECT split, count(*) AS n, round(avg((target - pred) * (target - pred)), 6) AS mse, round(avg(abs(target - pred)), 6) AS mae,
+             round(sqrt(avg((target - pred) * (target - pred))), 6) AS rmse,
+             round(1 - sum((target - pred) * (target - pred)) / (var_pop(target) * count(*)), 6) AS r2
+      FROM p GROUP BY split)
+"""
+SQL["train_evaluate"] = _TRAINED + "SELECT * FROM e"
+SQL["model_roundtrip"] = _TRAINED + """SELECT CAST(1 AS INTEGER) AS epoch, (SELECT mse FROM e WHERE split = 'val') AS best_val_loss,
+  n, mse, mae FROM e WHERE split = 'test'"""
