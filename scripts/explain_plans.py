@@ -13,7 +13,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 from fianchetto.plans.catalog import QUERIES  # noqa: E402
 from fianchetto.session import get_session  # noqa: E402
 
-KEY = ["frame_games_clean", "replayed_games", "split_exact", "segment_by_elo", "residual_histogram",
+KEY = ["frame_games_clean", "valid_games", "max_games", "encode_sequence", "split_exact", "segment_by_elo", "residual_histogram",
        "running_weighted_mean", "early_stop_epoch", "top_positions", "board_onehot"]
 
 
