@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 
 from fianchetto.llm.common import materialize, steps, texts_of
 
-PIECE_SCHEMA = "doc_id long, piece int, start long, length int, ids_crc32 long"
 PIECE_FIELDS = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int32()), ("ids_crc32", pa.int64())]
 MEMBER = pa.struct([*PIECE_FIELDS, ("offset", pa.int32())])
 BIN_SCHEMA = "fill int, done boolean, bin long, members array<struct<doc_id long, piece int, start long, length int, ids_crc32 long, offset int>>"
@@ -58,11 +57,6 @@ def _pieces(path: str, kind: str, end_id: int, capacity: int):
     return run
 
 
-def token_pieces(docs: DataFrame, vocabulary: str, kind: str = "byte", end_id: int = 0, capacity: int = 2048) -> DataFrame:
-    """Every document's pieces: doc_id, piece, start, length, ids_crc32 (of the ids as little-endian unsigned 32-bit)."""
-    return texts_of(docs).mapInArrow(_pieces(vocabulary, kind, end_id, capacity), PIECE_SCHEMA)
-
-
 def best_fit(sizes: list[int], capacity: int) -> list[int]:
     """Bin number of each item, items in the given order: the fullest bin that still takes it, else a new one.
 
