@@ -1,16 +1,22 @@
 """Personal data by candidate generators and gradient-boosted trees, with built-in DataFrame functions and Spark ML only.
 
 High-recall patterns propose spans, overlapping or not.  Each candidate is described by a few small numbers (its format
-and its surroundings), which together are its cell.  Boosted trees learn, from all candidates of all texts, how likely a
-candidate of a cell is one that the strict patterns confirm; per kind, a threshold calibrated on held-out documents
-selects further spans.  As there are only so many cells, the trees learn from counts by cell, and the selection is a
-bounded list of cells that is applied row by row: no join and no shuffle of texts.
+and its surroundings), which together are its cell.  Boosted trees learn, from all texts, how likely a candidate of a cell
+is personal data; per kind, a threshold calibrated on held-out documents selects further spans.  As there are only so many
+cells, the trees learn from counts by cell, and the selection is a bounded list of cells that is applied row by row: no
+join and no shuffle of texts.
+
+Labels do not come from whether the strict patterns confirm a candidate, which no further span can be: the examples for
+are strict spans masked as the generators would find them (a number without its country code, an address spelt out), those
+against are candidates of a false format, inside a strict span of another kind, or after words that tell of something
+else.  All other candidates have no label and count for nothing but being selected.
 """
 
 from __future__ import annotations
 
 import dataclasses
 from functools import reduce
+from itertools import groupby
 
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -45,10 +51,13 @@ _OTHERWISE = r"version|release|licen[cs]e|isbn|token|key|id\s*[=:#]|\bv$"
 #: Characters before a candidate that are looked at.
 CONTEXT = 24
 #: Numbers that make up a cell, each below its bound.
-CELL = {"kind": 4, "strict": 2, "digits": 21, "separators": 5, "left": 4, "right": 4, "words": 3, "length": 12, "varied": 2}
+CELL = {"kind": 4, "strict": 2, "valid": 2, "digits": 21, "separators": 5, "left": 4, "right": 4, "words": 3, "length": 12, "varied": 2}
 SPAN = "array<struct<kind:int,start:int,end:int,cell:long,sure:boolean>>"
-#: Share of confirmed candidates that a threshold must reach on held-out documents, and the candidates it must rest on.
+#: Share of labelled candidates in held-out documents that must be personal data at every score from the threshold up,
+#: and the candidates that a threshold must rest on.
 PRECISION, LEAST_HELD_OUT = 0.95, 20
+#: Held-out candidates that the trees' own word on a score counts for.
+PRIOR = 20
 
 
 def _digits(hit: Column) -> Column:
@@ -76,16 +85,45 @@ def confirmed(kind: int, hit: Column) -> Column:
     return F.lit(True)
 
 
+def _valid(kind: int, hit: Column) -> Column:
+    """Whether a match of a generator has a format that its kind can have."""
+    digits = F.regexp_replace(hit, r"[^0-9]", "")
+    if kind == 1:
+        return hit.contains(":") | confirmed(1, F.regexp_replace(hit, r"[^0-9.]", ""))
+    if kind == 2:
+        return confirmed(2, digits)
+    if kind == 3:
+        return (F.replace(digits, F.left(digits, F.lit(1)), F.lit("")) != "") & ~hit.rlike(r"^(?:(?:19|20)[0-9]{2}[\x20./-]?)+$")
+    return hit.rlike(r"[A-Za-z]$")
+
+
+def _masked(kind: int, hit: Column, turn: Column) -> Column:
+    """A strict span as a generator would find it, in one of the forms that generators know, by ``turn``; null if none
+    would."""
+    if kind == 3:
+        form = F.regexp_replace(hit, r"^\+[0-9]{1,3}[\x20.-]?", "")
+    else:
+        if kind == 0:
+            name, host = F.substring_index(hit, "@", 1), F.substring_index(hit, "@", -1)
+            forms = [F.concat(name, F.lit(at), F.replace(host, F.lit("."), F.lit(dot))) for at, dot in ((" (at) ", " (dot) "), ("[at]", "."), (" @ ", " . "))]
+        elif kind == 1:
+            forms = [F.replace(hit, F.lit("."), F.lit(dot)) for dot in ("[.]", " . ", "(.)")]
+        else:
+            forms = [F.regexp_replace(F.translate(hit, " -", ""), r"([0-9]{4})(?=[0-9])", f"$1{sep}") for sep in (".", "/", "_")]
+        form = F.get(F.array(*forms), F.pmod(turn, F.lit(len(forms))))
+    return F.when(form.rlike(f"^(?:{WIDE[kind]})$"), form)
+
+
 def _side(char: Column) -> Column:
     """Class of a neighbouring character: none or blank, letter, digit, other."""
     return (F.when((char == "") | char.rlike(r"^\s"), 0).when(char.rlike(r"^\p{L}"), 1).when(char.rlike("^[0-9]"), 2).otherwise(3))
 
 
-def _cell(kind: int, strict: bool, hit: Column, before: Column, after: Column) -> Column:
+def _cell(kind: int, strict: bool, valid: Column, hit: Column, before: Column, after: Column) -> Column:
     """The candidate's cell as one number; every part of it is a small integer (see CELL)."""
     words, digits = F.lower(before), F.regexp_replace(hit, r"[^0-9]", "")
     parts = {
-        "kind": F.lit(kind), "strict": F.lit(int(strict)), "digits": F.least(F.length(digits), F.lit(20)),
+        "kind": F.lit(kind), "strict": F.lit(int(strict)), "valid": valid.cast("int"), "digits": F.least(F.length(digits), F.lit(20)),
         "separators": F.least(F.length(F.regexp_replace(hit, r"[^\x20().\[\]{}/_:-]", "")), F.lit(4)),
         "left": _side(F.right(before, F.lit(1))), "right": _side(F.left(after, F.lit(1))),
         "words": F.when(words.rlike(_OTHERWISE), 2).when(words.rlike(_KEYWORDS[kind]), 1).otherwise(0),
@@ -96,16 +134,26 @@ def _cell(kind: int, strict: bool, hit: Column, before: Column, after: Column) -
 
 
 def _spans(kind: int, strict: bool, hits: Column, pieces: Column) -> Column:
-    """Spans of a pattern from its matches and the pieces of text between them: places are sums of lengths."""
-    each = F.transform(hits, lambda h, i: F.struct(h.alias("hit"), F.get(pieces, i).alias("before"), F.get(pieces, i + 1).alias("after")))
+    """Spans of a pattern from its matches and the pieces of text between them: places are sums of lengths.
+
+    ``sure`` is true for strict spans that pass their tests (their cell is that of their masked form, null if they have
+    none), false for candidates of a false format or after words that tell of something else, else null.
+    """
+    each = F.transform(hits, lambda h, i: F.struct(
+        h.alias("hit"), F.get(pieces, i).alias("before"), F.get(pieces, i + 1).alias("after"),
+        (confirmed(kind, h) if strict else _valid(kind, h)).alias("good"),
+        *([_masked(kind, h, i + F.length(F.get(pieces, i))).alias("masked")] if strict else [])))
 
     def put(acc, x):
         start = acc["at"] + F.length(x["before"])
         end = start + F.length(x["hit"])
-        sure = confirmed(kind, x["hit"]) if strict else F.lit(False)
         near = F.right(x["before"], F.lit(CONTEXT))
-        span = F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"),
-                        _cell(kind, strict, x["hit"], near, x["after"]).alias("cell"), sure.alias("sure"))
+        if strict:
+            masked = F.when(x["masked"].isNotNull(), _cell(kind, False, _valid(kind, x["masked"]), x["masked"], near, x["after"]))
+            cell, sure = F.when(x["good"], masked).otherwise(_cell(kind, True, F.lit(False), x["hit"], near, x["after"])), x["good"]
+        else:
+            cell, sure = _cell(kind, False, x["good"], x["hit"], near, x["after"]), F.when(~x["good"] | F.lower(near).rlike(_OTHERWISE), False)
+        span = F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), cell.alias("cell"), sure.alias("sure"))
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
 
     none = F.struct(F.lit(0).alias("at"), F.from_json(F.lit("[]"), SPAN).alias("out"))
@@ -118,7 +166,7 @@ def _touches(a: Column, b: Column) -> Column:
 
 def with_candidates(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with ``_base`` (strict spans that pass their tests, by kind and start) and ``_more`` (all other
-    candidates, ``sure`` if they overlap a strict span of their kind)."""
+    candidates; ``sure`` is false where something tells against them, else null)."""
     none = F.from_json(F.lit("[]"), SPAN)
     patterns = [(k, strict, rx) for strict, all_ in ((True, STRICT), (False, WIDE)) for k, rx in enumerate(all_)]
     body = F.coalesce(F.col(text), F.lit(""))
@@ -132,8 +180,9 @@ def with_candidates(docs: DataFrame, text: str = "text") -> DataFrame:
     out = out.select(*names, *[f"_spans{i}" for i in range(4, 8)], F.filter(every, lambda s: s["sure"]).alias("_base"),
                      F.filter(every, lambda s: ~s["sure"]).alias("_failed"))
     wide = F.concat("_failed", *[f"_spans{i}" for i in range(4, 8)])
-    sure = lambda s: F.exists("_base", lambda b: (b["kind"] == s["kind"]) & _touches(b, s))
-    marked = F.transform(wide, lambda s: s.withField("sure", sure(s)))
+    own = lambda s: F.exists("_base", lambda b: (b["kind"] == s["kind"]) & _touches(b, s))
+    other = lambda s: F.exists("_base", lambda b: (b["kind"] != s["kind"]) & _touches(b, s))
+    marked = F.transform(wide, lambda s: s.withField("sure", F.when(own(s), F.lit(None)).when(other(s), False).otherwise(s["sure"])))
     return out.select(*names, "_base", marked.alias("_more"))
 
 
@@ -148,19 +197,33 @@ def _unpacked(cells: DataFrame) -> DataFrame:
 
 @dataclasses.dataclass(frozen=True)
 class PiiModel:
-    """The cells whose candidates become spans, and each kind's threshold (None: no threshold reaches the precision)."""
+    """The cells whose candidates become spans, and each kind's threshold (None: no score reaches the precision)."""
 
     cells: tuple[int, ...]
     thresholds: dict[str, float | None]
 
 
+def least_score(scores: list[tuple[float, float, float]], precision: float) -> float | None:
+    """The least score from which on every score's candidates reach the precision, of (score, right, wrong) in falling
+    order; neighbours whose shares rise as the score falls are taken together. None if the best one does not reach it."""
+    blocks: list[list[float]] = []
+    for p, right, wrong in scores:
+        blocks.append([p, right, right + wrong])
+        while len(blocks) > 1 and (blocks[-2][2] == 0 or blocks[-1][1] * blocks[-2][2] >= blocks[-2][1] * blocks[-1][2]):
+            p, right, all_ = blocks.pop()
+            blocks[-1] = [p, blocks[-1][1] + right, blocks[-1][2] + all_]
+    reached = [p for p, right, all_ in blocks if all_ and right >= precision * all_]
+    return reached[-1] if reached else None
+
+
 def fit_pii(candidates: DataFrame, precision: float = PRECISION, trees: int = 20, depth: int = 4) -> PiiModel:
     """Learn from ``doc_id, _base, _more`` of all documents which cells to select.
 
-    Candidates of every document count, summed by cell; documents of fold 0 (crc32(doc_id as text) mod 5) set the
-    thresholds, the others train the trees.  Only counts by cell, at most as many as there are cells, leave the tasks.
+    Labelled candidates of every document count, summed by cell; documents of fold 0 (crc32(doc_id as text) mod 5) set the
+    thresholds, the others train the trees, where each kind weighs the same.  Base spans themselves are in neither, only
+    their masked forms.  Only counts by cell, at most as many as there are cells, leave the tasks.
     """
-    each = candidates.select((fold(F.col("doc_id")) == 0).alias("held"), F.explode(F.concat("_base", "_more")).alias("s"))
+    each = candidates.select((fold(F.col("doc_id")) == 0).alias("held"), F.explode(F.concat("_base", "_more")).alias("s")).where("s.cell IS NOT NULL")
     counts = each.groupBy("s.cell").agg(
         *[F.count_if((F.col("held") == h) & (F.col("s.sure") == s)).cast("double").alias(n)
           for n, h, s in (("held_yes", True, True), ("held_no", True, False), ("yes", False, True), ("no", False, False))])
@@ -170,7 +233,10 @@ def fit_pii(candidates: DataFrame, precision: float = PRECISION, trees: int = 20
         return PiiModel((), dict.fromkeys(KINDS))
     assembled = VectorAssembler(inputCols=list(CELL), outputCol="features").transform(cells)
     sides = F.explode(F.array(F.struct(F.lit(1.0).alias("label"), F.col("yes").alias("weight")), F.struct(F.lit(0.0).alias("label"), F.col("no").alias("weight"))))
-    train = assembled.select("features", sides.alias("x")).select("features", "x.label", "x.weight").where("weight > 0")
+    of_kind = {r.kind: r.weight for r in cells.groupBy("kind").agg(F.sum(F.col("yes") + F.col("no")).alias("weight")).collect()}
+    share = reduce(lambda rest, k: F.when(F.col("kind") == k, 1 / of_kind[k]).otherwise(rest), [k for k in of_kind if of_kind[k]], F.lit(0.0))
+    train = (assembled.select("features", share.alias("share"), sides.alias("x"))
+             .select("features", "x.label", (F.col("x.weight") * F.col("share")).alias("weight")).where("weight > 0"))
     model = GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.3, weightCol="weight", seed=42, cacheNodeIds=False).fit(train.coalesce(1))
     scored = model.transform(assembled).select("cell", F.col("kind").cast("int").alias("kind"), "held_yes", "held_no",
                                                vector_to_array("probability")[1].alias("p")).collect()  # one small row a cell
@@ -178,12 +244,9 @@ def fit_pii(candidates: DataFrame, precision: float = PRECISION, trees: int = 20
     thresholds: dict[str, float | None] = {}
     for k, name in enumerate(KINDS):
         own = sorted((r for r in scored if r.kind == k), key=lambda r: -r.p)
-        best, good, all_ = None, 0.0, 0.0
-        for i, r in enumerate(own):
-            good, all_ = good + r.held_yes, all_ + r.held_yes + r.held_no
-            last_of_score = i + 1 == len(own) or own[i + 1].p < r.p
-            if last_of_score and all_ >= LEAST_HELD_OUT and good >= precision * all_:
-                best = r.p
+        enough = sum(r.held_yes + r.held_no for r in own) >= LEAST_HELD_OUT
+        scores = [(p, *map(sum, zip(*((r.held_yes, r.held_no) for r in rows)))) for p, rows in groupby(own, key=lambda r: r.p)]
+        best = least_score([(p, yes + PRIOR * p, no + PRIOR * (1 - p)) for p, yes, no in scores], precision) if enough else None
         thresholds[name] = best
         chosen += [r.cell for r in own if best is not None and r.p >= best]
     return PiiModel(tuple(sorted(chosen)), thresholds)

@@ -130,6 +130,34 @@ def test_further_spans_and_redaction(spark):
     assert done[500].text == dict((i, t) for i, t, _ in docs)[500]
 
 
+def test_further_spans_where_many_numbers_are_national(spark):
+    rng = random.Random(10)
+    number = lambda: f"({rng.randint(200, 999)}) 555-{rng.randint(1000, 9999)}"
+    docs = [(i, f"please call +1 {number()} soon") for i in range(200)] + [(1000 + i, f"please call {number()} soon") for i in range(160)]
+    docs += [(2000 + i, f"please find licence {number()} here") for i in range(100)]  # of the same format
+    got = {r.doc_id: r.spans for r in pii.find_pii(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert {got[1000 + i] for i in range(160)} == {"phone:12:26"}
+    assert {got[2000 + i] for i in range(100)} == {""}
+
+
+def test_rare_false_candidates_stay_out(spark):
+    rng = random.Random(11)
+    part = lambda: rng.randint(0, 255)
+    docs = [(i, f"from {part()}.{part()}.{part()}.{part()} on") for i in range(400)]
+    docs += [(1000 + i, f"from {300 + i}.{part()}.{part()}.{part()} on") for i in range(8)]  # no addresses
+    docs += [(2000 + i, f"from {part()}[.]{part()}[.]{part()}[.]{part()} on") for i in range(8)]
+    got = {r.doc_id: r.spans for r in pii.find_pii(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert {got[1000 + i] for i in range(8)} == {""}
+    assert all(got[2000 + i] == f"ip:5:{len(docs[408 + i][1]) - 3}" for i in range(8))
+
+
+def test_least_score():
+    assert pii.least_score([(0.9, 95, 5), (0.5, 100, 0), (0.01, 0, 1)], 0.95) == 0.5  # each score's own share counts
+    assert pii.least_score([(0.9, 0, 0), (0.8, 20, 0), (0.1, 1, 19)], 0.95) == 0.8
+    assert pii.least_score([(0.9, 1, 1)], 0.95) is None
+    assert pii.least_score([], 0.95) is None
+
+
 def test_small_tables_quality(spark):
     docs, labels = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "labels"))
     got = quality.classify_quality(docs, labels).join(labels, "doc_id").where("held_out").collect()
