@@ -53,10 +53,9 @@ CONTEXT = 24
 #: Numbers that make up a cell, each below its bound.
 CELL = {"kind": 4, "strict": 2, "valid": 2, "digits": 21, "separators": 5, "left": 4, "right": 4, "words": 3, "length": 12, "varied": 2}
 SPAN = "array<struct<kind:int,start:int,end:int,cell:long,sure:boolean>>"
-#: Share of labelled candidates in held-out documents that must be personal data at every score from the threshold up,
-#: and the candidates that a threshold must rest on.
-PRECISION, LEAST_HELD_OUT = 0.95, 20
-#: Held-out candidates that the trees' own word on a score counts for.
+#: Share of labelled candidates in held-out documents that must be personal data at every score from the threshold up.
+PRECISION = 0.95
+#: Held-out candidates that the trees' own word on a score counts for, however many there are.
 PRIOR = 20
 
 
@@ -221,22 +220,24 @@ def fit_pii(candidates: DataFrame, precision: float = PRECISION, trees: int = 20
 
     Labelled candidates of every document count, summed by cell; documents of fold 0 (crc32(doc_id as text) mod 5) set the
     thresholds, the others train the trees, where each kind weighs the same.  Base spans themselves are in neither, only
-    their masked forms.  Only counts by cell, at most as many as there are cells, leave the tasks.
+    their masked forms.  Small and large inputs go the same way: one example for and one against, spread like a kind's
+    labelled candidates (evenly if it has none), join those that were seen, and a score's share rests on the trees' word
+    as PRIOR candidates besides the held-out ones.  Only counts by cell, at most as many as there are cells, leave the
+    tasks.
     """
     each = candidates.select((fold(F.col("doc_id")) == 0).alias("held"), F.explode(F.concat("_base", "_more")).alias("s")).where("s.cell IS NOT NULL")
     counts = each.groupBy("s.cell").agg(
         *[F.count_if((F.col("held") == h) & (F.col("s.sure") == s)).cast("double").alias(n)
           for n, h, s in (("held_yes", True, True), ("held_no", True, False), ("yes", False, True), ("no", False, False))])
     cells = materialize(_unpacked(counts), "pii-cells")
-    yes, no = cells.agg(F.sum("yes"), F.sum("no")).first()
-    if not yes or not no:
+    of_kind = {r.kind: (r.n, r.weight) for r in cells.groupBy("kind").agg(F.count("cell").alias("n"), F.sum(F.col("yes") + F.col("no")).alias("weight")).collect()}
+    if not of_kind:
         return PiiModel((), dict.fromkeys(KINDS))
     assembled = VectorAssembler(inputCols=list(CELL), outputCol="features").transform(cells)
-    sides = F.explode(F.array(F.struct(F.lit(1.0).alias("label"), F.col("yes").alias("weight")), F.struct(F.lit(0.0).alias("label"), F.col("no").alias("weight"))))
-    of_kind = {r.kind: r.weight for r in cells.groupBy("kind").agg(F.sum(F.col("yes") + F.col("no")).alias("weight")).collect()}
-    share = reduce(lambda rest, k: F.when(F.col("kind") == k, 1 / of_kind[k]).otherwise(rest), [k for k in of_kind if of_kind[k]], F.lit(0.0))
-    train = (assembled.select("features", share.alias("share"), sides.alias("x"))
-             .select("features", "x.label", (F.col("x.weight") * F.col("share")).alias("weight")).where("weight > 0"))
+    share, part = (reduce(lambda rest, k: F.when(F.col("kind") == k, of(*of_kind[k])).otherwise(rest), of_kind, F.lit(0.0))  # noqa: B023
+                   for of in (lambda n, weight: 1 / (weight + 2), lambda n, weight: (F.col("yes") + F.col("no")) / weight if weight else 1 / n))
+    sides = F.explode(F.array(*[F.struct(F.lit(y).alias("label"), ((F.col(c) + part) * share).alias("weight")) for y, c in ((1.0, "yes"), (0.0, "no"))]))
+    train = assembled.select("features", sides.alias("x")).select("features", "x.label", "x.weight").where("weight > 0")
     model = GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.3, weightCol="weight", seed=42, cacheNodeIds=False).fit(train.coalesce(1))
     scored = model.transform(assembled).select("cell", F.col("kind").cast("int").alias("kind"), "held_yes", "held_no",
                                                vector_to_array("probability")[1].alias("p")).collect()  # one small row a cell
@@ -244,9 +245,8 @@ def fit_pii(candidates: DataFrame, precision: float = PRECISION, trees: int = 20
     thresholds: dict[str, float | None] = {}
     for k, name in enumerate(KINDS):
         own = sorted((r for r in scored if r.kind == k), key=lambda r: -r.p)
-        enough = sum(r.held_yes + r.held_no for r in own) >= LEAST_HELD_OUT
         scores = [(p, *map(sum, zip(*((r.held_yes, r.held_no) for r in rows)))) for p, rows in groupby(own, key=lambda r: r.p)]
-        best = least_score([(p, yes + PRIOR * p, no + PRIOR * (1 - p)) for p, yes, no in scores], precision) if enough else None
+        best = least_score([(p, yes + PRIOR * p, no + PRIOR * (1 - p)) for p, yes, no in scores], precision)
         thresholds[name] = best
         chosen += [r.cell for r in own if best is not None and r.p >= best]
     return PiiModel(tuple(sorted(chosen)), thresholds)

@@ -151,6 +151,16 @@ def test_rare_false_candidates_stay_out(spark):
     assert all(got[2000 + i] == f"ip:5:{len(docs[408 + i][1]) - 3}" for i in range(8))
 
 
+def test_small_inputs_go_the_same_way(spark):
+    rng = random.Random(12)
+    number = lambda: f"({rng.randint(200, 999)}) 555-{rng.randint(1000, 9999)}"
+    few = [(1000 + i, f"please call {number()} soon") for i in range(3)] + [(2000, "from 300.1.2.3 on")]
+    docs = [(i, f"please call +1 {number()} soon") for i in range(20)] + few  # fewer than 20 held-out candidates
+    got = {r.doc_id: r.spans for r in pii.find_pii(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert [got[i] for i in (1000, 1001, 1002, 2000)] == ["phone:12:26"] * 3 + [""]
+    assert pii.find_pii(spark.createDataFrame(few, "doc_id long, text string")).where("spans <> ''").count() == 0  # nothing to learn from
+
+
 def test_least_score():
     assert pii.least_score([(0.9, 95, 5), (0.5, 100, 0), (0.01, 0, 1)], 0.95) == 0.5  # each score's own share counts
     assert pii.least_score([(0.9, 0, 0), (0.8, 20, 0), (0.1, 1, 19)], 0.95) == 0.8
