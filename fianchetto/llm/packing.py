@@ -2,7 +2,7 @@
 
 Each task packs the pieces it holds by best fit, longest first, and emits the nearly full bins.  Underfull bins become
 items of the next round: they meet others in fewer, again bounded, tasks and are packed by best fit once more, until one
-task holds all that remain or a round no longer merges anything.
+task holds all that remain or a round neither merges anything nor gets by with fewer tasks.
 """
 
 from __future__ import annotations
@@ -130,16 +130,16 @@ def merge_bins(level: DataFrame, capacity: int) -> DataFrame:
     Every round is written to the shared folder: its done bins are part of the result, the others are the next round's
     items.  Only numbers of bins reach the driver.
     """
-    rounds, k, items = [], 0, None
+    rounds, k, items, before = [], 0, None, 0
     while True:
         rest = level.where("NOT done")
         bins, left, tasks = level.agg(F.count("bin"), F.count_if(~F.col("done")), F.count_distinct(F.shiftright("bin", 32))).first()
-        merged = items is None or bins < 0.99 * items
+        merged = items is None or bins < items or tasks < before
         if tasks <= 1 or left <= 1 or not merged:
             rounds.append(level)
             break
         rounds.append(level.where("done"))
-        items, k = left, k + 1
+        items, before, k = left, tasks, k + 1
         todo = rest.repartition(max(-(-left // BINS_PER_TASK), -(-tasks // FAN_IN)))
         level = materialize(todo.mapInArrow(_pack(k, capacity, False), BIN_SCHEMA), f"bins{k}")
     return reduce(DataFrame.unionByName, rounds)

@@ -140,3 +140,12 @@ def test_token_counts(odd):
 
 def test_token_counts_empty(empty):
     assert token_counts.token_counts(empty, public_tokenizers.path("piece_bpe_32k.model")).collect() == []
+
+
+def test_merging_goes_on_while_little_merges(spark, monkeypatch):
+    monkeypatch.setattr(packing, "FAN_IN", 2)
+    fills = [([60] * 99 + [45]) for _ in range(8)]  # only the eight of 45 go together, in pairs: far below 1% a round
+    rows = [(n, False, (task << 32) | i, [(task * 100 + i, 0, 0, n, 0, 0)]) for task, own in enumerate(fills) for i, n in enumerate(own)]
+    bins = packing.merge_bins(spark.createDataFrame(rows, packing.BIN_SCHEMA), 100).collect()
+    assert sorted(m.doc_id for b in bins for m in b.members) == list(range(800))
+    assert sum(b.fill == 90 for b in bins) == 4 and len(bins) == 796
