@@ -21,10 +21,17 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five words, similarity 0.8): the one with the least doc_id."""
-    found = near_dedup.near_duplicates(docs, percent=80, size=5)
-    gone = found.where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
+    """One row of each group of near duplicates (five words, similarity 0.8): the one with the least doc_id.
+
+    Rows are told apart by numbers of their own, written with them: repeated and null doc_ids are separate documents.  Of
+    rows with the same doc_id, the one whose text has the least hash stays; a null doc_id comes after all others.
+    """
+    rows = materialize(docs.select(F.monotonically_increasing_id().alias("id"), F.struct("*").alias("row")), "rows")
+    found = near_dedup.near_duplicates(rows.select(F.col("id").alias("doc_id"), "row.text"), percent=80, size=5)
+    order = F.struct(F.col("row.doc_id").isNull().alias("none"), "row.doc_id", F.xxhash64("row.text").alias("hash"), "id")
+    ranked = rows.select("id", order.alias("order")).join(found.select(F.col("doc_id").alias("id"), "component_id"), "id")
+    first = ranked.groupBy("component_id").agg(F.min("order").alias("order")).select("order.id")
+    return rows.join(first, "id", "left_semi").select("row.*")
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

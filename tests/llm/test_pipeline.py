@@ -75,3 +75,13 @@ def test_empty_documents(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SMALL)
     assert docs.collect() == []
+
+
+def test_near_duplicates_go_by_row(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(1, a), (2, a + " more"), (2, b), (3, c), (3, c), (3, c), (None, c), (None, "null " + b), (4, None), (4, None), (None, ""), (5, "z " + a)]
+    df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, id string").repartition(3)
+    got = corpus_pipeline.drop_near_duplicates(spark, df, SMALL)
+    assert got.columns == df.columns
+    key = lambda r: (r[0] is not None, r[0] or 0, r[1] or "")
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=key) == sorted([(1, a), (2, b), (3, c), (4, None), (4, None), (None, "")], key=key)
