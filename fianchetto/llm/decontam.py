@@ -11,6 +11,7 @@ where they lie.
 from __future__ import annotations
 
 import heapq
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,9 +32,13 @@ SIEVE_BITS = 20
 HIT_SCHEMA = "doc_id long, item_id long, item_words int, matched_words int, tiles int, coverage double"
 
 
+#: Characters beyond ASCII that are no letters or digits (of ASCII, ``word_hashes`` knows them).
+_SIGNS = re.compile(r"[^\x00-\x7F\w]")
+
+
 def normal_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the lower-cased words (letters and digits) of texts, and each text's first word."""
-    return word_hashes([t.lower().encode() for t in texts], letters_only=True)
+    return word_hashes([(t if t.isascii() else _SIGNS.sub(" ", t)).lower().encode() for t in texts], letters_only=True)
 
 
 def _seeds(h: np.ndarray, first: np.ndarray, least: int) -> np.ndarray:
@@ -136,7 +141,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, coverage: float =
     """Pairs of a document and a test item whose words lie under common tiles for at least ``coverage``.
 
     Returns doc_id, item_id, item_words, matched_words, tiles, coverage; documents that hold no item have no row.  Words
-    are runs of letters and digits, lower-cased; signs do not matter.  Whole texts are searched.  Null and empty texts on
+    are runs of letters and digits (of Unicode), lower-cased; signs do not matter.  Whole texts are searched.  Null and empty texts on
     either side hold nothing; an item of fewer than ``least`` words can't be found.  Repeated documents give repeated
     rows, null ids stay null.  Other columns are not read.
     """

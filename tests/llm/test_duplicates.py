@@ -149,3 +149,10 @@ def test_contaminated_documents_go(spark, odd, empty, monkeypatch):
     assert decontam.find_contamination(empty, bench).collect() == []
     assert decontam.find_contamination(odd, bench.limit(0)).collect() == []
     assert decontam.drop_contaminated(odd, bench.limit(0)).count() == len(ODD)
+
+
+def test_words_part_at_every_sign(spark):
+    bench = spark.createDataFrame([(1, "the river's bank, a lazy dog and a fox"), (2, "größe über alle häuser hinaus")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "see: “the\u00a0river’s bank”—a\u2009lazy dog…and a\u3000fox"), (2, "„GRÖSSE“ größe–über alle häuser\u00a0hinaus!")], "doc_id long, text string")
+    got = decontam.find_contamination(docs, bench).collect()
+    assert sorted((r.doc_id, r.item_id, r.item_words, r.matched_words) for r in got) == [(1, 1, 10, 10), (2, 2, 5, 5)]
