@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from fianchetto.llm import decontam, near_dedup, packing, pii, quality, token_counts, token_planes, topk, toxicity, url_filter
+from fianchetto.llm import decontam, near_dedup, packing, pii, quality, sharding, token_counts, token_planes, topk, toxicity, url_filter
 
 #: Rules of the URL query: (host, path, verdict).
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -64,10 +64,14 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_records(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     q.__name__: q
     for q in (op1_token_planes, op2_exact_topk, op3_toxicity, op4_pii, op5_quality, op6_token_counts, op7_url_filter,
-              op8_best_fit_packing, op9_decontamination, op10_near_duplicates)
+              op8_best_fit_packing, op9_decontamination, op10_near_duplicates, op12_sharding)
 }
 
 # DuckDB forms, over whole tables
