@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from fianchetto.llm import decontam, near_dedup, packing, pii, quality, sharding, token_counts, token_planes, topk, toxicity, url_filter
+from fianchetto.llm import decontam, near_dedup, packing, pii, quality, ranked_search, sharding, token_counts, token_planes, topk, toxicity, url_filter
 
 #: Rules of the URL query: (host, path, verdict).
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -64,6 +64,10 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_records(table(spark, sf_dir, "documents"))
 
@@ -71,7 +75,7 @@ def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     q.__name__: q
     for q in (op1_token_planes, op2_exact_topk, op3_toxicity, op4_pii, op5_quality, op6_token_counts, op7_url_filter,
-              op8_best_fit_packing, op9_decontamination, op10_near_duplicates, op12_sharding)
+              op8_best_fit_packing, op9_decontamination, op10_near_duplicates, op11_ranked_search, op12_sharding)
 }
 
 # DuckDB forms, over whole tables
@@ -111,6 +115,27 @@ WITH RECURSIVE w AS (
 )
 SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept
 FROM n JOIN (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_id) USING (doc_id)
+""",
+    "op11_ranked_search": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents
+), t AS (
+  SELECT count(*) AS n_docs, sum(len(ts)) AS n_terms FROM d WHERE len(ts) > 0
+), p AS (
+  SELECT r, doc_id, len(ts) AS n, term, CAST(count(*) AS BIGINT) AS tf FROM d, unnest(ts) AS u(term) GROUP BY ALL
+), w AS (
+  SELECT term, CAST(floor(1000 * ln((2.0::DOUBLE * any_value(n_docs) + 2) / (2.0::DOUBLE * count(*) + 1))) AS BIGINT) AS w FROM p, t GROUP BY term
+), q AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+), s AS (
+  SELECT item_id, r, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * CAST(n AS BIGINT) * n_docs) // CAST(n_terms AS BIGINT))))) AS BIGINT) AS score
+  FROM q JOIN p USING (term) JOIN w USING (term), t GROUP BY ALL
+), k AS (
+  SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0
+)
+SELECT * FROM k WHERE rank <= 10
 """,
     "op7_url_filter": """
 WITH rules(h, p, v) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
