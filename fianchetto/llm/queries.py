@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from fianchetto.llm import decontam, near_dedup, packing, pii, quality, ranked_search, sharding, token_counts, token_planes, topk, toxicity, url_filter
+from fianchetto.llm import collocations, decontam, near_dedup, packing, pii, quality, ranked_search, sharding, token_counts, token_planes, topk, toxicity, url_filter
 
 #: Rules of the URL query: (host, path, verdict).
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -72,10 +72,14 @@ def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_records(table(spark, sf_dir, "documents"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine_collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     q.__name__: q
     for q in (op1_token_planes, op2_exact_topk, op3_toxicity, op4_pii, op5_quality, op6_token_counts, op7_url_filter,
-              op8_best_fit_packing, op9_decontamination, op10_near_duplicates, op11_ranked_search, op12_sharding)
+              op8_best_fit_packing, op9_decontamination, op10_near_duplicates, op11_ranked_search, op12_sharding, op13_collocations)
 }
 
 # DuckDB forms, over whole tables
@@ -136,6 +140,39 @@ WITH d AS (
   SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0
 )
 SELECT * FROM k WHERE rank <= 10
+""",
+    "op13_collocations": r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), ws AS (
+  SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces
+), n AS (
+  SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM ws GROUP BY lang
+), c1 AS (
+  SELECT lang, w1, count(*) AS f FROM ws, unnest(w) AS u(w1) GROUP BY ALL
+), c2 AS (
+  SELECT lang, w[i] AS w1, w[i + 1] AS w2, count(*) AS f FROM ws, unnest(range(1, len(w))) AS u(i) GROUP BY ALL
+), c3 AS (
+  SELECT lang, w[i] AS w1, w[i + 1] AS w2, w[i + 2] AS w3, count(*) AS f FROM ws, unnest(range(1, len(w) - 1)) AS u(i) GROUP BY ALL HAVING count(*) >= 10
+), longer AS (
+  SELECT lang, w1, w2, max(f) AS f FROM (SELECT lang, w1, w2, f FROM c3 UNION ALL SELECT lang, w2, w3, f FROM c3) GROUP BY ALL
+), cuts AS (
+  SELECT lang, w1 || ' ' || w2 AS phrase, c2.f AS a, 1 AS k, x.f AS l, y.f AS r
+  FROM c2 JOIN c1 x USING (lang, w1) JOIN (SELECT lang, w1 AS w2, f FROM c1) y USING (lang, w2) LEFT JOIN longer USING (lang, w1, w2)
+  WHERE c2.f >= 10 AND NOT coalesce(100 * longer.f >= 50 * c2.f, false)
+  UNION ALL
+  SELECT lang, w1 || ' ' || w2 || ' ' || w3, c3.f, 1, x.f, y.f FROM c3 JOIN c1 x USING (lang, w1) JOIN (SELECT lang, w1 AS w2, w2 AS w3, f FROM c2) y USING (lang, w2, w3)
+  UNION ALL
+  SELECT lang, w1 || ' ' || w2 || ' ' || w3, c3.f, 2, x.f, y.f FROM c3 JOIN c2 x USING (lang, w1, w2) JOIN (SELECT lang, w1 AS w3, f FROM c1) y USING (lang, w3)
+), scored AS (
+  SELECT *, CAST((1000000 * CAST(a AS HUGEINT) * a) // (CAST(l AS HUGEINT) * r) AS BIGINT) AS score FROM cuts
+), best AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM best
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN n USING (lang) WHERE rank <= 2000
 """,
     "op7_url_filter": """
 WITH rules(h, p, v) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
