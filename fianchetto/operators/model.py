@@ -130,6 +130,10 @@ def dataset_pipeline(split_df: DataFrame, epochs=(0,), batch_size: int = BATCH_S
                      use_white_elo: bool = True, max_len: int = 200) -> DataFrame:
     """Samples for every split with their batch assignment per epoch (train
     reshuffled per epoch, val/test in order)."""
-    samples = build_samples(split_df, use_white_elo=use_white_elo, max_len=max_len)
     batches = assign_batches(split_df.select("game_id", "split", "split_rk"), epochs, batch_size)
-    return samples.join(batches, "game_id")
+    # a game's epochs as one short list: its sample is encoded once, and the wide
+    # sequence never goes through a shuffle
+    slots = batches.groupBy("game_id").agg(F.collect_list(F.struct("split", "split_rk", "epoch", "batch_id", "batch_pos")).alias("_slots"))
+    games = split_df.drop("split", "split_rk").join(slots, "game_id")
+    samples = build_samples(games, use_white_elo=use_white_elo, max_len=max_len, keep=("_slots",))
+    return samples.select(*[c for c in samples.columns if c != "_slots"], F.inline("_slots"))
