@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from fianchetto.constants import ELO_VALID_HIGH, ELO_VALID_LOW, MIN_POSITIONS
 from fianchetto.functions.elo import parse_elo
 from fianchetto.functions.pgn import header_tags, movetext, movetext_tokens, tags_to_map
-from fianchetto.operators.ordered import running_agg
+from fianchetto.operators.ordered import materialize_df
 
 STATUSES = ["ok", "missing_header", "bad_elo", "elo_out_of_range", "too_short"]
 
@@ -79,15 +79,28 @@ def max_games(games: DataFrame, n: int | None, file: str = "file", order: str =
               chunk_records: int = 65536) -> DataFrame:
     """First ``n`` games in archive order (file, then position); 0/None = all.
 
-    A game's rank is the number of games in the files before its own (one row a
-    file) plus a two-phase running count in its file, so no task holds ``n`` rows.
-    Apply it before costly steps."""
+    The games' places, two narrow columns, are written once.  They give the file and
+    the position of the n-th game: files, then blocks of positions, are counted, and
+    only the block that holds it is sorted.  What is returned is a filter on file and
+    position, which are known before parsing: of the costly columns only those of the
+    first games are ever made.  Apply it before costly steps."""
     if not n:
         return games
-    before = Window.orderBy(file).rowsBetween(Window.unboundedPreceding, -1)
-    files = games.groupBy(file).agg(F.count(F.lit(1)).alias("_n")).select(
-        file, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    first = files.where(F.col("_before") < n)  # later files hold none of the first n
-    counted = running_agg(games.join(first, file), [file], [order], F.floor(F.col(order) / chunk_records),
-                          {"_rank": F.lit(1)}, inclusive=False)
-    return counted.where(F.col("_before") + F.col("_rank") < n).drop("_before", "_rank")
+    places = materialize_df(games.select(F.col(file).alias("f"), F.col(order).alias("o")))
+    cut_file, missing = _nth_group(places.select("f"), n)
+    if cut_file is None:  # there are fewer
+        return games
+    inside = places.where(F.col("f") == cut_file).select("o", F.floor(F.col("o") / chunk_records).alias("c"))
+    chunk, missing = _nth_group(inside.select("c"), missing)
+    last = inside.where(F.col("c") == chunk).orderBy("o").limit(missing).agg(F.max("o").alias("o")).first().o
+    return games.where((F.col(file) < F.lit(cut_file)) | ((F.col(file) == F.lit(cut_file)) & (F.col(order) <= F.lit(last))))
+
+
+def _nth_group(keys: DataFrame, n: int):
+    """(key, m) such that the n-th row in key order is the m-th of that key's; (None, None) if there are fewer rows.
+    The window is over one row a key."""
+    key = keys.columns[0]
+    before = Window.orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    groups = keys.groupBy(key).agg(F.count(F.lit(1)).alias("k")).withColumn("before", F.coalesce(F.sum("k").over(before), F.lit(0)))
+    hit = groups.where((F.col("before") < n) & (F.col("before") + F.col("k") >= n)).first()
+    return (hit[key], n - hit.before) if hit else (None, None)

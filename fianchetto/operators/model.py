@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fianchetto.constants import BATCH_SIZE
+from fianchetto.constants import BATCH_SIZE, BOARD_CHANNELS, MAX_SEQUENCE_LENGTH
 from fianchetto.functions.fen import fen_features
 from fianchetto.operators.positions import build_samples
 from fianchetto.operators.split import assign_batches
@@ -85,6 +85,65 @@ def score_batch(df: DataFrame, make_predict_fn: Callable, input_cols: Sequence[s
     return df.withColumn(out, udf(*[F.col(c) for c in input_cols]))
 
 
+SQUARES = 64
+
+
+def score_sequences(samples: DataFrame, make_model: Callable, max_len: int = MAX_SEQUENCE_LENGTH,
+                    batch_size: int = BATCH_SIZE, out: str = "pred", weights: str = "weights") -> DataFrame:
+    """Batch inference of a sequence model: adds ``out`` DOUBLE and ``weights`` ARRAY<FLOAT> (one per slot, the input of
+    ``top_positions``) to samples with ``seq`` (``max_len`` slots of one-hot indices) and ``length``.
+
+    ``make_model()`` is called once per Python worker and returns ``model(boards, lengths) -> (pred, weights)``, where
+    ``boards`` is float32 [batch, slots, 13, 8, 8], ``lengths`` is [batch], ``pred`` is [batch] or [batch, 1] and ``weights``
+    [batch, slots].  Sequences travel as sparse indices; only a batch at a time is made dense, as many slots of it as
+    its longest sequence has.  Predictions are clipped to [0, 1]; slots that a model was not shown weigh 0."""
+    from pyspark.ml.functions import predict_batch_udf
+
+    padded = F.flatten(F.transform("seq", lambda s: F.concat(s, F.array_repeat(F.lit(-1), F.lit(SQUARES) - F.size(s)))))
+    kind = T.StructType([T.StructField("pred", T.DoubleType()), T.StructField("weights", T.ArrayType(T.FloatType()))])
+    udf = predict_batch_udf(_sequence_predictor(make_model, max_len), return_type=kind, batch_size=batch_size,
+                            input_tensor_shapes={0: [max_len, SQUARES]})
+    scored = samples.withColumn("_scored", udf(padded, F.col("length")))
+    return scored.withColumns({out: F.col("_scored.pred"), weights: F.col("_scored.weights")}).drop("_scored")
+
+
+def _sequence_predictor(make_model: Callable, max_len: int):
+    def make():
+        import numpy as np
+
+        model = make_model()
+
+        def predict(sparse, lengths):
+            lengths = np.asarray(lengths).astype(np.int64).ravel()
+            slots = max(1, int(lengths.max(initial=0)))
+            indices = np.asarray(sparse)[:, :slots].astype(np.int64)
+            boards = np.zeros((len(indices), slots, BOARD_CHANNELS * SQUARES), np.float32)
+            game, slot, which = np.nonzero(indices >= 0)
+            boards[game, slot, indices[game, slot, which]] = 1
+            pred, shown = model(boards.reshape(len(indices), slots, BOARD_CHANNELS, 8, 8), lengths)
+            weights = np.zeros((len(indices), max_len), np.float32)
+            weights[:, :slots] = shown
+            return {"pred": np.clip(np.asarray(pred, np.float64).reshape(-1), 0.0, 1.0), "weights": weights}
+        return predict
+    return make
+
+
+def linear_sequence_model(table: Sequence[float], bias: float = 0.5):
+    """A model for ``score_sequences``: a position scores the sum of ``table`` (one number per channel and square) over its
+    set squares; the prediction is ``bias`` plus the mean score, a position's weight its score without sign."""
+    def make():
+        import numpy as np
+
+        values = np.asarray(table, np.float32)
+
+        def model(boards, lengths):
+            scores = boards.reshape(*boards.shape[:2], -1) @ values
+            total = scores.sum(axis=1, dtype=np.float64)
+            return bias + total / np.maximum(lengths, 1), np.abs(scores)
+        return model
+    return make
+
+
 def linear_predict_fn(intercept: float, coefs: Sequence[float]):
     """A numpy scorer ``clip(intercept + sum(c_i * x_i), 0, 1)`` for ``score_batch``."""
     def make():

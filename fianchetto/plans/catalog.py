@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from fianchetto.constants import DEFAULT_ELO_BANDS
 from fianchetto.functions.elo import denormalize_elo, normalize_elo, to_float32
-from fianchetto.operators import attention, framing, games, history, metrics, positions, split
+from fianchetto.operators import attention, framing, games, history, metrics, positions, split, training
 from fianchetto.operators import model as M
 from fianchetto.plans import bindings as B
 from fianchetto.session import scratch_path
@@ -399,6 +399,66 @@ def q_validate_model(spark, sf):
     return _round(m, "mse", "mae", "rmse", "mae_elo", "rmse_elo", "loss")
 
 
+#: Scales that bring the token features to about 0..1.
+FEATURE_SCALES = {"n_moves": 64, "captures": 16, "checks": 8, "castles": 2, "promotions": 2}
+
+
+def _training(spark, sf):
+    v = games.valid_games(_parsed(spark, sf)).select("game_id", "white_elo", "moves")
+    rows = M.token_features(v).select("game_id", normalize_elo("white_elo").alias("target"),
+                                      *[(F.col(c) / k).alias(c) for c, k in FEATURE_SCALES.items()])
+    samples = split.split_exact(rows, materialize=True)
+    return training.train_epochs(samples, list(FEATURE_SCALES), scratch_path(spark, "training"), epochs=3, rounds=2, lr=0.5)
+
+
+def q_token_features(spark, sf):
+    """M1 features of every parsed game, from its moves."""
+    return M.token_features(_parsed(spark, sf)).select("game_id", "parse_status", *M.TOKEN_FEATURES)
+
+
+def q_train_epochs(spark, sf):
+    """M1 + W1 + A11 + A12: three epochs of mini-batch training on the token features of the parsed games."""
+    return _round(_training(spark, sf).history().drop("run"), "train_loss", "train_mae", "val_loss", "val_mae")
+
+
+def q_train_batch_log(spark, sf):
+    """M1 + L5: the batches of that training as they were seen, before the update of their round."""
+    return _round(_training(spark, sf).batch_log().drop("run"), "loss", "mae")
+
+
+def q_train_best_checkpoint(spark, sf):
+    """M3 + M4 + L7: the best checkpoint's weights loaded and scored on the test split."""
+    t = _training(spark, sf)
+    epoch, weights = t.best_weights()
+    test = spark.read.parquet(t.path + "/samples").where("split = 'test'").withColumnRenamed("y", "target")
+    m = metrics.evaluate_predictions(t.predict(test, weights), elo=False)
+    return _round(m.select(F.lit(epoch).alias("epoch"), "n", "mse", "mae"), "mse", "mae")
+
+
+#: One number per channel and square for the linear sequence scorer, exact in binary.
+SEQUENCE_TABLE = [((i * 37) % 101 - 50) / 1024 for i in range(13 * 64)]
+
+
+def _scored_sequences(spark, sf):
+    sp = split.split_exact(B.games_b1(spark, sf)).where("split = 'val'").select("game_id", "split")
+    val = B.fens_b2(spark, sf).join(sp, "game_id")
+    return M.score_sequences(positions.build_samples(val), M.linear_sequence_model(SEQUENCE_TABLE))
+
+
+def q_score_sequences(spark, sf):
+    """M2 + P14: the validation split's sequences, densified batch by batch, through a sequence model: prediction,
+    and the positions' weights (their number and sum)."""
+    s = _scored_sequences(spark, sf)
+    return s.select("game_id", "length", F.round("pred", R).alias("pred"), F.round(F.col("elo").cast("double"), R).alias("target"),
+                    F.size("weights").alias("n_weights"),
+                    F.aggregate("weights", F.lit(0.0), lambda a, w: a + w.cast("double")).alias("weight_sum"))
+
+
+def q_sequence_top_positions(spark, sf):
+    """M2 + L6: the ten positions that weigh most in the sequence model's scores of the validation split."""
+    return _round(attention.top_positions(_scored_sequences(spark, sf), k=10), "score")
+
+
 def q_game_features(spark, sf):
     """M1 features per game from its FEN array (row-wise, no shuffle)."""
     f = M.game_features(B.fens_b2(spark, sf))

@@ -555,3 +555,65 @@ e AS (SELECT split, count(*) AS n, round(avg((target - pred) * (target - pred)),
 SQL["train_evaluate"] = _TRAINED + "SELECT * FROM e"
 SQL["model_roundtrip"] = _TRAINED + """SELECT CAST(1 AS INTEGER) AS epoch, (SELECT mse FROM e WHERE split = 'val') AS best_val_loss,
   n, mse, mae FROM e WHERE split = 'test'"""
+
+# a position's score in 1/1024, for the validation split's first 200 positions
+_SCORED = _with(G, P, BOARD, SPLIT) + f""", ps AS (
+  SELECT g.game_id, pf.ply, CAST(CASE WHEN pf.valid THEN coalesce(list_sum(list_transform(pf.onehot_idx, lambda i: (i * 37) % 101 - 50)), 0) ELSE 0 END AS BIGINT) AS q
+  FROM s JOIN g USING (game_id) JOIN pf USING (game_id) WHERE s.split = 'val' AND pf.ply < 200),
+sg AS (
+  SELECT game_id, CAST(count(*) AS INTEGER) AS length, sum(q) / 1024.0::DOUBLE AS total, sum(abs(q)) / 1024.0::DOUBLE AS weight_sum FROM ps GROUP BY game_id)
+""".replace("\n, ps AS", ", ps AS")
+SQL["score_sequences"] = _SCORED + f"""SELECT sg.game_id, length, round(least(greatest(0.5::DOUBLE + total / length, 0.0::DOUBLE), 1.0::DOUBLE), {R}) AS pred,
+  round(CAST(CAST({NORM.format(e='g.white_elo')} AS FLOAT) AS DOUBLE), {R}) AS target, CAST(200 AS INTEGER) AS n_weights, weight_sum
+FROM sg JOIN g USING (game_id)"""
+SQL["sequence_top_positions"] = _SCORED + f"""SELECT ply AS position, round(sum(abs(q)) / 1024.0::DOUBLE / (SELECT count(*) FROM sg), {R}) AS score
+FROM ps GROUP BY ply ORDER BY sum(abs(q)) DESC, ply LIMIT 10"""
+
+
+def _training_ctes(epochs: int, rounds: int, lr: float) -> str:
+    """Rounds of gradient steps, unrolled: weights w0 (bias) to w5 after each, the batches before it, metrics after an epoch."""
+    xs = [f"x{j}" for j in range(1, 6)]
+    out = [LINES, FRAME_CLEAN, PARSED, f"""g AS (
+  SELECT game_id, {NORM.format(e='white_elo')} AS y, len(moves) / 64.0::DOUBLE AS x1,
+    len(list_filter(moves, lambda t: contains(t, 'x'))) / 16.0::DOUBLE AS x2,
+    (len(list_filter(moves, lambda t: contains(t, '+'))) + len(list_filter(moves, lambda t: contains(t, '#')))) / 8.0::DOUBLE AS x3,
+    len(list_filter(moves, lambda t: contains(t, 'O-O'))) / 2.0::DOUBLE AS x4,
+    len(list_filter(moves, lambda t: contains(t, '='))) / 2.0::DOUBLE AS x5
+  FROM parsed WHERE parse_status = 'ok')""", SPLIT, "t AS MATERIALIZED (SELECT * FROM s JOIN g USING (game_id))",
+           "w_0 AS MATERIALIZED (SELECT " + ", ".join(f"0.0::DOUBLE AS w{j}" for j in range(6)) + ")"]
+    value = "w0 + " + " + ".join(f"w{j} * x{j}" for j in range(1, 6))
+    step = 0
+    for e in range(epochs):
+        out.append(f"""b_{e} AS MATERIALIZED (
+  SELECT *, (row_number() OVER (ORDER BY md5('42:{e}:' || CAST(game_id AS VARCHAR)), game_id) - 1) // 32 AS batch_id FROM t WHERE split = 'train')""")
+        for r in range(rounds):
+            out.append(f"""e_{step} AS MATERIALIZED (
+  SELECT batch_id, {', '.join(xs)}, {value} - y AS err FROM b_{e}, w_{step} WHERE batch_id % {rounds} = {r})""")
+            grads = ["sum(err)"] + [f"sum(err * {x})" for x in xs]
+            out.append(f"""w_{step + 1} AS MATERIALIZED (SELECT """ + ", ".join(
+                f"any_value(w{j}) - {lr!r}::DOUBLE * (2.0::DOUBLE * {g} / count(*)) AS w{j}" for j, g in enumerate(grads)) + f" FROM e_{step}, w_{step})")
+            step += 1
+        errs = " UNION ALL ".join(f"SELECT CAST({r} AS INTEGER) AS round, batch_id, err FROM e_{step - rounds + r}" for r in range(rounds))
+        out.append(f"""l_{e} AS MATERIALIZED (
+  SELECT CAST({e} AS INTEGER) AS epoch, round, batch_id AS step, avg(err * err) AS loss, avg(abs(err)) AS mae, count(*) AS n FROM ({errs}) GROUP BY round, batch_id)""")
+        out.append(f"""v_{e} AS MATERIALIZED (
+  SELECT split, y, least(greatest({value}, 0.0::DOUBLE), 1.0::DOUBLE) AS pred FROM t, w_{step} WHERE split <> 'train')""")
+    out.append("hist AS MATERIALIZED (" + " UNION ALL ".join(f"""SELECT CAST({e} AS INTEGER) AS epoch,
+  (SELECT sum(loss * n) / sum(n) FROM l_{e}) AS train_loss, (SELECT sum(mae * n) / sum(n) FROM l_{e}) AS train_mae,
+  avg((y - pred) * (y - pred)) AS val_loss, avg(abs(y - pred)) AS val_mae, {lr!r}::DOUBLE AS lr FROM v_{e} WHERE split = 'val'""" for e in range(epochs)) + ")")
+    out.append("im AS (SELECT *, val_loss < coalesce(min(val_loss) OVER (ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 'Infinity'::DOUBLE) AS improved FROM hist)")
+    return _with(*out)
+
+
+SQL["train_epochs"] = _training_ctes(3, 2, 0.5) + f"""SELECT epoch, round(train_loss, {R}) AS train_loss, round(train_mae, {R}) AS train_mae,
+  round(val_loss, {R}) AS val_loss, round(val_mae, {R}) AS val_mae, lr, improved FROM im"""
+SQL["train_batch_log"] = _training_ctes(3, 2, 0.5) + " UNION ALL ".join(
+    f"SELECT epoch, round, step, round(loss, {R}) AS loss, round(mae, {R}) AS mae, n FROM l_{e}" for e in range(3))
+SQL["train_best_checkpoint"] = _training_ctes(3, 2, 0.5) + f"""SELECT b.epoch, count(*) AS n, round(avg((y - pred) * (y - pred)), {R}) AS mse, round(avg(abs(y - pred)), {R}) AS mae
+FROM (SELECT max(epoch) AS epoch FROM im WHERE improved) b JOIN ({' UNION ALL '.join(f"SELECT {e} AS epoch, * FROM v_{e}" for e in range(3))}) v USING (epoch)
+WHERE split = 'test' GROUP BY b.epoch"""
+SQL["token_features"] = _with(LINES, FRAME_CLEAN, PARSED) + """SELECT game_id, parse_status, CAST(len(moves) AS DOUBLE) AS n_moves,
+  CAST(len(list_filter(moves, lambda t: contains(t, 'x'))) AS DOUBLE) AS captures,
+  CAST(len(list_filter(moves, lambda t: contains(t, '+'))) + len(list_filter(moves, lambda t: contains(t, '#'))) AS DOUBLE) AS checks,
+  CAST(len(list_filter(moves, lambda t: contains(t, 'O-O'))) AS DOUBLE) AS castles,
+  CAST(len(list_filter(moves, lambda t: contains(t, '='))) AS DOUBLE) AS promotions FROM parsed"""
