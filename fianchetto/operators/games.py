@@ -16,7 +16,7 @@ from fianchetto.functions.elo import parse_elo
 from fianchetto.functions.pgn import header_tags, movetext, movetext_tokens, tags_to_map
 from fianchetto.operators.ordered import materialize_df
 
-STATUSES = ["ok", "missing_header", "bad_elo", "elo_out_of_range", "too_short"]
+STATUSES = ["ok", "bad_utf8", "missing_header", "bad_elo", "elo_out_of_range", "too_short"]
 
 
 def _nonempty(c):
@@ -55,7 +55,8 @@ def parse_games(records: DataFrame, text_col: str = "game_text",
           .withColumn("white_elo", parse_elo("white_elo_raw"))
           .withColumn("black_elo", parse_elo("black_elo_raw")))
     we, be = F.col("white_elo"), F.col("black_elo")
-    status = (F.when(~(_nonempty(F.col("white_elo_raw")) & _nonempty(F.col("black_elo_raw"))
+    # bytes that are no UTF-8 come through the text reader as they are: judged before anything read from them
+    status = (F.when(~F.is_valid_utf8(text_col), "bad_utf8").when(~(_nonempty(F.col("white_elo_raw")) & _nonempty(F.col("black_elo_raw"))
                        & _nonempty(F.col("result"))), "missing_header")
               .when(we.isNull() | be.isNull(), "bad_elo")
               .when(~(we.between(ELO_VALID_LOW, ELO_VALID_HIGH) & be.between(ELO_VALID_LOW, ELO_VALID_HIGH)),

@@ -14,7 +14,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +26,14 @@ from fianchetto.operators.split import assign_batches
 HISTORY = "run string, epoch int, train_loss double, train_mae double, val_loss double, val_mae double, lr double, improved boolean"
 
 
+LOG = "run string, step long, loss double, mae double, n long, gradient array<double>"
+
+
+def _batch_log(spark: SparkSession, path: str) -> DataFrame:
+    log = spark.read.schema(LOG + ", epoch int, round int").parquet(f"{path}/batch_log")
+    return log.select("run", "epoch", "round", "step", "loss", "mae", "n", "gradient")
+
+
 @dataclass
 class Training:
     """A finished training: its tables' folder, the last weights (bias first) and the epoch after which it stopped."""
@@ -43,7 +50,7 @@ class Training:
 
     def batch_log(self) -> DataFrame:
         """run, epoch, round, step (the batch), loss, mae, n: before the update, as training saw them."""
-        return self.spark.read.parquet(f"{self.path}/batch_log").select("run", "epoch", "round", "step", "loss", "mae", "n")
+        return _batch_log(self.spark, self.path).drop("gradient")
 
     def best_weights(self) -> tuple[int, list[float]]:
         return load_weights(self.spark, self.path)
@@ -87,7 +94,7 @@ def train_epochs(samples: DataFrame, features: Sequence[str], path: str, label:
     features = list(features)
     kept = samples.select("game_id", "split", "split_rk", *[F.col(c).cast("double").alias(c) for c in features], F.col(label).cast("double").alias("y"))
     kept.dropna(subset=[*features, "y"]).write.mode("overwrite").partitionBy("split").parquet(f"{path}/samples")
-    table = spark.read.parquet(f"{path}/samples")
+    table = spark.read.schema(kept.schema).parquet(f"{path}/samples")
     train, val = table.where("split = 'train'"), table.where("split = 'val'").select(*features, "y")
     weights, rate, rows, stopped = [0.0] * (len(features) + 1), float(lr), [], None
     for epoch in range(epochs):
@@ -95,10 +102,9 @@ def train_epochs(samples: DataFrame, features: Sequence[str], path: str, label:
         for r in range(rounds):
             gradient = _round(spark, dealt, features, weights, run, epoch, r, f"{path}/batch_log/epoch={epoch}/round={r}")
             weights = [w - rate * g for w, g in zip(weights, gradient, strict=True)]
-        log = spark.read.parquet(f"{path}/batch_log").where(F.col("epoch") == epoch)
-        seen = metrics.train_epoch_metrics(log).first()
+        seen = metrics.train_epoch_metrics(_batch_log(spark, path).where(F.col("epoch") == epoch)).first()
         judged = metrics.evaluate_predictions(val.select(F.col("y").alias("target"), clip_prediction(linear(features, weights)).alias("pred")), elo=False).first()
-        rows.append((run, epoch, seen.loss, seen.mae, judged.mse, judged.mae, rate))
+        rows.append((run, epoch, seen and seen.loss, seen and seen.mae, judged.mse, judged.mae, rate))
         hist = spark.createDataFrame(rows, HISTORY.rsplit(",", 1)[0])
         now = H.running_best(hist).where(F.col("epoch") == epoch).drop("best_before")
         now.select(*[c.split()[0] for c in HISTORY.split(", ")]).coalesce(1).write.mode("overwrite").parquet(f"{path}/history/e={epoch}")
@@ -123,7 +129,8 @@ def _deal(train: DataFrame, features, epoch: int, batch_size: int, rounds: int,
     batches = assign_batches(train.select("game_id", "split", "split_rk"), (epoch,), batch_size, seed=seed).select("game_id", "batch_id")
     (train.select("game_id", *features, "y").join(batches, "game_id").drop("game_id")
      .withColumn("round", (F.col("batch_id") % rounds).cast("int")).write.mode("overwrite").partitionBy("round").parquet(path))
-    return train.sparkSession.read.parquet(path)
+    kinds = ", ".join(f"{c} double" for c in [*features, "y"])
+    return train.sparkSession.read.schema(f"{kinds}, batch_id long, round int").parquet(path)
 
 
 def _round(spark, dealt: DataFrame, features, weights, run: str, epoch: int, r: int, path: str) -> list[float]:
@@ -134,11 +141,6 @@ def _round(spark, dealt: DataFrame, features, weights, run: str, epoch: int, r:
         F.avg(err * err).alias("loss"), F.avg(F.abs(err)).alias("mae"), F.count(F.lit(1)).alias("n"),
         F.array(F.sum(err), *[F.sum(err * F.col(c)) for c in features]).alias("gradient"))
     batch.select(F.lit(run).alias("run"), F.col("batch_id").alias("step"), "loss", "mae", "n", "gradient").write.mode("overwrite").parquet(path)
-    try:
-        log = spark.read.parquet(path)
-    except AnalysisException as e:  # a round without batches writes no file
-        if e.getCondition() != "UNABLE_TO_INFER_SCHEMA":
-            raise
-        return [0.0] * len(weights)
+    log = spark.read.schema(LOG).parquet(path)
     total = log.agg(F.sum("n").alias("n"), *[F.sum(F.col("gradient")[i]).alias(f"g{i}") for i in range(len(weights))]).first()
     return [2.0 * total[f"g{i}"] / total.n if total.n else 0.0 for i in range(len(weights))]

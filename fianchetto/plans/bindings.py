@@ -112,10 +112,12 @@ def scored_b3(spark: SparkSession, sf_dir: str) -> DataFrame:
                     clip_prediction(t + noise).alias("pred"))
 
 
-def pgn_lines_b4(spark: SparkSession, sf_dir: str) -> DataFrame:
+def pgn_lines_b4(spark: SparkSession, sf_dir: str, bad_bytes: bool = False, joined: bool = False) -> DataFrame:
     """pgn_lines(file, ln, line): one PGN game per order, with rejects mixed in:
     key%11 no WhiteElo, %13 WhiteElo "?", %17 WhiteElo 50, %19 no movetext,
-    %23 a single move."""
+    %23 a single move.  ``bad_bytes``: key%29 has a byte that is no UTF-8 in its White
+    tag; ``joined``: key%7 has its tags in one line, parted by U+2028 (key%2 = 0) or by
+    a vertical tab."""
     o = table(spark, sf_dir, "orders", "o_orderkey")
     k = F.col("o_orderkey")
     g = o.select(k.alias("k"), "o_custkey", "o_orderpriority",
@@ -143,6 +145,13 @@ def pgn_lines_b4(spark: SparkSession, sf_dir: str) -> DataFrame:
         white,
         tag("BlackElo", F.col("be").cast("string")),
         F.lit(""), moves, F.lit(""))
+    if bad_bytes:
+        broken = F.concat(lines[2].cast("binary"), F.lit(b"\xff")).cast("string")
+        lines = F.transform(lines, lambda x, i: F.when((i == 2) & (kk % 29 == 0), broken).otherwise(x))
+    if joined:
+        sep = F.when(kk % 2 == 0, F.lit("\u2028")).otherwise(F.lit("\x0b"))
+        tags = F.concat_ws("\n", F.slice(lines, 1, 7))
+        lines = F.when(kk % 7 == 0, F.concat(F.array(F.replace(tags, F.lit("\n"), sep)), F.slice(lines, 8, 3))).otherwise(lines)
     ex = g.select("k", F.posexplode(lines).alias("i", "line")).where(F.col("line").isNotNull())
     return ex.select((kk % N_FILES).cast("int").alias("file"),
                      (kk * LINES_PER_GAME + F.col("i")).alias("ln"), "line")

@@ -475,10 +475,10 @@ def q_dataset_pipeline(spark, sf):
 
 # --- sinks and sources, written to the shared scratch folder and read back -------
 
-def _write_archive(spark, sf, name, n_files=32, compression="none"):
+def _write_archive(spark, sf, name, n_files=32, compression="none", **kinds):
     """The derived PGN lines written as text archive files, in order."""
     src = scratch_path(spark, name)
-    B.pgn_lines_b4(spark, sf).repartition(n_files, "file").sortWithinPartitions("file", "ln") \
+    B.pgn_lines_b4(spark, sf, **kinds).repartition(n_files, "file").sortWithinPartitions("file", "ln") \
         .select(F.col("line").alias("value")).write.option("compression", compression).text(src)
     return src
 
@@ -492,6 +492,23 @@ def q_archive_scan_gzip(spark, sf):
                                        F.size("moves").alias("n_moves"))
 
 
+def q_reject_counts_utf8(spark, sf):
+    """S1 + F4: records with bytes that are no UTF-8 keep a status of their own."""
+    from fianchetto.sources import pgn
+    src = _write_archive(spark, sf, "pgn-bytes", bad_bytes=True)
+    return games.reject_counts(games.parse_games(pgn.scan_pgn_games(spark, src)))
+
+
+def q_archive_python_lines(spark, sf):
+    """S1 with Python's line ends: games whose tags share a line, parted by other separators."""
+    from fianchetto.sources import pgn
+    src = _write_archive(spark, sf, "pgn-separators", joined=True)
+    lines = pgn.with_line_order(pgn.scan_pgn_lines(spark, src, python_lines=True))
+    p = games.parse_games(framing.frame_games(lines, chunk_lines=framing.CHUNK_LINES * pgn.PARTS), id_header="Site")
+    return games.valid_games(p).select(F.col("game_id").alias("site"), "white_elo", "black_elo", "result",
+                                       F.size("moves").alias("n_moves"))
+
+
 def q_archive_split(spark, sf):
     """S1 + P1 + L2: archive files scanned, parsed and split by a natural key."""
     from fianchetto.sources import pgn
@@ -555,6 +572,24 @@ def q_read_training_log(spark, sf):
     return runs.read_log_table(spark, path).select("run", "epoch", "train_mae", "val_mae")
 
 
+def q_append_log_once(spark, sf):
+    """K6: log lines appended in overlapping and repeated calls, each once in the table."""
+    path = scratch_path(spark, "logs-once")
+    h = _log_history(spark, sf)
+    for part in (h.where("epoch < 20"), h.where("epoch >= 10"), h, h):
+        writers.append_log(part, path, val="val_metric")
+    return runs.read_log_table(spark, path).select("run", "epoch", "train_mae", "val_mae")
+
+
+def q_run_configs_once(spark, sf):
+    """K5: configurations written twice, each once in the table."""
+    path = scratch_path(spark, "configs-once")
+    cfg = _configs(spark, sf)
+    for part in (cfg.where("run % 3 = 0"), cfg, cfg):
+        writers.write_run_config(part, path)
+    return runs.read_run_configs(spark, path, multi_line=False).select(*cfg.columns)
+
+
 _REPORT_SCHEMA = ("overall_metrics struct<mse:double,mae:double,rmse:double,r2:double,"
                   "mae_elo:double,rmse_elo:double>, "
                   "segmentation map<string,struct<range:string,count:bigint,mae:double,rmse:double>>")
@@ -630,6 +665,31 @@ def q_stream_early_stop_nan(spark, sf):
     return _streamed_stops(spark, B.history_nan(spark, sf))
 
 
+def q_stream_early_stop_restart(spark, sf):
+    """W2 with keyed state: epochs in shuffled order over many triggers, in two runs of the stream."""
+    src, out, ck = (scratch_path(spark, n) for n in ("hist-r-src", "hist-r-out", "hist-r-ckpt"))
+    h = _hist(spark, sf)
+    for part in (2, 0, 3, 1):
+        h.where((F.col("epoch") * 7 + F.col("run")) % 4 == part).coalesce(2).write.mode("append").parquet(src)
+        if part in (0, 1):
+            stops = ingest.stream_early_stop(spark, src, h.schema, out, ck)
+    return stops
+
+
+def q_ingest_stats(spark, sf):
+    """Observed totals of a stream that was resumed, by parse status, and the games written."""
+    src, out, ck = (scratch_path(spark, n) for n in ("pgn-stat-src", "games-stat-out", "games-stat-ckpt"))
+    lines = B.pgn_lines_b4(spark, sf)
+    for half in (F.col("file") < 32, F.col("file") >= 32):
+        (lines.where(half).repartition(16, "file").sortWithinPartitions("file", "ln").select(F.col("line").alias("value"))
+         .write.mode("append").text(src))
+        ingest.stream_games(spark, src, out, ck, max_files_per_trigger=8)
+    stats = ingest.ingest_stats(spark, out + "-stats")
+    by_status = stats.select(F.explode("statuses").alias("parse_status", "n")).groupBy("parse_status").agg(F.sum("n").alias("n_games"))
+    return by_status.unionByName(stats.select(F.lit("written").alias("parse_status"), F.col("games").alias("n_games"))
+                                 .groupBy("parse_status").agg(F.sum("n_games").alias("n_games")))
+
+
 def _streamed_stops(spark, h):
     src, out, ck = (scratch_path(spark, n) for n in ("hist-src", "hist-out", "hist-ckpt"))
     for part in (F.col("epoch") < 10, F.col("epoch").between(10, 19), F.col("epoch") > 19):

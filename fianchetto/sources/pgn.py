@@ -42,10 +42,38 @@ def _numbered(raw: DataFrame, path: str, out: str, index: str) -> DataFrame:
             .select("file", (F.col("_before") + F.col("_id") - F.col("_first")).alias(index), out))
 
 
-def scan_pgn_lines(spark: SparkSession, path: str) -> DataFrame:
+# The characters besides "\n", "\r" and "\r\n" at which Python's str.splitlines ends a line.
+LINE_SEPARATORS = "[\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
+
+
+def scan_pgn_lines(spark: SparkSession, path: str, python_lines: bool = False) -> DataFrame:
     """lines(file STRING, ln LONG, line STRING): the file's path below ``path``, the
-    line's number in it from 0, and the line."""
-    return _numbered(spark.read.option("recursiveFileLookup", True).text(path), path, "line", "ln")
+    line's number in it from 0, and the line.
+
+    ``python_lines`` also ends lines where Python's ``splitlines`` does; then ``ln`` still
+    numbers the reader's lines and ``part LONG`` the parts of one, both in order:
+    ``with_line_order`` makes one number of them."""
+    lines = _numbered(spark.read.option("recursiveFileLookup", True).text(path), path, "line", "ln")
+    return python_lines_of(lines) if python_lines else lines
+
+
+def python_lines_of(lines: DataFrame, line: str = "line") -> DataFrame:
+    """Every line cut at ``LINE_SEPARATORS``, with ``part`` from 0; a line without any stays as it is.  After a separator
+    at its end comes an empty line (of a file's last line too, which Python leaves out).  Bytes that are no UTF-8 are
+    not cut: the record is rejected as a whole."""
+    cut = F.when(F.is_valid_utf8(line) & F.col(line).rlike(LINE_SEPARATORS), F.split(line, LINE_SEPARATORS)).otherwise(F.array(line))
+    rest = [c for c in lines.columns if c != line]
+    return lines.select(*rest, F.posexplode(cut).alias("part", line)).withColumn("part", F.col("part").cast("long"))
+
+
+#: Room for the parts of one line in the numbers of ``with_line_order``.
+PARTS = 1 << 24
+
+
+def with_line_order(lines: DataFrame) -> DataFrame:
+    """``ln`` and ``part`` as one increasing ``ln`` (``ln`` * ``PARTS`` + ``part``) for ``frame_games``, whose
+    ``chunk_lines`` is then ``PARTS`` times as large."""
+    return lines.withColumn("ln", F.col("ln") * PARTS + F.col("part")).drop("part")
 
 
 def scan_pgn_games(spark: SparkSession, path: str, stream: bool = False,

@@ -6,6 +6,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fianchetto.sinks.writers import committed
+
 # "Epoch   0 | Train MAE: 0.081552 | Val MAE: 0.081105" [+ " | Train MAE (Elo): .. | Val MAE (Elo): .."]
 LOG_LINE = (r"^Epoch\s+(\d+) \| Train MAE: ([-0-9.eE+naif]+) \| Val MAE: ([-0-9.eE+naif]+)"
             r"(?: \| Train MAE \(Elo\): ([-0-9.eE+naif]+) \| Val MAE \(Elo\): ([-0-9.eE+naif]+))?")
@@ -26,9 +28,10 @@ def read_run_configs(spark: SparkSession, path: str, multi_line: bool = True) ->
     """Run configurations, one JSON object per file (``multi_line``) or JSON lines.
 
     ``run_id``/``run_time`` are those in the file, else they come from a
-    ``config_YYYYmmdd_HHMMSS.json`` file name."""
+    ``config_YYYYmmdd_HHMMSS.json`` file name.  Of a folder that ``write_run_config``
+    filled, what its manifest lists is read."""
     df = (spark.read.option("multiLine", multi_line).option("recursiveFileLookup", True)
-          .json(path).withColumn("source_file", F.col("_metadata.file_path")))
+          .json(committed(spark, path) or path).withColumn("source_file", F.col("_metadata.file_path")))
     stamp = F.regexp_extract("source_file", r"config_(\d{8}_\d{6})\.json$", 1)
     own_id = F.col("run_id").cast("string") if "run_id" in df.columns else F.lit(None).cast("string")
     own_time = F.col("run_time").cast("timestamp") if "run_time" in df.columns else F.lit(None).cast("timestamp")
@@ -60,5 +63,5 @@ def read_training_log(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_log_table(spark: SparkSession, path: str) -> DataFrame:
-    """Read the one-table log of ``append_log``."""
-    return parse_log_lines(spark.read.parquet(path).select("run", "value"))
+    """Read the one-table log of ``append_log``: the lines that its manifest lists."""
+    return parse_log_lines(spark.read.parquet(*(committed(spark, path) or [path])).select("run", "value"))

@@ -67,3 +67,30 @@ def test_stream_games_reference_mode_matches_batch(spark):
     # per file: a; b (no moves) glued to c and lost with it; d -> 2 games
     assert s["last_batch"] == 2 and s["games"] == batch.count() == 6
     assert spark.read.parquet(out).count() == 6
+
+
+def test_keyed_early_stop_equals_batch_at_every_trigger(spark):
+    """Shuffled epochs with gaps over many triggers and a restart; the state holds early arrivals only."""
+    _, df = _hist(spark, seed=4, runs=8, epochs=25)
+    df = df.where((F.col("run") * 5 + F.col("epoch")) % 11 > 0)        # gaps that are never filled
+    src, out, ck = (tempfile.mkdtemp() for _ in range(3))
+    seen = None
+    for part in (3, 0, 4, 1, 2):
+        now = df.where((F.col("epoch") * 3 + F.col("run")) % 5 == part)
+        now.coalesce(1).write.mode("append").parquet(src)
+        seen = now if seen is None else seen.unionByName(now)
+        got = sorted(map(tuple, ingest.stream_early_stop(spark, src, df.schema, out, ck, patience=3, min_delta=0.01).collect()))
+        batch = history.early_stop(seen, 3, 0.01).where("stop_epoch IS NOT NULL").select("run", "stop_epoch", "best_loss")
+        assert repr(got) == repr(sorted(map(tuple, batch.collect())))
+
+
+def test_early_arrivals_wait_for_their_turn(spark):
+    df = _losses(spark, [0.5, 0.6, 0.7, 0.8, 0.9, 0.4])
+    src, out, ck = (tempfile.mkdtemp() for _ in range(3))
+    waiting = []
+    for part in ("epoch >= 3", "epoch = 1", "epoch = 0", "epoch = 2", "epoch = 1"):        # the last one again
+        df.where(part).coalesce(1).write.mode("append").parquet(src)
+        stops = ingest.stream_early_stop(spark, src, df.schema, out, ck, patience=4).collect()
+        last = spark.read.parquet(out).orderBy(F.desc("batch")).first()
+        waiting.append((last.waiting, last.epochs_seen))
+    assert waiting == [(3, 3), (4, 4), (3, 5), (0, 6), (0, 6)] and [tuple(r)[1:] for r in stops] == [(4, 0.5)]
