@@ -1,10 +1,11 @@
 """Phrase collocation mining: an FM-index per shard over word ids, summed across shards.
 
 Texts are cut into shards of bounded size, one language each, and kept as word ids.  Words are counted over all shards;
-a word below the least count is in no candidate and becomes a boundary.  Each shard is then indexed by the Burrows-Wheeler
-transforms of its ids and of its ids in reverse, and phrases are enumerated level by level: a phrase is an interval in both,
-a step to the right reads its next words off the reversed transform, a step to the left its former words off the other, and
-the ranks of the symbols give the longer phrases' intervals.  Counts add up over the shards.
+a word below the least count is in no candidate and becomes a boundary.  Then, for one length of phrases after the other,
+each shard is indexed by the Burrows-Wheeler transforms of its ids and of its ids in reverse, and phrases are enumerated
+level by level: a phrase is an interval in both, a step to the right reads its next words off the reversed transform, a
+step to the left its former words off the other, and the ranks of the symbols give the longer phrases' intervals.  Counts
+add up over the shards.
 
 Rotations are sorted by as many symbols as the longest phrase has: intervals of phrases up to that length, and the ranks
 that lead to them, are those of the full index.
@@ -101,14 +102,15 @@ class Side:
 
     def __init__(self, text: np.ndarray, depth: int, symbols: int):
         n = len(text)
-        keys = [np.roll(text, -i) for i in range(depth)]
         if symbols**depth < 1 << 62:
-            key = keys[0].astype(np.int64)
-            for k in keys[1:]:
-                key = key * symbols + k
+            key = np.zeros(n, np.int64)
+            for i in range(depth):
+                key *= symbols
+                key += np.roll(text, -i)
             order = np.argsort(key, kind="stable")
+            del key
         else:
-            order = np.lexsort(keys[::-1])
+            order = np.lexsort([np.roll(text, -i) for i in reversed(range(depth))])
         self.n, self.bwt = n, text[order - 1].astype(np.int64)
         # occurrences by (symbol, row): the place of (c, row) is C[c] + rank of c before the row
         self.occurrences = np.sort(self.bwt * n + np.arange(n))
@@ -155,6 +157,8 @@ def phrases(text: np.ndarray, depth: int):
 
 
 def _enumerate(depth: int):
+    """The phrases of ``depth`` words of each shard, with their counts."""
+
     def run(batches):
         for batch in batches:
             for blob, local, word in zip(*(batch.column(c) for c in ("ids", "local", "word")), strict=True):
@@ -163,11 +167,11 @@ def _enumerate(depth: int):
                 known = np.zeros(max(int(ids.max()), int(local.max())) + 2, np.int64)  # the last place is a boundary's, -1
                 known[local] = np.arange(1, len(local) + 1)
                 names = np.concatenate(([-1], word))
-                for found, count in phrases(known[ids], depth):
-                    columns = [names[found[:, i]] if i < found.shape[1] else np.full(len(found), -1) for i in range(depth)]
-                    for at in range(0, len(count), ROWS_PER_BATCH):
-                        yield pa.RecordBatch.from_arrays([pa.array(x[at : at + ROWS_PER_BATCH], pa.int64()) for x in (*columns, count)],
-                                                         [*(f"g{i + 1}" for i in range(depth)), "a"])
+                *_, (found, count) = phrases(known[ids], depth)
+                for at in range(0, len(count), ROWS_PER_BATCH):
+                    part = slice(at, at + ROWS_PER_BATCH)
+                    yield pa.RecordBatch.from_arrays([*(pa.array(names[found[part, i]]) for i in range(depth)), pa.array(count[part], pa.int64())],
+                                                     [*(f"g{i + 1}" for i in range(depth)), "a"])
 
     return run
 
@@ -175,11 +179,11 @@ def _enumerate(depth: int):
 # --- all shards ---------------------------------------------------------------------
 
 
-def phrase_counts(docs: DataFrame, least: int = 10, shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(words, phrases, totals) of documents by language, from the shards' indexes.
+def phrase_counts(docs: DataFrame, least: int = 10, shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(words, pairs, triples, totals) of documents by language, from the shards' indexes.
 
-    words: id, lang, word, f; phrases: g1, g2, g3 (ids of words; g3 is -1 in phrases of two) and a; both with counts of at
-    least ``least``.  totals: lang and n, all occurrences of words.
+    words: id, lang, word, f; pairs and triples: g1, g2(, g3), the ids of their words, and a; all with counts of at least
+    ``least``.  totals: lang and n, all occurrences of words.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -191,10 +195,17 @@ def phrase_counts(docs: DataFrame, least: int = 10, shard_bytes: int = SHARD_BYT
                         .select(F.monotonically_increasing_id().alias("id"), "lang", "word", "f"), "phrase-words")
     # each shard's own common words: as many as it has, whatever the number of all
     own = held.join(words, ["lang", "word"]).groupBy("shard").agg(F.collect_list(F.struct("local", "id")).alias("k"))
-    joined = shards.select("shard", "ids").join(own, "shard").select("ids", F.col("k.local").alias("local"), F.col("k.id").alias("word"))
-    found = joined.mapInArrow(_enumerate(3), "g1 long, g2 long, g3 long, a long")
-    grams = materialize(found.groupBy("g1", "g2", "g3").agg(F.sum("a").alias("a")).where(F.col("a") >= least), "phrases")
-    return words, grams, shards.groupBy("lang").agg(F.sum("n").alias("n"))
+    joined = materialize(shards.select("shard", "ids").join(own, "shard").select("ids", F.col("k.local").alias("local"), F.col("k.id").alias("word")),
+                         "phrase-ids")
+
+    def sums(depth: int) -> DataFrame:
+        # a shard's phrases are distinct already: they go straight to the sums, no table of them is kept on the way
+        keys = [f"g{i + 1}" for i in range(depth)]
+        found = joined.mapInArrow(_enumerate(depth), ", ".join(f"{k} long" for k in [*keys, "a"])).repartition(*keys)
+        return materialize(found.groupBy(*keys).agg(F.sum("a").alias("a")).where(F.col("a") >= least), f"phrases-{depth}")
+
+    # one length after the other: the disks hold the phrases of one at a time
+    return words, sums(2), sums(3), shards.groupBy("lang").agg(F.sum("n").alias("n"))
 
 
 def _score(a: Column, left: Column, right: Column) -> Column:
@@ -214,9 +225,8 @@ def mine_collocations(docs: DataFrame, least: int = 10, top: int = 2000, share:
     A null lang is ``und``, a null text empty; repeated rows count again; a language without a phrase has no rows.  Other
     columns and doc_id are not read.
     """
-    words, grams, totals = phrase_counts(docs, least, shard_bytes)
+    words, two, three, totals = phrase_counts(docs, least, shard_bytes)
     w = [words.select(F.col("id").alias(f"g{i}"), F.col("f").alias(f"f{i}"), F.col("word").cast("string").alias(f"w{i}")) for i in (1, 2, 3)]
-    two, three = grams.where("g3 = -1").drop("g3"), grams.where("g3 <> -1")
     # a phrase of two inside one of three with so much of its count goes
     over = (three.select("g1", "g2", "a").unionByName(three.select(F.col("g2").alias("g1"), F.col("g3").alias("g2"), "a"))
             .groupBy("g1", "g2").agg(F.max("a").alias("longer")))
