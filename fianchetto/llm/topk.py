@@ -12,11 +12,13 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fianchetto.llm.common import materialize
+
 #: Rows of a block of candidates and of a block of queries: the score array of a cell has at most their product.
 CANDIDATES_PER_BLOCK = 2048
 QUERIES_PER_BLOCK = 512
 #: Terms that are accumulated into the scores of all of a block's queries at once.
-HIT_SCHEMA = "query_id long, vec_id long, score long"
+HIT_SCHEMA = "query_row long, query_id long, row long, vec_id long, score long"
 
 
 def quantized(vector: Column, scale: int = 1024) -> Column:
@@ -55,20 +57,20 @@ def _select(k: int):
     def run(key, left, right):
         import pandas as pd
 
-        right = right.sort_values("vec_id", kind="stable")
-        ids, q_ids = right["vec_id"].to_numpy(), left["query_id"].to_numpy()
+        right = right.sort_values(["vec_id", "row"], kind="stable")
+        ids, rows = right["vec_id"].to_numpy(), right["row"].to_numpy()
         out = []
-        if len(ids) and len(q_ids):
+        if len(ids) and len(left):
             scores = accumulate(_dense(list(left["terms"])), _dense(list(right["terms"])))
-            for q, row in zip(q_ids, scores, strict=True):
-                keep = np.flatnonzero(ids != q)
+            for q, q_row, row in zip(left["query_id"].to_numpy(), left["query_row"].to_numpy(), scores, strict=True):
+                keep = np.flatnonzero(rows != q_row)
                 if len(keep) > k:
                     own = row[keep]
                     least = np.partition(own, len(own) - k)[len(own) - k]  # the k-th best score
                     sure, tied = keep[own > least], keep[own == least]
                     keep = np.concatenate((sure, tied[: k - len(sure)]))  # ids ascend: ties go to the smaller
-                out.append(pd.DataFrame({"query_id": q, "vec_id": ids[keep], "score": row[keep]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
+                out.append(pd.DataFrame({"query_row": q_row, "query_id": q, "row": rows[keep], "vec_id": ids[keep], "score": row[keep]}))
+        return pd.concat(out) if out else pd.DataFrame({c: [] for c in ("query_row", "query_id", "row", "vec_id", "score")}, dtype="int64")
 
     return run
 
@@ -79,22 +81,24 @@ def top_k(vectors: DataFrame, k: int = 10, query_step: int = 100, scale: int = 1
 
     Returns query_id, rank (from 1), vec_id, score; all others if there are fewer than k; ties go to the smaller vec_id.
     Rows with a null id, or with a vector that is null or has a null or non-finite component, take no part.  An empty
-    vector scores 0; a shorter one counts as zero where it ends.  The id names a row: of rows that share an id, the one
-    with the greatest vector counts.  Scores are 64-bit integers.  Other columns are not read.
+    vector scores 0; a shorter one counts as zero where it ends.  Rows that share an id are candidates each, also for one
+    another, and queries each.  Scores are 64-bit integers: components must stay below 2^53 / ``scale``, and the sums of
+    their products below 2^63.  Other columns are not read.
     """
-    spark = vectors.sparkSession
-    rows = (vectors.select(F.col(id_col).cast("long").alias("vec_id"), quantized(F.col(vector_col), scale).alias("terms"))
-            .where("vec_id IS NOT NULL AND terms IS NOT NULL").groupBy("vec_id").agg(F.max("terms").alias("terms")))
+    # each row has a number of its own, written with it
+    rows = materialize(vectors.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("vec_id"),
+                                      quantized(F.col(vector_col), scale).alias("terms"))
+                       .where("vec_id IS NOT NULL AND terms IS NOT NULL"), "vectors")
     asked = F.col("vec_id") % query_step == 0
-    n, q = (vectors.agg(F.count(id_col), F.count_if(F.col(id_col) % query_step == 0)).first()) or (0, 0)
+    n, q = rows.agg(F.count("vec_id"), F.count_if(asked)).first()
     across, down = max(1, -(-n // CANDIDATES_PER_BLOCK)), max(1, -(-q // QUERIES_PER_BLOCK))
     # every cell (block of queries, block of candidates) gets its queries and its candidates once
-    queries = (rows.where(asked).select(F.col("vec_id").alias("query_id"), "terms", F.pmod(F.xxhash64("vec_id"), F.lit(down)).alias("qb"),
-                                        F.explode(F.sequence(F.lit(0), F.lit(across - 1))).alias("cb")))
-    candidates = rows.select("vec_id", "terms", F.explode(F.sequence(F.lit(0), F.lit(down - 1))).alias("qb"),
-                             F.pmod(F.xxhash64("vec_id"), F.lit(across)).cast("int").alias("cb"))
-    queries = queries.withColumn("qb", F.col("qb").cast("int"))
+    queries = rows.where(asked).select(F.col("row").alias("query_row"), F.col("vec_id").alias("query_id"), "terms",
+                                       F.pmod(F.xxhash64("row"), F.lit(down)).cast("int").alias("qb"),
+                                       F.explode(F.sequence(F.lit(0), F.lit(across - 1))).alias("cb"))
+    candidates = rows.select("row", "vec_id", "terms", F.explode(F.sequence(F.lit(0), F.lit(down - 1))).alias("qb"),
+                             F.pmod(F.xxhash64("row"), F.lit(across)).cast("int").alias("cb"))
     hits = queries.groupBy("qb", "cb").cogroup(candidates.groupBy("qb", "cb")).applyInPandas(_select(k), HIT_SCHEMA)
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    best = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id", "row")
     return (hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
             .select("query_id", "rank", "vec_id", "score"))

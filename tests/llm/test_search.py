@@ -7,15 +7,13 @@ from fianchetto.llm import topk, url_filter
 
 
 def brute_top(rows, k, step):
-    best = {}
-    for i, v in rows:
-        if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v):
-            t = [math.floor(1024 * x) for x in v]
-            best[i] = max(best.get(i, t), t)
+    """By row: rows that share an id are candidates and queries each."""
+    held = [(i, [math.floor(1024 * x) for x in v]) for i, v in rows
+            if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
-    for q in best:
+    for n, (q, terms) in enumerate(held):
         if q % step == 0:
-            scored = sorted((-sum(a * b for a, b in zip(best[q], best[c])), c) for c in best if c != q)
+            scored = sorted((-sum(a * b for a, b in zip(terms, t)), c) for m, (c, t) in enumerate(held) if m != n)
             out += [(q, r, c, -s) for r, (s, c) in enumerate(scored[:k], 1)]
     return sorted(out)
 
