@@ -1,7 +1,8 @@
 """Exact tokenizer output at memo speed: texts are cut where the tokenizer cuts anyway, and each piece is encoded once.
 
 ``Encoder`` wraps a ``tokenizers`` vocabulary file.  The ids of a text are those of ``Tokenizer.encode`` on the whole
-text (``add_special_tokens=False``, special strings as ordinary text); the tests compare both.
+text (``add_special_tokens=False``; a special token's string in a text gives that token, as the library has it); the tests
+compare both.
 """
 
 from __future__ import annotations
@@ -12,7 +13,8 @@ from array import array
 
 import regex
 
-#: Pieces that a worker's memo holds at most; beyond, it starts anew (results do not change).
+#: Pieces of a generation of a worker's memo, which holds two: what the older one has is kept if it is met again
+#: (results do not change).
 MEMO = 500_000
 
 _ENCODERS: dict[tuple[str, str], Encoder] = {}
@@ -23,8 +25,10 @@ _BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\
 # a space before a visible character starts a new piece in both
 _CUT = re.compile(r"(?= \S)")
 _ODD = re.compile(r"[ \n](?:\s|\Z)|\x00")
+#: Signs that the patterns part from a word before them.
+_SIGNS = frozenset(".,;:!?)")
 # only for text in these the patterns' classes are surely those of the library, and lower case is letter by letter
-_PLAIN = re.compile(r"[\n\x20-\x7eÀ-ÖØ-öø-ſ]*\Z")
+_PLAIN = re.compile(r"[\n\x20-\x7eÀ-ÖØ-öø-\u012f\u0131-ſ]*\Z")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -36,16 +40,24 @@ def _byte_letters() -> dict[int, str]:
 
 
 class _Memo(dict):
-    """Piece -> ids; a piece that is not there yet is encoded. ``before`` turns a key into the piece."""
+    """Piece -> ids; a piece that is not there yet is encoded."""
 
-    def __init__(self, encode, before):
+    def __init__(self, encode):
         super().__init__()
-        self.encode, self.before = encode, before
+        self.encode, self.older = encode, {}
 
     def __missing__(self, key: str) -> bytes:
-        ids = self[key] = self.encode(self.before(key))
+        ids = self.older.pop(key, None)
+        if ids is None:
+            ids = self.encode(key)
+        self[key] = ids
         return ids
 
+    def turn(self) -> None:
+        """Begin a new generation."""
+        self.older = dict(self)
+        self.clear()
+
 
 class Encoder:
     """One vocabulary in one worker process. ``kind`` is "word" (white space dropped, lower case) or "byte"."""
@@ -55,21 +67,35 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.special = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.merge = self.tokenizer.model.tokenize
         self.kind = kind
         self.pattern = regex.compile(_WORD_PATTERN if kind == "word" else _BYTE_PATTERN)
         self.letters = _byte_letters()
-        self.exact = _Memo(self._piece, lambda key: key)
+        self.exact = _Memo(self._piece)
         # in texts cut at every blank, a key stands for a blank and itself; after "\0", for a new line and itself
-        self.cut = _Memo(self._piece, lambda key: "\n" + key[1:] if key[:1] == "\0" else " " + key)
+        self.cut = _Memo(self._after_blank)
 
     def _piece(self, piece: str) -> bytes:
+        # most pieces are a word, or a word and a sign: the patterns part the two, and a word is encoded once for all its signs
         if not _PLAIN.match(piece):
-            ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
-        else:
-            parts = self.pattern.findall(piece.lower() if self.kind == "word" else piece)
-            ids = [t.id for p in parts for t in self.merge(p.encode().decode("latin-1").translate(self.letters))]
+            return array("I", self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
+        if piece.isalpha():
+            return self._merged((piece.lower() if self.kind == "word" else piece,))
+        if piece[-1:] in _SIGNS and piece[:-1].isalpha():
+            return self.exact[piece[:-1]] + self.exact[piece[-1]]
+        return self._merged(self.pattern.findall(piece.lower() if self.kind == "word" else piece))
+
+    def _after_blank(self, key: str) -> bytes:
+        if key[:1] == "\0":
+            return self.exact["\n"] + self.exact[key[1:]]  # a line's end before a visible sign is a piece of its own
+        if key[-1:] in _SIGNS and key[:-1].isalpha() and _PLAIN.match(key):
+            return self.cut[key[:-1]] + self.exact[key[-1]]
+        return self._piece(" " + key)
+
+    def _merged(self, parts) -> bytes:
+        """The model's ids of parts that the pattern would not cut any further."""
+        ids = [t.id for p in parts for t in self.merge(p if p.isascii() and p.isalnum() else p.encode().decode("latin-1").translate(self.letters))]
         return array("I", ids).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -77,10 +103,13 @@ class Encoder:
         out = []
         for text in texts:
             if len(self.cut) + len(self.exact) > MEMO:
-                self.cut.clear()
-                self.exact.clear()
-            if self.kind == "word":
-                out.append(b"".join(map(self.exact.__getitem__, text.replace("\n", " ").split(" "))))
+                self.cut.turn()
+                self.exact.turn()
+            low = text.lower()
+            if any(s in low for s in self.special):
+                out.append(array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes())
+            elif self.kind == "word":
+                out.append(b"".join(map(self.exact.__getitem__, low.replace("\n", " ").split(" ") if text.isascii() else text.replace("\n", " ").split(" "))))
             elif _ODD.search(text):
                 out.append(b"".join(map(self.exact.__getitem__, _CUT.split(text))))
             else:

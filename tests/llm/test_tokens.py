@@ -16,20 +16,32 @@ ALPHABET = " \n\t  \x1c\x85\xa0 ab'sZéß12.,<|>_-́Åİ日本ſ’٣²\0"
 
 
 def tokenizer(name):
-    t = Tokenizer.from_file(public_tokenizers.path(name))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(public_tokenizers.path(name))  # as it comes: strings of special tokens give their ids
 
 
 @pytest.mark.parametrize(("name", "kind"), [("word_bpe_49k.json", "word"), ("byte_bpe_50k.json", "byte")])
 def test_encoder_equals_library(name, kind):
     rng = random.Random(0)
     texts = ["".join(rng.choice(ALPHABET) for _ in range(rng.randint(0, 30))) for _ in range(3000)] + [t or "" for _, t, *_ in ODD]
+    special = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endoftext|", "<|endoftext|> ", " <|endoftext|>"]
+    words = ["word", "Word.", "don't", "(well),", "a,b", "x!", "ÉTÉ;", "naïve?", "ſ.", "İ.", "日本.", "12.", "3,", "-", "…", ""]
+    texts += [rng.choice([" ", "", "\n"]).join(rng.choices(special + words, k=rng.randint(1, 9))) for _ in range(2000)]
+    texts += [rng.choice([" ", "\n", " \n"]).join(rng.choices(words, k=rng.randint(1, 30))) for _ in range(3000)]
     t = tokenizer(name)
     for text, got in zip(texts, Encoder(public_tokenizers.path(name), kind).encode(texts), strict=True):
         assert np.frombuffer(got, "<u4").tolist() == t.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_a_full_memo_changes_no_ids(monkeypatch):
+    from fianchetto.llm import encoding
+
+    texts = [f"word{i % 50} a{i} same, Same. b\nc{i % 7}; it's" for i in range(300)]
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    want = Encoder(path, "byte").encode(texts)
+    monkeypatch.setattr(encoding, "MEMO", 20)
+    assert Encoder(path, "byte").encode(texts) == want
+
+
 @pytest.mark.parametrize("planes", ["bit", "byte"])
 @pytest.mark.parametrize("n", [0, 1, 7, 8, 1000])
 def test_planes_round_trip(planes, n):
