@@ -1,11 +1,12 @@
 """Benchmark decontamination by greedy string tiling.
 
-Documents and test items meet by the seeds they share: hashes of runs of ``least`` words.  For each pair that does, the
-longest common run of words that is not yet covered becomes a tile, again and again, until none of at least ``least``
-words is left.  The share of the item's words under tiles is its coverage, whatever the order of the passages.
+Documents and test items meet by an equi-join of the seeds they share: hashes of runs of ``least`` words.  A document's
+seeds first pass a sieve of fixed size, a bit for every seed that some item has, so most never leave their task.  For each
+pair that the join finds, the longest common run of words that is not yet covered becomes a tile, again and again, until
+none of at least ``least`` words is left.  The share of the item's words under tiles is its coverage, whatever the order of
+the passages.
 
-The items are a stated query set: they go to the tasks in blocks of bounded size, and each block sees all documents once,
-where they lie.
+Texts are told apart by their md5: a document that occurs many times is searched once.
 """
 
 from __future__ import annotations
@@ -15,21 +16,23 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fianchetto.llm.common import runs, small_batches, steps, texts_of, word_hashes
+from fianchetto.llm.common import materialize, runs, small_batches, steps, texts_of, word_hashes
 
 LEAST_WORDS = 5
 #: Share of an item's words that must lie under tiles.
 COVERAGE = 0.5
-#: Characters of test items that go to the tasks at once (a block's expected size; an item is never cut).
-BLOCK_CHARS = 8_000_000
-#: Bits of the table that sorts out seeds which no item has.
-SIEVE_BITS = 20
-HIT_SCHEMA = "doc_id long, item_id long, item_words int, matched_words int, tiles int, coverage double"
+#: Bits of the sieve, as a power of two: 2 MB in each worker, whatever the number of items.
+SIEVE_BITS = 24
+#: Rows that the items of one document are dealt over, each with its text.
+ITEM_PARTS = 16
+#: Shared places of a document and an item up to which their runs are listed; beyond (texts of few words, again and
+#: again), runs are found item word by item word in memory that grows with the document alone. Results are the same.
+LISTED_PLACES = 1 << 20
+FOUND_SCHEMA = "key string, item long, item_words int, matched_words int, tiles int, coverage double"
 
 
 #: Characters beyond ASCII that are no letters or digits (of ASCII, ``word_hashes`` knows them).
@@ -51,28 +54,6 @@ def _seeds(h: np.ndarray, first: np.ndarray, least: int) -> np.ndarray:
     return s
 
 
-class Items:
-    """A block of test items, ready for lookup: seeds in order, with their items and places."""
-
-    def __init__(self, item_ids: list, texts: list[str], least: int):
-        self.ids, self.least = item_ids, least
-        self.words, self.first = normal_words(texts)
-        seeds = _seeds(self.words, self.first, least)
-        at = np.flatnonzero(seeds)
-        at = at[np.argsort(seeds[at], kind="stable")]
-        self.seeds, self.places = seeds[at], at
-        self.sieve = np.zeros(1 << SIEVE_BITS, bool)
-        self.sieve[self.seeds >> np.uint64(64 - SIEVE_BITS)] = True
-
-    def shared(self, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All (place in the documents, place in the items) with the same seed."""
-        at = np.flatnonzero(self.sieve[seeds >> np.uint64(64 - SIEVE_BITS)])
-        lo, hi = np.searchsorted(self.seeds, seeds[at], "left"), np.searchsorted(self.seeds, seeds[at], "right")
-        n = np.where(seeds[at] != 0, hi - lo, 0)
-        before = np.cumsum(n) - n
-        return np.repeat(at, n), self.places[np.repeat(lo - before, n) + np.arange(n.sum())]
-
-
 def tile(doc_at: np.ndarray, item_at: np.ndarray, least: int) -> tuple[int, int]:
     """(words under tiles, tiles) of one document and one item, from the places of their shared seeds.
 
@@ -109,32 +90,133 @@ def tile(doc_at: np.ndarray, item_at: np.ndarray, least: int) -> tuple[int, int]
     return words, tiles
 
 
-def matches(items: Items, texts: list[str], coverage: float) -> Iterator[tuple[int, int, int, int, int]]:
-    """(text number, item number, item's words, words under tiles, tiles) of all pairs that reach the coverage."""
-    for lo, hi in steps(texts):
-        h, first = normal_words(texts[lo:hi])
-        doc_at, item_at = items.shared(_seeds(h, first, items.least))
-        if not len(doc_at):
-            continue
-        doc, item = np.searchsorted(first, doc_at, "right") - 1, np.searchsorted(items.first, item_at, "right") - 1
-        order = np.lexsort((item, doc))
-        doc, item, doc_at, item_at = doc[order], item[order], doc_at[order], item_at[order]
-        head = np.flatnonzero(np.r_[True, (np.diff(doc) != 0) | (np.diff(item) != 0)])
-        for a, b in zip(head, np.r_[head[1:], len(doc)], strict=True):
-            total = int(items.first[item[a] + 1] - items.first[item[a]])
-            words, tiles = tile(doc_at[a:b], item_at[a:b], items.least)
-            if words >= coverage * total:
-                yield lo + int(doc[a]), int(item[a]), total, words, tiles
-
-
-def item_blocks(benchmark: DataFrame, least: int) -> Iterator[Items]:
-    """The test items, in blocks of bounded size. Null texts stay out; equal rows count once."""
-    items = benchmark.select(F.col("item_id").cast("long"), "text").where("text IS NOT NULL").distinct()
-    chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = -(-chars // BLOCK_CHARS)
-    for b in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).orderBy("item_id", "text").collect()
-        yield Items([r.item_id for r in rows], [r.text for r in rows], least)
+def tile_repeats(doc: np.ndarray, item: np.ndarray, least: int) -> tuple[int, int]:
+    """The same of two word sequences, by the definition: each round looks for the longest run that nothing covers yet."""
+    doc, item = doc.copy(), item.copy()
+    free_doc, free_item = np.ones(len(doc), bool), np.ones(len(item), bool)
+    words = tiles = 0
+    while True:
+        best, run = (0, 0, 0), np.zeros(len(doc), np.int64)
+        for x in range(len(item)):
+            run = np.where((doc == item[x]) & free_doc & free_item[x], np.r_[0, run[:-1]] + 1, 0)
+            n = int(run.max(initial=0))
+            if n > best[0] or n == best[0] > 0 and x - n + 1 < best[1]:
+                best = (n, x - n + 1, int(np.argmax(run)) - n + 1)
+        n, x, y = best
+        if n < least:
+            return words, tiles
+        free_item[x : x + n] = False
+        free_doc[y : y + n] = False
+        words, tiles = words + n, tiles + 1
+
+
+def tile_pair(doc: np.ndarray, doc_seeds: np.ndarray, item: np.ndarray, item_seeds: np.ndarray, least: int) -> tuple[int, int]:
+    """(words under tiles, tiles) of a document's and an item's words; seeds of 0 are none."""
+    order = np.argsort(item_seeds, kind="stable")
+    lo, hi = (np.searchsorted(item_seeds[order], doc_seeds, side) for side in ("left", "right"))
+    n = np.where(doc_seeds != 0, hi - lo, 0)
+    if not n.any():
+        return 0, 0
+    if n.sum() > LISTED_PLACES:
+        return tile_repeats(doc, item, least)
+    at = np.flatnonzero(n)
+    n, lo = n[at], lo[at]
+    before = np.cumsum(n) - n
+    return tile(np.repeat(at, n), order[np.repeat(lo - before, n) + np.arange(n.sum())], least)
+
+
+# --- in Spark -----------------------------------------------------------------------
+
+
+def _item_rows(least: int):
+    """Task body: (item, text) -> (item, words, seeds), the hashes of both as bytes; items too short for a seed are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column(1).to_pylist()
+            for lo, hi in steps(texts):
+                h, first = normal_words(texts[lo:hi])
+                seeds = _seeds(h, first, least)
+                cut = [slice(x, y) for x, y in zip(first[:-1], first[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array([h[c].tobytes() for c in cut], pa.binary()),
+                                                  pa.array([np.unique(seeds[c][seeds[c] != 0]).view(np.int64) for c in cut], pa.list_(pa.int64()))],
+                                                 names=["item", "words", "seeds"])
+
+    return run
+
+
+def _sieved(least: int, sieve):
+    """Task body: (doc_id, key, text) -> those with the distinct seeds that pass the sieve, if any do."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = sieve.value
+        for b in batches:
+            texts = b.column(2).to_pylist()
+            for lo, hi in steps(texts):
+                h, first = normal_words(texts[lo:hi])
+                seeds = _seeds(h, first, least)
+                place = seeds >> np.uint64(64 - SIEVE_BITS)
+                at = np.flatnonzero((seeds != 0) & ((bits[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) > 0))
+                cut = np.searchsorted(at, first)
+                rows = [i for i in range(hi - lo) if cut[i] < cut[i + 1]]
+                own = [np.unique(seeds[at[cut[i] : cut[i + 1]]]).view(np.int64) for i in rows]
+                part = b.slice(lo, hi - lo).take(pa.array(rows, pa.int64()))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(own, pa.list_(pa.int64()))], names=["doc_id", "key", "text", "seeds"])
+
+    return run
+
+
+def _tiles(least: int, coverage: float):
+    """Task body: (key, text, items, their words) -> the items that reach the coverage."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for key, text, items, words in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                h, first = normal_words([text])
+                seeds = _seeds(h, first, least)
+                for item, raw in zip(items, words, strict=True):
+                    own = np.frombuffer(raw, np.uint64)
+                    n, tiles = tile_pair(h, seeds, own, _seeds(own, np.array([0, len(own)]), least), least)
+                    if tiles and n >= coverage * len(own):
+                        rows.append((key, item, len(own), n, tiles, n / len(own)))
+            types = [pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64()]
+            columns = zip(*rows, strict=True) if rows else [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)],
+                                             names=["key", "item", "item_words", "matched_words", "tiles", "coverage"])
+
+    return run
+
+
+def _sieve(seeds: DataFrame) -> np.ndarray:
+    """The bits of all items' seeds. At most a row for 64 of them reaches the driver, 2 ** (SIEVE_BITS - 6) in all."""
+    place = F.shiftrightunsigned("seed", 64 - SIEVE_BITS)
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int"))
+    found = seeds.select((place / 64).cast("int").alias("i"), bit.alias("b")).groupBy("i").agg(F.bit_or("b").alias("b")).toArrow()
+    out = np.zeros(1 << (SIEVE_BITS - 6), np.int64)
+    out[found.column("i").to_numpy()] = found.column("b").to_numpy()
+    return out.view(np.uint64)
+
+
+def _search(docs: DataFrame, benchmark: DataFrame, coverage: float, least: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(found, hits, items): which texts (by key) hold which items, the documents that came through the sieve, the items."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    asked = materialize(benchmark.select(F.col("item_id").cast("long"), "text").where("text IS NOT NULL").distinct()
+                        .select(F.monotonically_increasing_id().alias("item"), "item_id", "text"), "items")
+    items = materialize(asked.select("item", "text").mapInArrow(_item_rows(least), "item long, words binary, seeds array<long>"), "item-words")
+    seeds = items.select("item", F.explode("seeds").alias("seed"))
+    sieve = spark.sparkContext.broadcast(_sieve(seeds))
+    keyed = texts_of(docs).select("doc_id", F.md5(F.col("text").cast("binary")).alias("key"), "text")
+    hits = materialize(keyed.mapInArrow(_sieved(least, sieve), "doc_id long, key string, text string, seeds array<long>"), "hits")
+    pairs = (hits.select("key", F.explode("seeds").alias("seed")).join(seeds, "seed").select("key", "item").distinct())
+    # the text is that of any document with the key
+    listed = (pairs.join(items.select("item", "words"), "item").withColumn("part", F.pmod(F.xxhash64("item", "key"), F.lit(ITEM_PARTS)))
+              .groupBy("key", "part").agg(F.collect_list(F.struct("item", "words")).alias("i")))
+    texts = hits.select("key", "text").join(pairs.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"])
+    found = (texts.join(listed, "key").select("key", "text", F.col("i.item").alias("items"), F.col("i.words").alias("words"))
+             .mapInArrow(_tiles(least, coverage), FOUND_SCHEMA))
+    return found, hits, asked
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, least: int = LEAST_WORDS) -> DataFrame:
@@ -143,39 +225,16 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, coverage: float =
     Returns doc_id, item_id, item_words, matched_words, tiles, coverage; documents that hold no item have no row.  Words
     are runs of letters and digits (of Unicode), lower-cased; signs do not matter.  Whole texts are searched.  Null and empty texts on
     either side hold nothing; an item of fewer than ``least`` words can't be found.  Repeated documents give repeated
-    rows, null ids stay null.  Other columns are not read.
+    rows, null ids stay null; rows of the benchmark that are equal count once.  Other columns are not read.
     """
-    spark = docs.sparkSession
-    texts = texts_of(docs)
-    out = spark.range(0).selectExpr("CAST(NULL AS BIGINT) AS doc_id", "CAST(NULL AS BIGINT) AS item_id", "0 AS item_words",
-                                    "0 AS matched_words", "0 AS tiles", "CAST(0 AS DOUBLE) AS coverage").limit(0)
-    for items in item_blocks(benchmark, least):
-
-        def search(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                ids = b.column(0).to_pylist()
-                rows = [(ids[d], items.ids[i], n, w, t, w / n) for d, i, n, w, t in matches(items, b.column(1).to_pylist(), coverage)]
-                if rows:
-                    types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)],
-                                                     names=["doc_id", "item_id", "item_words", "matched_words", "tiles", "coverage"])
-
-        out = out.unionByName(texts.mapInArrow(search, HIT_SCHEMA))
-    return out
+    found, hits, asked = _search(docs, benchmark, coverage, least)
+    return (hits.select("doc_id", "key").join(found, "key").join(asked.select("item", "item_id"), "item")
+            .select("doc_id", "item_id", "item_words", "matched_words", "tiles", "coverage"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, least: int = LEAST_WORDS) -> DataFrame:
     """``docs`` without the rows whose text holds a test item (see ``find_contamination``); all columns stay."""
-    for items in item_blocks(benchmark, least):
-
-        docs = docs.where(_is_clean(items, coverage)(F.coalesce("text", F.lit(""))))
-    return docs
-
-
-def _is_clean(items: Items, coverage: float):
-    def clean(texts: pd.Series) -> pd.Series:
-        out = np.ones(len(texts), bool)
-        out[[d for d, *_ in matches(items, list(texts), coverage)]] = False
-        return pd.Series(out)
-
-    return F.pandas_udf(clean, "boolean")
+    found, _, _ = _search(docs, benchmark, coverage, least)
+    keys = materialize(found.select(F.col("key").alias("_text_key")).distinct(), "contaminated")
+    key = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
+    return docs.join(keys, key == F.col("_text_key"), "left_anti")

@@ -73,6 +73,34 @@ def test_near_duplicates_odd(odd, empty):
     assert near_dedup.near_duplicates(empty).collect() == []
 
 
+def test_rows_that_share_an_id_are_linked_by_their_own_texts(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", 4)
+    rng = random.Random(6)
+    bases = [[f"w{rng.randrange(300)}" for _ in range(80)] for _ in range(4)]
+    texts = [t for b in bases for t in variants(rng, b, 12, 4)]
+    rows = [(7 if i % 3 == 0 else i, t) for i, t in enumerate(texts)] + [(7, texts[5]), (7, texts[5]), (None, texts[5])]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    plain = brute_components([(i, t) for i, (d, t) in enumerate(rows) if d is not None], 85, 3)
+    least = {}
+    for i, (_, root) in plain.items():
+        least[root] = min(least.get(root, 10**9), rows[i][0])
+    want = [(rows[i][0], n, least[root]) for i, (n, root) in plain.items()]
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got if r.doc_id is not None) == sorted(want)
+    assert [(r.component_id, r.kept) for r in got if r.doc_id is None] == [(None, True)]
+
+
+def test_outsiders_of_a_pivot_find_their_links(spark, monkeypatch):
+    """A chain: neighbours are linked, others are not, and a large group near its threshold."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 8)
+    rng = random.Random(9)
+    chain = [[f"c{i + k}" for k in range(100)] for i in range(0, 120, 6)]
+    base = [f"w{k}" for k in range(120)]
+    texts = [" ".join(c) for c in chain] + variants(rng, base, 90, 9)
+    docs = list(enumerate(texts))
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()}
+    assert got == {i: root for i, (_, root) in brute_components(docs, 85, 3).items()}
+
+
 def test_estimate_is_close():
     rng = np.random.default_rng(2)
     for share in (0.5, 0.85, 0.95):
@@ -139,8 +167,8 @@ def test_tiling_equals_its_definition(spark):
 def test_contaminated_documents_go(spark, odd, empty, monkeypatch):
     item = "the lazy dog near the river bank today"
     bench = spark.createDataFrame([(1, "THE LAZY, dog: near the river bank today!"), (2, "nothing of this occurs anywhere at all here"), (3, None)], "item_id long, text string")
-    for chars in (decontam.BLOCK_CHARS, 30):  # one block, several blocks
-        monkeypatch.setattr(decontam, "BLOCK_CHARS", chars)
+    for together in (decontam.ITEM_PARTS, 1):  # a document's items in many rows, in one
+        monkeypatch.setattr(decontam, "ITEM_PARTS", together)
         assert [(r.doc_id, r.item_id, r.coverage) for r in decontam.find_contamination(odd, bench).collect()] == [(3, 1, 1.0)]
         left = decontam.drop_contaminated(odd, bench)
         assert left.columns == odd.columns and left.count() == len(ODD) - 1 and left.where("doc_id = 3").count() == 0
@@ -151,6 +179,26 @@ def test_contaminated_documents_go(spark, odd, empty, monkeypatch):
     assert decontam.drop_contaminated(odd, bench.limit(0)).count() == len(ODD)
 
 
+def test_repeats_are_tiled_by_the_definition(monkeypatch):
+    rng = np.random.default_rng(3)
+    for _ in range(60):
+        doc, item = (rng.integers(1, rng.integers(2, 4), rng.integers(0, 40)).astype(np.uint64) for _ in range(2))
+        want = brute_tiles(doc.tolist(), item.tolist(), 3)
+        seeds = [decontam._seeds(x, np.array([0, len(x)]), 3) for x in (doc, item)]
+        for listed in (1 << 20, 0):
+            monkeypatch.setattr(decontam, "LISTED_PLACES", listed)
+            assert decontam.tile_pair(doc, seeds[0], item, seeds[1], 3) == want
+
+
+def test_a_long_text_of_one_word_and_many_items(spark):
+    items = [(i, " ".join(f"w{i}x{k}" for k in range(12))) for i in range(3000)] + [(9000, "echo " * 400), (9001, "echo " * 40 + "end of it")]
+    docs = [(1, "echo " * 100_000), (2, "echo " * 30 + "so"), (3, " ".join(t for _, t in items[:200])), (4, items[7][1].upper()), (5, "w1x1 w1x2")]
+    got = decontam.find_contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    by = {d: sorted(r.item_id for r in got if r.doc_id == d) for d in range(1, 6)}
+    assert by == {1: [9000, 9001], 2: [9001], 3: list(range(200)), 4: [7], 5: []}
+    assert [(r.matched_words, r.tiles) for r in got if (r.doc_id, r.item_id) == (1, 9000)] == [(400, 1)]
+
+
 def test_words_part_at_every_sign(spark):
     bench = spark.createDataFrame([(1, "the river's bank, a lazy dog and a fox"), (2, "größe über alle häuser hinaus")], "item_id long, text string")
     docs = spark.createDataFrame([(1, "see: “the\u00a0river’s bank”—a\u2009lazy dog…and a\u3000fox"), (2, "„GRÖSSE“ größe–über alle häuser\u00a0hinaus!")], "doc_id long, text string")
