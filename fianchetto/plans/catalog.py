@@ -103,12 +103,12 @@ def q_odd_plies(spark, sf):
 
 
 def q_board_matrix(spark, sf):
-    p = positions.with_board(B.positions_b2(spark, sf))
+    p = positions.with_board(B.positions_b2(spark, sf), columns=("valid", "board_codes"))
     return p.select("game_id", "ply", "valid", "board_codes")
 
 
 def q_board_onehot(spark, sf):
-    p = positions.with_board(B.positions_b2(spark, sf))
+    p = positions.with_board(B.positions_b2(spark, sf), columns=("valid", "onehot_idx"))
     return p.select("game_id", "ply", F.size("onehot_idx").alias("n_set"),
                     F.when(F.col("valid"), F.concat_ws(",", F.col("onehot_idx").cast("array<string>")))
                     .alias("onehot")) \
@@ -116,7 +116,7 @@ def q_board_onehot(spark, sf):
 
 
 def q_fen_features(spark, sf):
-    p = positions.with_board(B.positions_b2(spark, sf))
+    p = positions.with_board(B.positions_b2(spark, sf), columns=("features",))
     return p.select("game_id", "ply", "features.*")
 
 
@@ -468,8 +468,8 @@ def q_game_features(spark, sf):
 
 def q_dataset_pipeline(spark, sf):
     """M5: training samples of every split with their batch per epoch."""
-    sp = split.split_exact(B.fens_b2(spark, sf))
-    d = M.dataset_pipeline(sp, epochs=(0, 1))
+    sp = split.split_exact(B.games_b1(spark, sf)).select("game_id", "split", "split_rk")  # ranked without the FENs
+    d = M.dataset_pipeline(B.fens_b2(spark, sf).join(sp, "game_id"), epochs=(0, 1))
     return d.select("game_id", "split", "epoch", "batch_id", "length", "elo", _seq_digest().alias("seq_md5"))
 
 

@@ -31,6 +31,19 @@ def test_encoder_equals_the_scalar_functions(spark):
     assert len(lists) == len(set(fens)) + 1     # each distinct FEN once, and the empty entry
 
 
+def test_boards_equal_the_scalar_functions(spark):
+    from fianchetto.functions import fen as S
+
+    fens = [*_random_fens(600), None]
+    df = spark.createDataFrame([(i, f) for i, f in enumerate(fens)], "i int, fen string").withColumn("valid", F.lit("clash"))
+    got = positions.with_board(df).select("i", "valid", "board_codes", "onehot_idx", "features").orderBy("i").collect()
+    exp = df.select("i", S.board_valid("fen").alias("valid"), S.board_codes("fen").alias("board_codes"), S.board_onehot_indices("fen").alias("onehot_idx"),
+                    S.fen_features("fen").alias("features")).orderBy("i").collect()
+    assert got == exp and sum(not r.valid for r in got) > 50
+    assert positions.with_board(df, columns=("features",)).columns == ["i", "fen", "valid", "features"]
+    assert positions.with_board(df.limit(0)).collect() == []
+
+
 def test_sequences_of_every_shape(spark):
     pool = _random_fens(40)
     rows = [(1, None), (2, []), (3, [None, pool[0], None]), (4, pool * 6), (5, [pool[1]] * 9), (1, [pool[4]])]
