@@ -18,26 +18,38 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fianchetto.constants import BATCH_SIZE, BOARD_CHANNELS, MAX_SEQUENCE_LENGTH
-from fianchetto.functions.fen import fen_features
 from fianchetto.operators.positions import build_samples
 from fianchetto.operators.split import assign_batches
 
 
+GAME_FEATURES = ("n_positions", "final_white", "final_black", "mean_pieces")
+
+
 def game_features(games: DataFrame, fens_col: str = "fens") -> DataFrame:
-    """Per-game numeric features from the game's own FEN array (row-wise):
-    number of positions, final material (white, black), mean piece count."""
-    fens = F.col(fens_col)
-    # piece counts per position, computed once as their own column
-    staged = games.withColumn("_pc", F.transform(fens, lambda f: fen_features(f).dropFields("to_move")))
-    pc = F.col("_pc")
-    n = F.size(fens)
-    last = F.element_at(pc, -1)
-    return (staged.withColumn("n_positions", n.cast("double"))
-            .withColumn("final_white", last["white_pieces"].cast("double"))
-            .withColumn("final_black", last["black_pieces"].cast("double"))
-            .withColumn("mean_pieces", F.aggregate(pc, F.lit(0.0), lambda a, x: a + x["piece_count"])
-                        / F.greatest(n, F.lit(1)))
-            .drop("_pc"))
+    """Per-game numeric features from the game's own FEN array: number of positions,
+    final material (white, black; NULL without positions), mean piece count.  Pieces are counted
+    once for each distinct FEN of an Arrow batch; a NULL FEN has none.  No shuffle."""
+    kept = games.drop(*GAME_FEATURES)
+    schema = T.StructType([*kept.schema.fields, *[T.StructField(c, T.DoubleType()) for c in GAME_FEATURES]])
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            fens = batch.column(batch.schema.get_field_index(fens_col))
+            size = np.nan_to_num(fens.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+            coded = fens.flatten().dictionary_encode()
+            boards = [f.split(" ", 1)[0] for f in coded.dictionary.to_pylist()]
+            entry = coded.indices.fill_null(len(boards)).to_numpy(zero_copy_only=False)
+            white, black = (np.array([*(sum(map(b.count, p)) for b in boards), 0], np.float64)[entry] for p in ("PNBRQK", "pnbrqk"))
+            total = np.bincount(np.repeat(np.arange(len(size)), size), white + black, len(size))
+            last, some = np.cumsum(size) - 1, size > 0
+            ends = [pa.array(np.where(some, x[np.where(some, last, 0)], 0) if len(x) else np.zeros(len(size)), mask=~some) for x in (white, black)]
+            made = [pa.array(size.astype(np.float64)), *ends, pa.array(total / np.maximum(size, 1))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], [*batch.schema.names, *GAME_FEATURES])
+
+    return kept.mapInArrow(run, schema)
 
 
 TOKEN_FEATURES = ("n_moves", "captures", "checks", "castles", "promotions")

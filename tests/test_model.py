@@ -52,3 +52,12 @@ def test_game_features(spark):
                                     "8/8/8/8/8/8/8/K6k w - - 0 1"])], "game_id long, fens array<string>")
     r = M.game_features(g).collect()[0]
     assert (r.n_positions, r.final_white, r.final_black, r.mean_pieces) == (2.0, 1.0, 1.0, 17.0)
+
+
+def test_game_features_of_every_shape(spark):
+    a, b = "rnbqkbnr/pppppppp/8/8/8/8/PPPPPPPP/RNBQKBNR w", "8/8/8/8/8/8/8/K6k b - - 0 1"
+    rows = [(1, [a, b, a, None]), (2, []), (3, None), (4, [b]), (5, [None, a])]
+    df = spark.createDataFrame(rows, "game_id long, fens array<string>").withColumn("final_white", F.lit("clash"))
+    got = [(r.n_positions, r.final_white, r.final_black, r.mean_pieces) for r in M.game_features(df).collect()]
+    assert got == [(4.0, 0.0, 0.0, 16.5), (0.0, None, None, 0.0), (0.0, None, None, 0.0), (1.0, 1.0, 1.0, 2.0), (2.0, 16.0, 16.0, 16.0)]
+    assert M.game_features(df.limit(0)).collect() == []
