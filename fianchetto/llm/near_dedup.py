@@ -6,10 +6,9 @@ the share of equal registers, less the equal ones to be expected by collision, e
 the threshold is confirmed on the full sets.
 
 Equal sets are one class from the start, and only a class's first document goes on.  A band's bucket is not turned into
-all its pairs: its members are compared with its first one (the pivot).  Some bands go first; what they link is one
-component, and of the other bands only pairs of different components are compared, so a large group of copies makes its
-pairs once.  A link that comparing with pivots leaves out has an end outside the pivot's component: these outsiders are
-compared with the pivot's other members, block against block inside tasks, and only what connects components leaves it.
+all its pairs: its members are compared with its first one (the pivot).  Members that are linked to the pivot are in one
+component already; a link that this leaves out has an end that is not linked to the pivot.  So the members of such
+pivots are compared once more, block against block inside tasks, and only what connects a block's components leaves it.
 """
 
 from __future__ import annotations
@@ -33,8 +32,6 @@ BAND = 6
 BANDS = REGISTERS // BAND
 #: Sets below this size leave many registers empty: their bands also tell sizes apart.
 SPARSE = 256
-#: Bands that go first: every THIRD one. A link at similarity 0.85 is not found by them with probability 0.001.
-THIRD = 3
 #: Standard errors by which an estimate may miss the threshold and still be confirmed.
 MARGIN = 6.0
 #: Members of a pivot that one block holds.
@@ -116,8 +113,8 @@ def _registers(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, REGISTERS)
 
 
-def _band_rows(percent: int, which: slice):
-    """Task body: (band key, class, its component) of every band of ``which`` in use.
+def _band_rows(percent: int):
+    """Task body: (band key, document) of every band in use.
 
     Two sets can only be linked if their sizes are within ``percent`` of each other.  Sets of fewer than SPARSE shingles
     get keys for their size class and the next (one of which two such sets share), others plain keys; those near SPARSE
@@ -129,16 +126,15 @@ def _band_rows(percent: int, which: slice):
         for b in batches:
             for lo in range(0, b.num_rows, 2048):
                 part = b.slice(lo, 2048)
-                ids, n, own = (part.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 3))
-                keys, used = (x[:, which] for x in band_keys(_registers(part.column(2))))
+                ids, n = part.column(0).to_numpy(zero_copy_only=False), part.column(1).to_numpy(zero_copy_only=False)
+                keys, used = band_keys(_registers(part.column(2)))
                 level = np.floor(np.log(n) / step).astype(np.uint64)
                 kinds = [(n >= SPARSE * percent // 100, np.zeros(len(n), np.uint64))]
                 kinds += [(n * percent <= SPARSE * 100, level + np.uint64(k)) for k in (1, 2)]
                 for rows, tag in kinds:
                     on = used & rows[:, None]
                     key = mix(keys ^ mix(tag)[:, None])[on]
-                    both = [pa.array(np.broadcast_to(x[:, None], on.shape)[on]) for x in (ids, own)]
-                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *both], names=["key", "c", "comp"])
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.broadcast_to(ids[:, None], on.shape)[on])], names=["key", "doc_id"])
 
     return run
 
@@ -227,45 +223,32 @@ def block_links(ids: list[int], sets: list[np.ndarray], linked: np.ndarray, perc
 
 
 def _cells(percent: int):
-    """Task body: rows (p, i, j, m, inside, shingles) with the rows of a cell one after the other -> connecting links."""
+    """Task body: rows (p, i, j, m, linked, shingles) with the rows of a cell one after the other -> connecting links."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, {}  # a member may stand on both sides of its cell
+        key, held = None, []
 
         def close():
             links = []
-            if len(held) > 1 and not all(inside for inside, _ in held.values()):
-                links = block_links(list(held), [np.frombuffer(x, np.uint64) for _, x in held.values()], np.array([inside for inside, _ in held.values()]), percent)
+            if len(held) > 1 and not all(x[1] for x in held):
+                links = block_links([x[0] for x in held], [np.frombuffer(x[2], np.uint64) for x in held], np.array([x[1] for x in held]), percent)
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array([a for a, _ in links], pa.int64()), pa.array([b for _, b in links], pa.int64())], names=["a", "b"])
 
         for batch in batches:
-            for p, i, j, m, inside, shingles in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for p, i, j, m, linked, shingles in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (p, i, j) != key:
-                    yield close()
+                    if len(held) > 1:
+                        yield close()
+                    held.clear()
                     key = (p, i, j)
-                held[m] = (inside, shingles)
-        yield close()
+                held.append((m, linked, shingles))
+        if len(held) > 1:
+            yield close()
 
     return run
 
 
-def _with_component(firsts: DataFrame, links: DataFrame | None) -> DataFrame:
-    """The classes' sketches with the component that ``links`` put them in (their own number, without)."""
-    if links is None:
-        return firsts.withColumn("comp", F.col("c"))
-    found = components(links).select(F.col("node").alias("c"), "component")
-    return firsts.join(found, "c", "left").withColumn("comp", F.coalesce("component", "c")).drop("component")
-
-
-def _pairs(firsts: DataFrame, percent: int, which: slice) -> DataFrame:
-    """(m, p, inside): the members of the buckets of some bands, each with its bucket's pivot, and whether one component holds both."""
-    rows = firsts.select("c", "n_shingles", "registers", "comp").mapInArrow(_band_rows(percent, which), "key long, c long, comp long")
-    pivots = rows.groupBy("key").agg(F.min(F.struct("c", "comp")).alias("p"), F.count("c").alias("n")).where("n > 1").select("key", "p")
-    return (rows.join(pivots, "key").where("c <> p.c")
-            .select(F.col("c").alias("m"), F.col("p.c").alias("p"), (F.col("comp") == F.col("p.comp")).alias("inside")).distinct())
-
-
 def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 3) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document.
 
@@ -285,42 +268,40 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 3) -> DataFr
 
     # below this size, sets that differ cannot be linked
     least = next(n for n in range(1, 1000) if 100 * n >= percent * (n + 1))
-    firsts = classes.where(F.col("n_shingles") >= least).select("c", "n_shingles", "registers")
-
-    def sets_of(wanted: DataFrame) -> DataFrame:
-        """The full sets of some classes, from the texts of their first documents: equal doc_ids alone do not meet."""
-        asked = classes.select("c", "doc_id", "hash", "set_key").join(wanted.distinct(), "c", "left_semi")
-        return (texts.join(asked, ["doc_id", "hash"]).select("c", "set_key", "text").mapInArrow(_sets(size), "c long, shingles binary")
-                .dropDuplicates(["c"]))
-
-    def linked(pairs: DataFrame, name: str) -> DataFrame:
-        """Those of the pairs (m, p) that are linked: near by their sketches, then by their full sets."""
-        of_m, of_p = (firsts.select(F.col("c").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("registers").alias(f"r_{x}")) for x in ("m", "p"))
-        sketched = pairs.join(of_m, "m").join(of_p, "p").select("m", "p", "n_m", "n_p", "r_m", "r_p")
-        near = materialize(sketched.mapInArrow(_near(percent), "m long, p long, near boolean").where("near").select("m", "p"), f"near-{name}")
-        sets = materialize(sets_of(near.select(F.col("m").alias("c")).unionByName(near.select(F.col("p").alias("c")))), f"sets-{name}")
-        set_m, set_p = (sets.select(F.col("c").alias(x), F.col("shingles").alias(f"s_{x}")) for x in ("m", "p"))
-        verified = near.join(set_m, "m").join(set_p, "p").select("m", "p", "s_m", "s_p").mapInArrow(_linked(percent), "m long, p long, linked boolean")
-        return materialize(verified.where("linked").select(F.col("m").alias("a"), F.col("p").alias("b")), f"links-{name}")
-
-    links = linked(_pairs(_with_component(firsts, None), percent, slice(0, None, THIRD)), "first")
-    apart = _with_component(firsts, links)
-    for k in range(1, THIRD):
-        links = links.unionByName(linked(_pairs(apart, percent, slice(k, None, THIRD)).where("NOT inside"), f"more-{k}"))
-
-    # pivots with members outside their component: these outsiders against all members, block against block
-    members = materialize(_pairs(_with_component(firsts, links), percent, slice(None)), "members")
-    open_ = (members.groupBy("p").agg(F.count("m").alias("members"), F.count_if(~F.col("inside")).alias("outside")).where("members > 1 AND outside > 0"))
-    many = members.join(open_, "p")
-    blocks, outer = (F.ceil(F.col(c) / BLOCK).cast("int") for c in ("members", "outside"))
-    i, j = F.pmod(F.xxhash64("p", "m"), outer).cast("int"), F.pmod(F.xxhash64("m", "p"), blocks).cast("int")
-    cells = (many.where("NOT inside").select("p", i.alias("i"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("j"), "m", "inside")
-             .unionByName(many.select("p", F.explode(F.sequence(F.lit(0), outer - 1)).alias("i"), j.alias("j"), "m", "inside")))
-    sets = sets_of(many.select(F.col("m").alias("c"))).withColumnRenamed("c", "m")
-    more = (cells.join(sets, "m").select("p", "i", "j", "m", "inside", "shingles").repartition("p", "i", "j")
-            .sortWithinPartitions("p", "i", "j").mapInArrow(_cells(percent), "a long, b long"))
-
-    joined = components(links.unionByName(more))
+    firsts = classes.where(F.col("n_shingles") >= least).select(F.col("c").alias("doc_id"), "n_shingles", "registers")  # from here on, classes
+    bands = firsts.mapInArrow(_band_rows(percent), "key long, doc_id long")
+    pivots = bands.groupBy("key").agg(F.min("doc_id").alias("p"), F.count("doc_id").alias("c")).where("c > 1").select("key", "p")
+    pairs = bands.join(pivots, "key").where("doc_id <> p").select(F.col("doc_id").alias("m"), "p").distinct()
+
+    of_m = firsts.select(F.col("doc_id").alias("m"), F.col("n_shingles").alias("n_m"), F.col("registers").alias("r_m"))
+    of_p = firsts.select(F.col("doc_id").alias("p"), F.col("n_shingles").alias("n_p"), F.col("registers").alias("r_p"))
+    sketched = pairs.join(of_m, "m").join(of_p, "p").select("m", "p", "n_m", "n_p", "r_m", "r_p")
+    judged = materialize(sketched.mapInArrow(_near(percent), "m long, p long, near boolean"), "pairs")
+
+    groups = judged.groupBy("p").agg(F.count("m").alias("members")).where("members > 1")
+    many = judged.join(groups, "p")
+    near = judged.where("near")
+    wanted = near.select("m").unionByName(near.select(F.col("p").alias("m"))).unionByName(many.select("m")).distinct()
+    # the texts of the classes' first documents: equal doc_ids alone do not meet
+    asked = classes.select("c", "doc_id", "hash", "set_key").join(wanted.withColumnRenamed("m", "c"), "c", "left_semi")
+    sets = materialize(texts.join(asked, ["doc_id", "hash"]).select("c", "set_key", "text").mapInArrow(_sets(size), "c long, shingles binary")
+                       .dropDuplicates(["c"]).withColumnRenamed("c", "doc_id"), "sets")
+    set_m, set_p = (sets.select(F.col("doc_id").alias(c), F.col("shingles").alias(f"s_{c}")) for c in ("m", "p"))
+    verified = near.join(set_m, "m").join(set_p, "p").select("m", "p", "s_m", "s_p").mapInArrow(_linked(percent), "m long, p long, linked boolean")
+    linked = materialize(verified.where("linked").select("m", "p").distinct(), "linked")
+
+    # members of a pivot that is not linked to all of them: block against block
+    member = many.join(linked.withColumn("linked", F.lit(True)), ["m", "p"], "left").select("p", "m", "members", F.coalesce("linked", F.lit(False)).alias("linked"))
+    member = materialize(member, "members")
+    open_ = member.where("NOT linked").select("p").distinct()
+    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("m", "p"), blocks).cast("int")
+    spread = (member.join(open_, "p", "left_semi").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+              .select("p", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "m", "linked"))
+    cells = spread.join(set_m, "m").select("p", "i", "j", "m", "linked", F.col("s_m").alias("shingles"))
+    more = cells.repartition("p", "i", "j").sortWithinPartitions("p", "i", "j").mapInArrow(_cells(percent), "a long, b long")
+
+    joined = components(linked.select(F.col("m").alias("a"), F.col("p").alias("b")).unionByName(more))
     of_class = classes.select("c", "set_key", "doc_id").join(joined, F.col("c") == F.col("node"), "left").withColumn("component", F.coalesce("component", "c"))
     named = of_class.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     of_class = of_class.join(named, "component").select("set_key", "component_id")
