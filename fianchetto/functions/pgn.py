@@ -10,6 +10,11 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def bound(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once, however often ``body`` names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 # A tag line [Name "value"], matched line by line inside the header block; the value
 # runs to the last quote before "]" and whitespace never crosses a line end.
 TAG_LINES = r'(?m)^\[([A-Za-z0-9][A-Za-z0-9_+#=:-]*)[^\S\n]+"(.*)"\][^\S\n]*$'
@@ -37,7 +42,8 @@ def has_moves(line) -> Column:
 
 
 def without_escapes(text) -> Column:
-    return F.regexp_replace(_col(text), ESCAPE_LINES, "")
+    t = _col(text)
+    return F.when(F.contains(t, F.lit("%")), F.regexp_replace(t, ESCAPE_LINES, "")).otherwise(t)
 
 
 def header_block(text) -> Column:
@@ -46,18 +52,18 @@ def header_block(text) -> Column:
 
 def header_tags(text) -> Column:
     """ARRAY<STRUCT<k,v>> of the tag lines of the first header block, in order."""
-    hb = header_block(text)
-    return F.arrays_zip(F.regexp_extract_all(hb, F.lit(TAG_LINES), 1).alias("k"),
-                        F.regexp_extract_all(hb, F.lit(TAG_LINES), 2).alias("v"))
+    return bound(header_block(text), lambda hb: F.arrays_zip(F.regexp_extract_all(hb, F.lit(TAG_LINES), F.lit(1)).alias("k"),
+                                                             F.regexp_extract_all(hb, F.lit(TAG_LINES), F.lit(2)).alias("v")))
 
 
 def tags_to_map(tags) -> Column:
     """MAP<STRING,STRING> from tag entries; a repeated tag keeps its last value
     (independent of the session's map-key dedup policy)."""
-    t = _col(tags)
-    keys = F.reverse(F.transform(t, lambda e: e["k"]))
-    n = F.size(t)
-    return F.map_from_entries(F.filter(t, lambda e, i: F.array_position(keys, e["k"]) == n - i))
+    def last(x):
+        keys, t = x["keys"], x["tags"]
+        return F.map_from_entries(F.filter(t, lambda e, i: F.array_position(keys, e["k"]) == F.size(t) - i))
+
+    return bound(_col(tags), lambda t: bound(F.struct(F.reverse(t["k"]).alias("keys"), t.alias("tags")), last))
 
 
 def header_map(text) -> Column:
@@ -73,14 +79,18 @@ def movetext(text) -> Column:
     """Movetext of the first game in the record: after its headers and blank lines,
     without comments, up to the next blank line or header line."""
     body = F.regexp_replace(without_escapes(text), r"^\s*(?:\[[^\n]*(?:\n|$))*\s*", "")
-    return F.regexp_extract(F.regexp_replace(body, COMMENTS, " "), MOVETEXT_LINES, 1)
+    plain = bound(body, lambda b: F.when(F.contains(b, F.lit("{")) | F.contains(b, F.lit(";")), F.regexp_replace(b, COMMENTS, " ")).otherwise(b))
+    return F.regexp_extract(plain, MOVETEXT_LINES, 1)
 
 
 def movetext_tokens(mt) -> Column:
     """Mainline SAN tokens: comments, variations of any depth, NAGs, move numbers,
     annotation suffixes and the result token removed.  A closing bracket without an
     opening one is ignored; an open variation runs to the end."""
-    s = F.regexp_replace(_col(mt), NOISE, " ")
+    return bound(F.regexp_replace(_col(mt), NOISE, " "), _mainline)
+
+
+def _mainline(s: Column) -> Column:
     flat = F.split(s, r"\s+")
     # a running bracket depth over the tokens keeps those at depth 0
     marked = F.split(F.regexp_replace(s, r"([()])", " $1 "), r"\s+")
@@ -91,7 +101,10 @@ def movetext_tokens(mt) -> Column:
         main = F.when((acc["depth"] == 0) & ~t.isin("(", ")"), F.array_append(acc["main"], t)).otherwise(acc["main"])
         return F.struct(depth.alias("depth"), main.alias("main"))
 
+    def plain(t):
+        marked = F.contains(t, F.lit("?")) | F.contains(t, F.lit("!"))
+        return F.when(marked, F.regexp_replace(t, r"[?!]+$", "")).otherwise(t)
+
     mainline = F.when(F.contains(s, F.lit("(")) | F.contains(s, F.lit(")")), F.aggregate(marked, start, step)["main"]).otherwise(flat)
     toks = F.filter(mainline, lambda t: (t != "") & ~t.isin(*RESULT_TOKENS))
-    toks = F.transform(toks, lambda t: F.regexp_replace(t, r"[?!]+$", ""))
-    return F.filter(toks, lambda t: t != "")
+    return F.filter(F.transform(toks, plain), lambda t: t != "")

@@ -6,13 +6,14 @@ Two modes:
   the record closes only if one of its lines carries the ``1. `` move marker, so a
   move-less game is glued to the next one, and an unterminated last record is lost.
 
-Both are running counts over the line order of each file, computed with the
-two-phase ``running_agg`` so a single huge file does not become a single task.
+Both are running counts over the line order of each file, in two phases (chunks of
+lines, then their offsets) so a single huge file does not become a single task.
+Lines are put together inside their chunk; from there on, pieces of records travel.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fianchetto.functions.pgn import has_moves, is_blank
@@ -42,22 +43,43 @@ def frame_games(lines: DataFrame, mode: str = "clean", file_col: str = "file",
     raise ValueError(f"unknown framing mode {mode!r}")
 
 
-def _join_lines(sorted_structs, field: str):
-    return F.concat_ws("\n", F.transform(sorted_structs, lambda x: x[field]))
+def _pieces(flagged, file_col, ln_col, line_col, chunk_lines, mark, inclusive, flags, materialize):
+    """pieces(file, _count, first_ln, n_lines, text, *flags): the lines of a chunk that share a running count of ``mark``,
+    put together inside the chunk.  ``_count`` runs over the whole file; a run of lines that crosses the edge of a
+    chunk has a piece in each.  A line is sorted and shuffled once, on its way to its chunk."""
+    tmp = flagged.withColumn("_chunk", _chunk(ln_col, chunk_lines))
+    if materialize:
+        tmp = materialize_df(tmp)
+    before = Window.partitionBy(file_col).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (tmp.groupBy(file_col, "_chunk").agg(F.sum(mark).alias("_c"))
+               .select(file_col, "_chunk", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off")))
+    inside = Window.partitionBy(file_col, "_chunk").orderBy(ln_col).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    pieces = (tmp.withColumn("_own", F.coalesce(F.sum(mark).over(inside), F.lit(0)))
+              .groupBy(file_col, "_chunk", "_own")
+              .agg(F.min(ln_col).alias("first_ln"), F.count(F.lit(1)).alias("n_lines"), *[F.max(f).alias(f) for f in flags],
+                   _joined(ln_col, line_col).alias("text")))
+    return pieces.join(offsets, [file_col, "_chunk"]).withColumn("_count", F.col("_off") + F.col("_own")).drop("_chunk", "_own", "_off")
+
+
+def _joined(order: str, text: str):
+    """An aggregate: the texts in order, a line end between them; NULL if there is none."""
+    parts = F.array_sort(F.collect_list(F.when(F.col(text).isNotNull(), F.struct(F.col(order).alias("k"), F.col(text).alias("v")))))
+    return F.when(F.count(text) > 0, F.array_join(parts["v"], "\n"))
+
+
+def _whole(pieces, file_col, key):
+    """games(file, first_ln, n_lines, game_text) of the pieces that share ``key``."""
+    return (pieces.groupBy(file_col, key)
+            .agg(F.coalesce(_joined("first_ln", "text"), F.lit("")).alias("game_text"), F.min("first_ln").alias("_first"),
+                 F.sum("n_lines").cast("int").alias("n_lines"))
+            .select(file_col, F.col("_first").alias("first_ln"), "n_lines", "game_text"))
 
 
 def _frame_clean(lines, file_col, ln_col, line_col, chunk_lines, materialize=False):
     flagged = lines.select(file_col, ln_col, line_col,
                            F.col(line_col).startswith("[Event ").cast("long").alias("_start"))
-    seq = running_agg(flagged, [file_col], [ln_col], _chunk(ln_col, chunk_lines),
-                      {"_game": F.col("_start")}, inclusive=True, materialize=materialize)
-    return (seq.where(F.col("_game") > 0)
-            .groupBy(file_col, "_game")
-            .agg(F.min(ln_col).alias("first_ln"),
-                 F.count(F.lit(1)).cast("int").alias("n_lines"),
-                 F.array_sort(F.collect_list(F.struct(F.col(ln_col).alias("k"),
-                                                      F.col(line_col).alias("v")))).alias("_ls"))
-            .select(file_col, "first_ln", "n_lines", _join_lines(F.col("_ls"), "v").alias("game_text")))
+    pieces = _pieces(flagged, file_col, ln_col, line_col, chunk_lines, "_start", True, (), materialize)
+    return _whole(pieces.where(F.col("_count") > 0), file_col, "_count")
 
 
 def _frame_reference(lines, file_col, ln_col, line_col, chunk_lines, materialize=False):
@@ -65,26 +87,19 @@ def _frame_reference(lines, file_col, ln_col, line_col, chunk_lines, materialize
                            is_blank(line_col).cast("long").alias("_blank"),
                            has_moves(line_col).cast("long").alias("_mv"))
     # block = lines after the k-th blank line up to and including the (k+1)-th
-    with_blk = running_agg(flagged, [file_col], [ln_col], _chunk(ln_col, chunk_lines),
-                           {"_blk": F.col("_blank")}, inclusive=False, materialize=materialize)
+    pieces = _pieces(flagged, file_col, ln_col, line_col, chunk_lines, "_blank", False, ("_mv", "_blank"), materialize)
     if materialize:
-        # read twice below (block flags, then the line text per record)
-        with_blk = materialize_df(with_blk)
+        # read twice below (block flags, then the text per record)
+        pieces = materialize_df(pieces)
     # narrow block rows: does the block close a record (a move line and a closing blank)?
-    blocks = (with_blk.groupBy(file_col, "_blk")
-              .agg(F.min(ln_col).alias("_first"), (F.max("_mv") * F.max("_blank")).alias("_end")))
+    blocks = (pieces.groupBy(file_col, "_count")
+              .agg(F.min("first_ln").alias("_first"), (F.max("_mv") * F.max("_blank")).alias("_end")))
     # record = blocks up to and including the first closed block with a move line
     with_rec = running_agg(blocks, [file_col], ["_first"], _chunk("_first", chunk_lines),
                            {"_rec": F.col("_end")}, inclusive=False)
     # a record that never closes (the rest of a file, or a whole file without a move
     # marker) goes here, on block rows, before any text is gathered
     closed = with_rec.where("_end = 1").select(file_col, "_rec").distinct()
-    kept = with_rec.select(file_col, "_blk", "_rec").join(closed, [file_col, "_rec"], "left_semi")
-    # line text is gathered once, per record
-    tagged = with_blk.join(kept, [file_col, "_blk"])
-    recs = (tagged.groupBy(file_col, "_rec")
-            .agg(F.min(ln_col).alias("first_ln"),
-                 F.count(F.lit(1)).cast("int").alias("n_lines"),
-                 F.array_sort(F.collect_list(F.struct(F.col(ln_col).alias("k"),
-                                                      F.col(line_col).alias("v")))).alias("_ls")))
-    return (recs.select(file_col, "first_ln", "n_lines", _join_lines(F.col("_ls"), "v").alias("game_text")))
+    kept = with_rec.select(file_col, "_count", "_rec").join(closed, [file_col, "_rec"], "left_semi")
+    # the pieces' text is gathered once, per record
+    return _whole(pieces.join(kept, [file_col, "_count"]), file_col, "_rec")

@@ -13,12 +13,15 @@ from pyspark.sql import functions as F
 
 from fianchetto.constants import ELO_VALID_HIGH, ELO_VALID_LOW, MIN_POSITIONS
 from fianchetto.functions.elo import parse_elo
-from fianchetto.functions.pgn import header_tags, movetext, movetext_tokens, tags_to_map
+from fianchetto.functions.pgn import bound, header_tags, movetext, movetext_tokens, tags_to_map
 from fianchetto.operators.ordered import materialize_df
 
 STATUSES = ["ok", "bad_utf8", "missing_header", "bad_elo", "elo_out_of_range", "too_short"]
 
 
+PARSED = ("headers", "moves", "white_elo_raw", "black_elo_raw", "result", "white_elo", "black_elo")
+
+
 def _nonempty(c):
     return c.isNotNull() & (F.length(c) > 0)
 
@@ -38,22 +41,22 @@ def parse_games(records: DataFrame, text_col: str = "game_text",
         df = df.withColumn("game_id", F.md5(F.concat_ws(":", "file", "first_ln").cast("binary")))
     elif id_col != "game_id":
         df = df.withColumn("game_id", F.col(id_col))
-    # The two expensive extractions (header map, SAN tokens) are emitted by a
+    # The expensive extractions (header map, SAN tokens, ratings) are emitted by a
     # one-row generator: filters on their values stop above the Generate, so
     # each record is parsed once instead of once per consumer.
-    keep = [c for c in df.columns]
-    df = (df.withColumn("_tags", header_tags(text_col))
-          .select(*keep, F.inline(F.array(F.struct(
-              tags_to_map("_tags").alias("headers"),
-              movetext_tokens(movetext(text_col)).alias("moves"))))))
+    keep = [c for c in df.columns if c not in PARSED]
+    parsed = F.struct(tags_to_map(header_tags(text_col)).alias("headers"), movetext_tokens(movetext(text_col)).alias("moves"))
+
+    def with_ratings(x):
+        return bound(F.struct(x["headers"]["WhiteElo"].alias("w"), x["headers"]["BlackElo"].alias("b")), lambda raw: F.struct(
+            x["headers"].alias("headers"), x["moves"].alias("moves"), raw["w"].alias("white_elo_raw"), raw["b"].alias("black_elo_raw"),
+            # the PGN reader fills an absent Result with "*"
+            F.coalesce(x["headers"]["Result"], F.lit("*")).alias("result"),
+            parse_elo(raw["w"]).alias("white_elo"), parse_elo(raw["b"]).alias("black_elo")))
+
+    df = df.select(*keep, F.inline(F.transform(F.array(parsed), with_ratings)))
     if id_header is not None:
         df = df.withColumn("game_id", F.col("headers").getItem(id_header))
-    df = (df.withColumn("white_elo_raw", F.col("headers").getItem("WhiteElo"))
-          .withColumn("black_elo_raw", F.col("headers").getItem("BlackElo"))
-          # the PGN reader fills an absent Result with "*"
-          .withColumn("result", F.coalesce(F.col("headers").getItem("Result"), F.lit("*")))
-          .withColumn("white_elo", parse_elo("white_elo_raw"))
-          .withColumn("black_elo", parse_elo("black_elo_raw")))
     we, be = F.col("white_elo"), F.col("black_elo")
     # bytes that are no UTF-8 come through the text reader as they are: judged before anything read from them
     status = (F.when(~F.is_valid_utf8(text_col), "bad_utf8").when(~(_nonempty(F.col("white_elo_raw")) & _nonempty(F.col("black_elo_raw"))

@@ -92,3 +92,24 @@ def test_framing_chunking_is_exact(spark):
     a = framing.frame_games(_lines(spark, text), mode="reference", chunk_lines=2).orderBy("first_ln").collect()
     b = framing.frame_games(_lines(spark, text), mode="reference", chunk_lines=10_000).orderBy("first_ln").collect()
     assert [tuple(r) for r in a] == [tuple(r) for r in b]
+
+
+def test_a_record_is_scanned_once(spark):
+    """Each costly pattern stands once in the plan of the parse, however often its result is read."""
+    from fianchetto.functions.pgn import MOVETEXT_LINES, NOISE
+    from fianchetto.operators import games
+
+    records = spark.createDataFrame([(1, "[Event \"e\"]\n\n1. e4 e5 1-0")], "game_id long, game_text string")
+    plan = games.valid_games(games.parse_games(records, id_col="game_id"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(NOISE) == 1 and plan.count(MOVETEXT_LINES) == 1
+
+
+def test_records_across_chunks_and_null_lines(spark):
+    """Pieces of a record in several chunks are put together; a NULL line counts and has no text."""
+    from fianchetto.operators.framing import frame_games
+
+    text = ['[Event "a"]', "x", None, "y", '[Event "b"]', None, '[Event "c"]', "z", "w"]
+    lines = spark.createDataFrame([("f", i * 3, t) for i, t in enumerate(text)], "file string, ln long, line string")
+    for chunk in (1, 4, 7, 1000):
+        got = sorted(tuple(r) for r in frame_games(lines, chunk_lines=chunk).collect())
+        assert got == [("f", 0, 4, '[Event "a"]\nx\ny'), ("f", 12, 2, '[Event "b"]'), ("f", 18, 3, '[Event "c"]\nz\nw')]
