@@ -13,13 +13,14 @@ from collections.abc import Callable, Sequence
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fianchetto.constants import BATCH_SIZE, BOARD_CHANNELS, MAX_SEQUENCE_LENGTH
-from fianchetto.operators.positions import build_samples
+from fianchetto.operators.positions import build_samples, list_sizes
 from fianchetto.operators.split import assign_batches
+from fianchetto.session import small_batches
 
 
 GAME_FEATURES = ("n_positions", "final_white", "final_black", "mean_pieces")
@@ -38,7 +39,7 @@ def game_features(games: DataFrame, fens_col: str = "fens") -> DataFrame:
 
         for batch in batches:
             fens = batch.column(batch.schema.get_field_index(fens_col))
-            size = np.nan_to_num(fens.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+            size = list_sizes(fens)
             coded = fens.flatten().dictionary_encode()
             boards = [f.split(" ", 1)[0] for f in coded.dictionary.to_pylist()]
             entry = coded.indices.fill_null(len(boards)).to_numpy(zero_copy_only=False)
@@ -105,39 +106,45 @@ def score_sequences(samples: DataFrame, make_model: Callable, max_len: int = MAX
     """Batch inference of a sequence model: adds ``out`` DOUBLE and ``weights`` ARRAY<FLOAT> (one per slot, the input of
     ``top_positions``) to samples with ``seq`` (``max_len`` slots of one-hot indices) and ``length``.
 
-    ``make_model()`` is called once per Python worker and returns ``model(boards, lengths) -> (pred, weights)``, where
+    ``make_model()`` is called once per task and returns ``model(boards, lengths) -> (pred, weights)``, where
     ``boards`` is float32 [batch, slots, 13, 8, 8], ``lengths`` is [batch], ``pred`` is [batch] or [batch, 1] and ``weights``
-    [batch, slots].  Sequences travel as sparse indices; only a batch at a time is made dense, as many slots of it as
-    its longest sequence has.  Predictions are clipped to [0, 1]; slots that a model was not shown weigh 0."""
-    from pyspark.ml.functions import predict_batch_udf
-
-    padded = F.flatten(F.transform("seq", lambda s: F.concat(s, F.array_repeat(F.lit(-1), F.lit(SQUARES) - F.size(s)))))
-    kind = T.StructType([T.StructField("pred", T.DoubleType()), T.StructField("weights", T.ArrayType(T.FloatType()))])
-    udf = predict_batch_udf(_sequence_predictor(make_model, max_len), return_type=kind, batch_size=batch_size,
-                            input_tensor_shapes={0: [max_len, SQUARES]})
-    scored = samples.withColumn("_scored", udf(padded, F.col("length")))
-    return scored.withColumns({out: F.col("_scored.pred"), weights: F.col("_scored.weights")}).drop("_scored")
+    [batch, slots].  Sequences travel as they are, sparse, in Arrow batches of bounded size; only a batch at a time is made
+    dense, as many slots of it as its longest sequence has.  Predictions are clipped to [0, 1]; slots that a model was not
+    shown weigh 0."""
+    small_batches(samples.sparkSession)
+    kept = samples.drop(out, weights)
+    schema = T.StructType([*kept.schema.fields, T.StructField(out, T.DoubleType()), T.StructField(weights, T.ArrayType(T.FloatType()))])
+    return kept.mapInArrow(_sequence_scorer(make_model, max_len, batch_size, out, weights), schema)
 
 
-def _sequence_predictor(make_model: Callable, max_len: int):
-    def make():
+def _sequence_scorer(make_model: Callable, max_len: int, batch_size: int, out: str, weights: str):
+    def run(batches):
         import numpy as np
+        import pyarrow as pa
 
         model = make_model()
-
-        def predict(sparse, lengths):
-            lengths = np.asarray(lengths).astype(np.int64).ravel()
-            slots = max(1, int(lengths.max(initial=0)))
-            indices = np.asarray(sparse)[:, :slots].astype(np.int64)
-            boards = np.zeros((len(indices), slots, BOARD_CHANNELS * SQUARES), np.float32)
-            game, slot, which = np.nonzero(indices >= 0)
-            boards[game, slot, indices[game, slot, which]] = 1
-            pred, shown = model(boards.reshape(len(indices), slots, BOARD_CHANNELS, 8, 8), lengths)
-            weights = np.zeros((len(indices), max_len), np.float32)
-            weights[:, :slots] = shown
-            return {"pred": np.clip(np.asarray(pred, np.float64).reshape(-1), 0.0, 1.0), "weights": weights}
-        return predict
-    return make
+        for batch in batches:
+            for lo in range(0, batch.num_rows, batch_size):
+                games = batch.slice(lo, batch_size)
+                n = games.num_rows
+                length = games.column(games.schema.get_field_index("length")).to_numpy(zero_copy_only=False).astype(np.int64)
+                slots = max(1, int(length.max(initial=0)))
+                boards = np.zeros((n, slots, BOARD_CHANNELS * SQUARES), np.float32)
+                seq = games.column(games.schema.get_field_index("seq"))
+                per_game, lists = list_sizes(seq), seq.flatten()
+                per_slot, index = list_sizes(lists), lists.flatten().to_numpy(zero_copy_only=False)
+                game = np.repeat(np.repeat(np.arange(n), per_game), per_slot)
+                slot = np.repeat(np.arange(len(lists)) - np.repeat(np.cumsum(per_game) - per_game, per_game), per_slot)
+                shown = slot < slots
+                boards[game[shown], slot[shown], index[shown]] = 1
+                pred, seen = model(boards.reshape(n, slots, BOARD_CHANNELS, 8, 8), length)
+                weight = np.zeros((n, max_len), np.float32)
+                weight[:, :slots] = seen
+                made = [pa.array(np.clip(np.asarray(pred, np.float64).reshape(-1), 0.0, 1.0)),
+                        pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * max_len), pa.array(weight.ravel()))]
+                yield pa.RecordBatch.from_arrays([*games.columns, *made], [*games.schema.names, out, weights])
+
+    return run
 
 
 def linear_sequence_model(table: Sequence[float], bias: float = 0.5):
@@ -198,13 +205,13 @@ def load_checkpoint(spark: SparkSession, path: str, checkpoints_table: str) -> t
 
 
 def dataset_pipeline(split_df: DataFrame, epochs=(0,), batch_size: int = BATCH_SIZE,
-                     use_white_elo: bool = True, max_len: int = 200) -> DataFrame:
+                     use_white_elo: bool = True, max_len: int = 200, derived: dict[str, Column] | None = None) -> DataFrame:
     """Samples for every split with their batch assignment per epoch (train
-    reshuffled per epoch, val/test in order)."""
+    reshuffled per epoch, val/test in order).  ``derived`` columns are computed from a sample, once for all its epochs."""
     batches = assign_batches(split_df.select("game_id", "split", "split_rk"), epochs, batch_size)
     # a game's epochs as one short list: its sample is encoded once, and the wide
-    # sequence never goes through a shuffle
+    # sequence never goes through a shuffle. The narrow side is hashed, so the games with their FENs are not sorted
     slots = batches.groupBy("game_id").agg(F.collect_list(F.struct("split", "split_rk", "epoch", "batch_id", "batch_pos")).alias("_slots"))
-    games = split_df.drop("split", "split_rk").join(slots, "game_id")
-    samples = build_samples(games, use_white_elo=use_white_elo, max_len=max_len, keep=("_slots",))
+    games = split_df.drop("split", "split_rk").join(slots.hint("shuffle_hash"), "game_id")
+    samples = build_samples(games, use_white_elo=use_white_elo, max_len=max_len, keep=("_slots",)).withColumns(derived or {})
     return samples.select(*[c for c in samples.columns if c != "_slots"], F.inline("_slots"))

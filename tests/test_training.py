@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from fianchetto.operators import attention, positions, split, training
 from fianchetto.operators import model as M
+from fianchetto.plans import catalog
 from fianchetto.plans.bindings import FEN_POOL
 from fianchetto.plans.catalog import SEQUENCE_TABLE
+from tests.conftest import SMALL
 
 N = 230
 
@@ -111,3 +113,14 @@ def test_a_model_sees_dense_boards_and_lengths(spark):
     got = {r.game_id: r for r in M.score_sequences(samples, make, max_len=20, batch_size=3, out="p", weights="w").collect()}
     assert got[0].p == 0.0 and got[8].p == 1.0 and got[0].w == [0.0] * 20
     assert got[12].w[:12] == [float(len(s)) for s in got[12].seq[:12]]
+
+
+def test_games_are_scored_as_they_lie(spark):
+    """No wide row is sorted or shuffled, no sequence is padded in the plan, and Arrow batches are bounded in bytes."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = catalog._scored_sequences(spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "array_repeat" not in plan and "SortMergeJoin [game_id" not in plan
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 8 << 20
