@@ -94,3 +94,17 @@ def test_early_arrivals_wait_for_their_turn(spark):
         last = spark.read.parquet(out).orderBy(F.desc("batch")).first()
         waiting.append((last.waiting, last.epochs_seen))
     assert waiting == [(3, 3), (4, 4), (3, 5), (0, 6), (0, 6)] and [tuple(r)[1:] for r in stops] == [(4, 0.5)]
+
+
+def test_python_is_called_once_a_bucket_of_runs(spark):
+    """Many runs in few buckets, a run without a name among them; states of a bucket stay apart."""
+    _, df = _hist(spark, seed=9, runs=40, epochs=12)
+    df = df.unionByName(df.where("run = 3").withColumn("run", F.lit(None).cast(df.schema["run"].dataType)))
+    src, out, ck = (tempfile.mkdtemp() for _ in range(3))
+    for part in (F.col("epoch") % 2 == 1, F.col("epoch") % 2 == 0):
+        df.where(part).coalesce(1).write.mode("append").parquet(src)
+        stops = ingest.stream_early_stop(spark, src, df.schema, out, ck, patience=2, min_delta=0.01, buckets=3)
+    batch = history.early_stop(df, 2, 0.01).where("stop_epoch IS NOT NULL").select("run", "stop_epoch", "best_loss")
+    key = lambda r: (r[0] is None, r)
+    got, want = (sorted(map(tuple, x.collect()), key=key) for x in (stops, batch))
+    assert repr(got) == repr(want) and len(want) > 3
