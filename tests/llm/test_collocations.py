@@ -87,3 +87,25 @@ def test_scores_beyond_64_bits_are_exact(spark):
     a, left, right = 9_007_199_254_740_993, 9_007_199_254_740_995, 9_007_199_254_740_997
     got = spark.sql(f"SELECT {a}L AS a, {left}L AS l, {right}L AS r").select(collocations._score(F.col("a"), F.col("l"), F.col("r"))).first()[0]
     assert got == 10**6 * a * a // (left * right)
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    """The shuffles of one step are gone before the next one writes its own."""
+    import os
+    import time
+
+    from fianchetto.llm.common import SHUFFLE_CLEANUP, materialize
+
+    local = [d.getPath() for d in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+
+    def shuffles():
+        return {f for top in local for _, _, files in os.walk(top) for f in files if f.startswith("shuffle_") and f.endswith(".data")}
+
+    before, setting = shuffles(), spark.conf.get(SHUFFLE_CLEANUP, None)
+    table = materialize(spark.range(50_000).repartition(4, "id").groupBy((F.col("id") % 100).alias("k")).count(), "no-shuffles")
+    for _ in range(50):
+        if shuffles() <= before:
+            break
+        time.sleep(0.1)
+    assert shuffles() <= before and spark.conf.get(SHUFFLE_CLEANUP, None) == setting
+    assert table.count() == 100
