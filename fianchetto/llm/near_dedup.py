@@ -81,6 +81,14 @@ def band_keys(registers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return h, (r != EMPTY).any(axis=2)
 
 
+def band_places(registers: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """The place of every band of a sketch, from 0: by registers in use, most first, then by key."""
+    filled = (registers[:, : BANDS * BAND].reshape(-1, BANDS, BAND) != EMPTY).sum(axis=2)
+    places = np.empty(keys.shape, np.int64)
+    np.put_along_axis(places, np.lexsort((keys, -filled), axis=1), np.arange(BANDS)[None, :], axis=1)
+    return places
+
+
 def estimate(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Estimated similarity of sketches row by row, less expected collisions, and the registers that it rests on."""
     used = ((x != EMPTY) | (y != EMPTY)).sum(axis=1)
@@ -114,11 +122,16 @@ def _registers(column: pa.Array) -> np.ndarray:
 
 
 def _band_rows(percent: int):
-    """Task body: (band key, document) of every band in use.
+    """Task body: (band key, document) of the bands in use that a link needs.
 
     Two sets can only be linked if their sizes are within ``percent`` of each other.  Sets of fewer than SPARSE shingles
     get keys for their size class and the next (one of which two such sets share), others plain keys; those near SPARSE
     get both.
+
+    A shingle that only one of two sets has changes one band at most, and a set of n shingles and one linked to it differ by
+    n * (100 - percent) / percent shingles at most.  So of a set's bands in any order that both share, the first that is
+    not changed comes after that many at most: these and one more are enough for every link.  Bands with the most
+    registers in use come first, as they tell most; bands of one shingle, which a common line brings, come last.
     """
     step = np.log(100 / percent)
 
@@ -127,7 +140,9 @@ def _band_rows(percent: int):
             for lo in range(0, b.num_rows, 2048):
                 part = b.slice(lo, 2048)
                 ids, n = part.column(0).to_numpy(zero_copy_only=False), part.column(1).to_numpy(zero_copy_only=False)
-                keys, used = band_keys(_registers(part.column(2)))
+                registers = _registers(part.column(2))
+                keys, used = band_keys(registers)
+                used &= band_places(registers, keys) <= (n * (100 - percent) // percent)[:, None]
                 level = np.floor(np.log(n) / step).astype(np.uint64)
                 kinds = [(n >= SPARSE * percent // 100, np.zeros(len(n), np.uint64))]
                 kinds += [(n * percent <= SPARSE * 100, level + np.uint64(k)) for k in (1, 2)]
@@ -279,7 +294,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 3) -> DataFr
     judged = materialize(sketched.mapInArrow(_near(percent), "m long, p long, near boolean"), "pairs")
 
     groups = judged.groupBy("p").agg(F.count("m").alias("members")).where("members > 1")
-    many = judged.join(groups, "p")
+    many = materialize(judged.join(groups, "p"), "many")
     near = judged.where("near")
     wanted = near.select("m").unionByName(near.select(F.col("p").alias("m"))).unionByName(many.select("m")).distinct()
     # the texts of the classes' first documents: equal doc_ids alone do not meet

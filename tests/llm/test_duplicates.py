@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from fianchetto.llm import decontam, near_dedup
@@ -115,6 +116,42 @@ def test_estimate_is_close():
         assert used[0] == near_dedup.REGISTERS and abs(j[0] - share) < 0.12
 
 
+@pytest.mark.parametrize("percent", [80, 85])
+def test_linked_sets_share_one_of_few_bands(percent):
+    """Sets of n shingles send n * (100 - percent) / percent + 1 bands a size class, and linked ones still share a key; texts
+    that have but a common line in common hardly meet."""
+    rng = np.random.default_rng(percent)
+
+    def keys(sets):
+        batch = pa.RecordBatch.from_arrays([pa.array(range(len(sets)), pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
+                                            pa.array([r.tobytes() for r in near_dedup.sketches(sets)], pa.binary())], names=["doc_id", "n", "registers"])
+        out = [set() for _ in sets]
+        for b in near_dedup._band_rows(percent)(iter([batch])):
+            for k, i in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                out[i].add(k)
+        return out
+
+    def fresh(n):
+        return rng.integers(0, 2**64, n, np.uint64)
+
+    for n in (4, 5, 9, 20, 60, 100, 180, 204, 205, 230, 256, 300):
+        left_out = [k for k in range(n) if 100 * (n - k) >= percent * n]
+        for _ in range(20):
+            base, k = fresh(n), left_out[-1]
+            a = np.sort(base)
+            shorter = np.sort(rng.permutation(base)[k:])  # as far from it as a link allows
+            swaps = max(j for j in range(n) if 100 * (n - j) >= percent * (n + j))
+            changed = np.sort(np.r_[rng.permutation(base)[swaps:], fresh(swaps)])
+            x, y, z = keys([a, shorter, changed])
+            assert x & y and x & z
+            for s, found in ((a, x), (shorter, y), (changed, z)):
+                if len(s) < near_dedup.SPARSE * percent // 100:
+                    assert len(found) <= 2 * (len(s) * (100 - percent) // percent + 1)
+    line = fresh(8)
+    for_line = keys([np.sort(np.r_[line, fresh(60)]) for _ in range(200)])
+    assert np.mean([sum(bool(x & y) for y in for_line) - 1 for x in for_line]) < 30  # with all bands over 60 of 199
+
+
 def test_components(spark):
     links = [(1, 2), (2, 3), (10, 11), (12, 11), (13, 12), (20, 20), (None, 4), (30, 31), (31, 30), *[(100 + i, 101 + i) for i in range(60)]]
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
