@@ -30,6 +30,7 @@ def game_features(games: DataFrame, fens_col: str = "fens") -> DataFrame:
     """Per-game numeric features from the game's own FEN array: number of positions,
     final material (white, black; NULL without positions), mean piece count.  Pieces are counted
     once for each distinct FEN of an Arrow batch; a NULL FEN has none.  No shuffle."""
+    small_batches(games.sparkSession)
     kept = games.drop(*GAME_FEATURES)
     schema = T.StructType([*kept.schema.fields, *[T.StructField(c, T.DoubleType()) for c in GAME_FEATURES]])
 

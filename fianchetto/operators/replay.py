@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fianchetto.constants import MIN_POSITIONS
+from fianchetto.session import small_batches
 
 
 def _replay_batches(moves_col: str):
@@ -38,6 +39,7 @@ def _replay_batches(moves_col: str):
 def replay_games(games: DataFrame, moves_col: str = "moves") -> DataFrame:
     """Add ``fens ARRAY<STRING>`` (start position + one per legal half-move) and
     ``replay_status`` ('ok' or 'illegal_move': replay stopped at that token)."""
+    small_batches(games.sparkSession)
     schema = T.StructType(games.schema.fields + [
         T.StructField("fens", T.ArrayType(T.StringType())),
         T.StructField("replay_status", T.StringType())])

@@ -73,3 +73,23 @@ def test_a_sample_for_every_epoch(spark):
     assert d.groupBy("game_id").count().where("count = 3").count() == 50
     val = d.where("split = 'val'").collect()
     assert all(r.batch_id == r.split_rk // 32 and len(r.seq) == 3 and r.length == min(3, r.game_id % 5) for r in val)
+
+
+def test_onehot_text_and_batch_bounds(spark):
+    """The indices as text are those of the list; narrow rows are bounded in rows alone, wide ones in bytes too."""
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    fens = [*_random_fens(300), None]
+    df = spark.createDataFrame([(i, f) for i, f in enumerate(fens)], "i int, fen string")
+    got = positions.with_board(df, columns=("onehot_idx", "onehot_text"))
+    assert int(spark.conf.get(limit)) == (1 << 31) - 1
+    rows = got.collect()
+    assert [r.onehot_text for r in rows] == [None if r.onehot_idx is None else ",".join(map(str, r.onehot_idx)) for r in rows]
+    assert sum(r.onehot_text is None for r in rows) > 20 and "" in [r.onehot_text for r in rows]
+    assert positions.with_board(df, columns=("onehot_text",)).columns == ["i", "fen", "onehot_text"]
+    bare = positions.with_board(df, columns=("onehot_text",), keep_fen=False)
+    assert bare.collect() == [(r.i, r.onehot_text) for r in rows]
+    positions.with_board(df.withColumn("more", F.array("fen")))
+    assert int(spark.conf.get(limit)) <= 8 << 20
+    positions.with_board(df)
+    positions.encode_sequence(df.groupBy("i").agg(F.collect_list("fen").alias("fens")))
+    assert int(spark.conf.get(limit)) <= 8 << 20
