@@ -29,16 +29,19 @@ COMMENTS = r"\{[^}]*\}|;[^\n]*"
 ESCAPE_LINES = r"(?m)^%[^\n]*(?:\n|$)"
 # Lines up to (not including) the first blank line or the next header line.
 MOVETEXT_LINES = r"^((?:[^\[\n][^\n]*(?:\n|$))*)"
+# The white space of "\s" besides the blank.
+OTHER_SPACE = r"[\t\n\x0b\f\r]"
 RESULT_TOKENS = ["1-0", "0-1", "1/2-1/2", "*"]
 
 
 def is_blank(line) -> Column:
-    return _col(line).rlike(r"^\s*$")
+    """What ``^\\s*$`` finds, a last line separator after the blank space included, without a pattern."""
+    return F.ltrim(_col(line), F.lit(" \t\n\x0b\f\r")).isin("", "\x85", "\u2028", "\u2029")
 
 
 def has_moves(line) -> Column:
     """The framing test: stripped line starts with "1. ", or line contains " 1. "."""
-    return _col(line).rlike(r"^\s*1\. .*\S| 1\. ")
+    return F.contains(_col(line), F.lit("1. ")) & _col(line).rlike(r"^\s*1\. .*\S| 1\. ")
 
 
 def without_escapes(text) -> Column:
@@ -63,7 +66,11 @@ def tags_to_map(tags) -> Column:
         keys, t = x["keys"], x["tags"]
         return F.map_from_entries(F.filter(t, lambda e, i: F.array_position(keys, e["k"]) == F.size(t) - i))
 
-    return bound(_col(tags), lambda t: bound(F.struct(F.reverse(t["k"]).alias("keys"), t.alias("tags")), last))
+    def once(t):
+        repeated = bound(F.struct(F.reverse(t["k"]).alias("keys"), t.alias("tags")), last)
+        return F.when(F.size(F.array_distinct(t["k"])) == F.size(t), F.map_from_entries(t)).otherwise(repeated)
+
+    return bound(_col(tags), once)
 
 
 def header_map(text) -> Column:
@@ -91,7 +98,8 @@ def movetext_tokens(mt) -> Column:
 
 
 def _mainline(s: Column) -> Column:
-    flat = F.split(s, r"\s+")
+    # parted at single blanks, which takes no pattern: the empty tokens of runs of blanks are dropped with the others
+    flat = F.split(F.when(s.rlike(OTHER_SPACE), F.regexp_replace(s, OTHER_SPACE, " ")).otherwise(s), " ")
     # a running bracket depth over the tokens keeps those at depth 0
     marked = F.split(F.regexp_replace(s, r"([()])", " $1 "), r"\s+")
     start = F.struct(F.lit(0).alias("depth"), F.array().cast("array<string>").alias("main"))
@@ -105,6 +113,8 @@ def _mainline(s: Column) -> Column:
         marked = F.contains(t, F.lit("?")) | F.contains(t, F.lit("!"))
         return F.when(marked, F.regexp_replace(t, r"[?!]+$", "")).otherwise(t)
 
-    mainline = F.when(F.contains(s, F.lit("(")) | F.contains(s, F.lit(")")), F.aggregate(marked, start, step)["main"]).otherwise(flat)
-    toks = F.filter(mainline, lambda t: (t != "") & ~t.isin(*RESULT_TOKENS))
-    return F.filter(F.transform(toks, plain), lambda t: t != "")
+    toks = F.when(F.contains(s, F.lit("(")) | F.contains(s, F.lit(")")), F.aggregate(marked, start, step)["main"]).otherwise(flat)
+    for dropped in ("", *RESULT_TOKENS):
+        toks = F.array_remove(toks, dropped)
+    annotated = F.contains(s, F.lit("?")) | F.contains(s, F.lit("!"))
+    return F.when(annotated, F.array_remove(F.transform(toks, plain), "")).otherwise(toks)

@@ -113,3 +113,33 @@ def test_records_across_chunks_and_null_lines(spark):
     for chunk in (1, 4, 7, 1000):
         got = sorted(tuple(r) for r in frame_games(lines, chunk_lines=chunk).collect())
         assert got == [("f", 0, 4, '[Event "a"]\nx\ny'), ("f", 12, 2, '[Event "b"]'), ("f", 18, 3, '[Event "c"]\nz\nw')]
+
+
+def test_line_tests_equal_their_patterns(spark):
+    """Blank lines and lines with moves, told without scanning every line by a pattern, are those of the patterns."""
+    import itertools
+
+    from fianchetto.functions.pgn import has_moves, is_blank
+
+    parts = ["", " ", "\t", "\x0b", "\x0c", "\r", "\n", "\x85", "\u2028", "\u2029", "\xa0", "1. ", "1.", "x", " 1. ", "11. "]
+    lines = sorted({"".join(p) for p in itertools.product(parts, repeat=3)})
+    d = spark.createDataFrame([(x,) for x in [*lines, None]], "line string")
+    differ = d.where(~(is_blank("line").eqNullSafe(F.col("line").rlike(r"^\s*$"))
+                       & has_moves("line").eqNullSafe(F.col("line").rlike(r"^\s*1\. .*\S| 1\. "))))
+    assert differ.collect() == []
+    plan = d.where(is_blank("line"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "RLIKE" not in plan
+
+
+def test_tokens_and_tags_without_lambdas_equal_those_with(spark):
+    """Tokens are cut at any white space; results, blanks and annotations go; a repeated tag keeps its last value and place."""
+    from fianchetto.functions.pgn import header_map, movetext_tokens
+
+    texts = {"e4  e5\tNf3\x0bNc6\x0cd4\r\nd5 1-0": ["e4", "e5", "Nf3", "Nc6", "d4", "d5"], "": [], " ": [], "1-0": [], "1-0! ?! e4!? * e5??": ["1-0", "e4", "e5"],
+             "1. e4 (1. d4 1-0) e5? 1/2-1/2": ["e4", "e5"], "e4\xa0e5 \x1c": ["e4\xa0e5", "\x1c"]}
+    d = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert {r.t: r.m for r in d.select("t", movetext_tokens("t").alias("m")).collect()} == texts
+    plan = d.select(movetext_tokens("t"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "filter(" not in plan
+    h = spark.createDataFrame([('[A "x"]\n[B "y"]\n[A "z"]\n',), ('[A "x"]\n[B "y"]\n',), ("",)], "t string")
+    assert [dict(r.m) for r in h.select(header_map("t").alias("m")).collect()] == [{"B": "y", "A": "z"}, {"A": "x", "B": "y"}, {}]
