@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fianchetto.functions.pgn import has_moves, is_blank
-from fianchetto.operators.ordered import materialize_df, running_agg
+from fianchetto.operators.ordered import materialize_df
 
 # lines per chunk of the two-phase running count: a hot file at 100 TB gives
 # ~1e7 narrow chunk rows to the offsets window, and each chunk window sorts
@@ -94,12 +94,17 @@ def _frame_reference(lines, file_col, ln_col, line_col, chunk_lines, materialize
     # narrow block rows: does the block close a record (a move line and a closing blank)?
     blocks = (pieces.groupBy(file_col, "_count")
               .agg(F.min("first_ln").alias("_first"), (F.max("_mv") * F.max("_blank")).alias("_end")))
-    # record = blocks up to and including the first closed block with a move line
-    with_rec = running_agg(blocks, [file_col], ["_first"], _chunk("_first", chunk_lines),
-                           {"_rec": F.col("_end")}, inclusive=False)
+    # record = blocks up to and including the first closed block with a move line: a running count of such ends, over
+    # chunks of blocks, then inside them
+    blocks = blocks.withColumn("_chunk", _chunk("_first", chunk_lines))
+    chunks = Window.partitionBy(file_col)
+    before = chunks.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    ends = (blocks.groupBy(file_col, "_chunk").agg(F.sum("_end").alias("_c"))
+            .select(file_col, "_chunk", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off"), F.sum("_c").over(chunks).alias("_all")))
+    inside = Window.partitionBy(file_col, "_chunk").orderBy("_first").rowsBetween(Window.unboundedPreceding, -1)
+    numbered = blocks.join(ends, [file_col, "_chunk"]).withColumn("_rec", F.col("_off") + F.coalesce(F.sum("_end").over(inside), F.lit(0)))
     # a record that never closes (the rest of a file, or a whole file without a move
-    # marker) goes here, on block rows, before any text is gathered
-    closed = with_rec.where("_end = 1").select(file_col, "_rec").distinct()
-    kept = with_rec.select(file_col, "_count", "_rec").join(closed, [file_col, "_rec"], "left_semi")
+    # marker) goes here, on block rows, before any text is gathered: the file has no more ends
+    kept = numbered.where("_rec < _all").select(file_col, "_count", "_rec")
     # the pieces' text is gathered once, per record
     return _whole(pieces.join(kept, [file_col, "_count"]), file_col, "_rec")
