@@ -45,8 +45,9 @@ def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that are left, packed into sequences: one row per piece."""
-    return packing.pack_documents(docs, vocabulary("byte_bpe_50k.json"))
+    """The documents that are left, packed into sequences: one row per piece. Workers that keep a large memo of pieces would
+    hold it on through other stages' tasks."""
+    return packing.pack_documents(docs, vocabulary("byte_bpe_50k.json"), small_memo=True)
 
 
 STAGES = [

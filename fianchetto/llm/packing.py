@@ -36,11 +36,11 @@ def cut_lengths(n: int, capacity: int) -> list[int]:
     return [first] * bool(first) + [capacity] * (n // capacity)
 
 
-def _pieces(path: str, kind: str, end_id: int, capacity: int):
+def _pieces(path: str, kind: str, end_id: int, capacity: int, small_memo: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from fianchetto.llm.encoding import encoder
 
-        enc, end = encoder(path, kind), np.array([end_id], "<u4").tobytes()
+        enc, end = encoder(path, kind, small_memo), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for lo, hi in steps(texts):
@@ -145,16 +145,18 @@ def merge_bins(level: DataFrame, capacity: int) -> DataFrame:
     return reduce(DataFrame.unionByName, rounds)
 
 
-def pack_documents(docs: DataFrame, vocabulary: str, kind: str = "byte", end_id: int = 0, capacity: int = 2048) -> DataFrame:
+def pack_documents(docs: DataFrame, vocabulary: str, kind: str = "byte", end_id: int = 0, capacity: int = 2048,
+                   small_memo: bool = False) -> DataFrame:
     """Pack the tokens of all documents into sequences of at most ``capacity`` ids.
 
     One row per piece: doc_id, piece (from 0), start (its document's ids before it), length, ids_crc32, sequence_id,
     offset (its place in the sequence; a sequence's pieces leave no gap from 0 on).  Documents that fit stay whole; longer
     ones are cut into pieces of ``capacity``, the first with what is over.  A null text counts as empty: one piece, the
     end id alone.  Null or repeated doc_ids are separate documents all the same.  An empty table has no pieces.  ``docs``
-    needs doc_id and text; other columns are not read.
+    needs doc_id and text; other columns are not read.  ``small_memo`` spares memory for CPU time (``encoding.SMALL_MEMO``);
+    the rows are the same.
     """
-    pieces, pack = _pieces(vocabulary, kind, end_id, capacity), _pack(0, capacity, True)
+    pieces, pack = _pieces(vocabulary, kind, end_id, capacity, small_memo), _pack(0, capacity, True)
     first = texts_of(docs).mapInArrow(lambda batches: pack(pieces(batches)), BIN_SCHEMA)  # one worker a task does both
     bins = merge_bins(materialize(first, "bins0"), capacity)
     rows = bins.select("bin", F.explode("members").alias("m"))

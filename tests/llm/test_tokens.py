@@ -42,6 +42,48 @@ def test_a_full_memo_changes_no_ids(monkeypatch):
     assert Encoder(path, "byte").encode(texts) == want
 
 
+def held(enc):
+    return sum(len(m) + len(m.older) for m in (enc.cut, enc.exact))
+
+
+@pytest.mark.parametrize(("name", "kind"), [("word_bpe_49k.json", "word"), ("byte_bpe_50k.json", "byte")])
+def test_a_small_memo_equals_library(monkeypatch, name, kind):
+    from fianchetto.llm import encoding
+
+    rng = random.Random(1)
+    words = ["word", "Word.", "don't", "(well),", "a,b", "x!", "x", "ÉTÉ;", "naïve?", "ſ.", "İ.", "日本.", "12.", "3,", "-", ".", "…", ""]
+    texts = [rng.choice([" ", "\n", " \n", ""]).join(rng.choices(words, k=rng.randint(1, 30))) for _ in range(2000)]
+    texts += ["".join(rng.choice(ALPHABET) for _ in range(rng.randint(0, 30))) for _ in range(2000)]
+    monkeypatch.setattr(encoding, "SMALL_MEMO", 20)
+    t, enc = tokenizer(name), Encoder(public_tokenizers.path(name), kind, small=True)
+    for text, got in zip(texts, enc.encode(texts), strict=True):
+        assert np.frombuffer(got, "<u4").tolist() == t.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_the_pipeline_packs_with_a_small_memo(monkeypatch):
+    """What a worker holds stays small, however many different words there are; signs add nothing to it."""
+    import pyarrow as pa
+
+    import corpus_pipeline
+    from fianchetto.llm import encoding
+
+    asked = []
+    monkeypatch.setattr(packing, "pack_documents", lambda docs, vocabulary, **more: asked.append((vocabulary, more)))
+    corpus_pipeline.pack(None, None, None)
+    (vocabulary, more), = asked
+    monkeypatch.setattr(encoding, "_ENCODERS", {})
+    monkeypatch.setattr(encoding, "SMALL_MEMO", 1000)
+    name = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(4))
+    texts = [" ".join(f"{name(i)} {name(i)}. {name(i)}," for i in range(lo, lo + 100)) for lo in range(0, 20_000, 100)]
+    batches = [pa.RecordBatch.from_arrays([pa.array([i]), pa.array([t])], names=["doc_id", "text"]) for i, t in enumerate(texts)]
+    rows = [r for b in packing._pieces(vocabulary, "byte", 0, 2048, more.get("small_memo"))(iter(batches)) for r in b.to_pylist()]
+    (enc,) = encoding._ENCODERS.values()
+    assert held(enc) <= 2 * (1000 + 110)
+    t = tokenizer("byte_bpe_50k.json")
+    want = [t.encode(x, add_special_tokens=False).ids + [0] for x in texts]
+    assert [r["ids_crc32"] for r in rows] == [zlib.crc32(np.array(x, "<u4").tobytes()) for x in want]
+
+
 @pytest.mark.parametrize("planes", ["bit", "byte"])
 @pytest.mark.parametrize("n", [0, 1, 7, 8, 1000])
 def test_planes_round_trip(planes, n):
