@@ -54,13 +54,13 @@ def test_digest_equals_that_of_the_column(spark, max_len):
     assert "seq_md5" in positions.encode_sequence(df).columns      # not asked for: the caller's own
 
 
-@pytest.mark.parametrize("query", [catalog.q_encode_sequence])
+@pytest.mark.parametrize("query", [catalog.q_encode_sequence, catalog.q_build_samples])
 def test_text_of_sequences_is_not_made_by_expressions(spark, query):
     plan = query(spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "to_json" not in plan and "lambdafunction" not in plan
 
 
-@pytest.mark.parametrize("query", [catalog.q_encode_sequence])
+@pytest.mark.parametrize("query", [catalog.q_encode_sequence, catalog.q_build_samples])
 def test_games_stay_in_many_parts(spark, query):
     """A few bytes an order are up to 251 positions: they are not merged to a task or two a core."""
     df = query(spark, SMALL)
@@ -71,3 +71,11 @@ def test_fens_come_round(spark):
     got = B.fens_b2(spark, SMALL).join(B.games_b1(spark, SMALL).select("game_id", "n_ply"), "game_id").collect()
     assert {r.n_ply % 16 for r in got} == set(range(16))
     assert all(r.fens == [B.FEN_POOL[(r.game_id * 7 + p * 13) % 16] for p in range(r.n_ply + 1)] for r in got)
+
+
+def test_samples_with_their_digest(spark):
+    df = B.fens_b2(spark, SMALL).limit(40)
+    got = positions.build_samples(df, max_len=9, digest=True)
+    assert got.columns == ["game_id", "seq", "length", "seq_md5", "elo", "white_elo", "black_elo", "result"]
+    assert got.where(F.col("seq_md5") == catalog._seq_digest()).count() == 40
+    assert "seq_md5" not in positions.build_samples(df, max_len=9).columns
