@@ -73,6 +73,12 @@ def test_fens_come_round(spark):
     assert all(r.fens == [B.FEN_POOL[(r.game_id * 7 + p * 13) % 16] for p in range(r.n_ply + 1)] for r in got)
 
 
+def test_fens_of_any_number(spark):
+    games = spark.createDataFrame([(g, n) for g in (0, 5, 31) for n in (0, 15, 16, 254, 255, 256, 257, 600)], "game_id long, n_ply int")
+    got = B.with_fens(games.withColumn("n", F.col("n_ply"))).collect()
+    assert len(got) == 24 and all(r.fens == [B.FEN_POOL[(r.game_id * 7 + p * 13) % 16] for p in range(r.n + 1)] for r in got)
+
+
 def test_samples_with_their_digest(spark):
     df = B.fens_b2(spark, SMALL).limit(40)
     got = positions.build_samples(df, max_len=9, digest=True)
